@@ -1,0 +1,233 @@
+"""Mean elements to positions: near-Earth SGP4, vectorised over satellites and times.
+
+Follows Hoots & Roehrich (1980) with the corrections of Vallado et al. (2006), WGS72 constants,
+periods below 225 minutes only (deep-space terms are not needed below the LEO ceiling).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# WGS72 constants (public).
+_MU = 398600.8
+_RADIUS = 6378.135
+_XKE = 60.0 / np.sqrt(_RADIUS ** 3 / _MU)
+_J2, _J3, _J4 = 0.001082616, -0.00000253881, -0.00000165597
+_J3OJ2 = _J3 / _J2
+
+POSITION_SCHEMA = ("satellite_id bigint, norad_id bigint, name string, alt_km double, "
+                   "window_id bigint, step int, x double, y double, z double, error int")
+
+
+def sgp4_positions(n0, e0, i0, node0, argp0, m0, bstar, minutes):
+    """Inertial positions (km) and error codes.
+
+    Element arrays have shape (s, 1), in radians and radians per minute; ``minutes`` since epoch
+    has shape (s, t).  Error 1: bad eccentricity, 2: bad mean motion, 4: bad semi-latus rectum,
+    6: decayed.
+    """
+    with np.errstate(all="ignore"):
+        cos_i, sin_i = np.cos(i0), np.sin(i0)
+        theta2 = cos_i * cos_i
+        beta2 = 1.0 - e0 * e0
+        beta = np.sqrt(beta2)
+        x3thm1 = 3.0 * theta2 - 1.0
+        # Recover the Brouwer mean motion from the Kozai one.
+        a1 = (_XKE / n0) ** (2.0 / 3.0)
+        d1 = 0.75 * _J2 * x3thm1 / (beta * beta2)
+        delta = d1 / (a1 * a1)
+        a_k = a1 * (1.0 - delta * delta - delta * (1.0 / 3.0 + 134.0 * delta * delta / 81.0))
+        n = n0 / (1.0 + d1 / (a_k * a_k))
+        a = (_XKE / n) ** (2.0 / 3.0)
+        perigee = (a * (1.0 - e0) - 1.0) * _RADIUS
+
+        s = np.where(perigee < 98.0, 20.0, np.where(perigee < 156.0, perigee - 78.0, 78.0))
+        s4 = s / _RADIUS + 1.0
+        qoms4 = ((120.0 - s) / _RADIUS) ** 4
+        tsi = 1.0 / (a - s4)
+        eta = a * e0 * tsi
+        eta2, e_eta = eta * eta, e0 * eta
+        psi2 = np.abs(1.0 - eta2)
+        coef = qoms4 * tsi ** 4
+        coef1 = coef / psi2 ** 3.5
+        c2 = coef1 * n * (a * (1.0 + 1.5 * eta2 + e_eta * (4.0 + eta2))
+                          + 0.375 * _J2 * tsi / psi2 * x3thm1 * (8.0 + 3.0 * eta2 * (8.0 + eta2)))
+        c1 = bstar * c2
+        x1mth2 = 1.0 - theta2
+        c3 = np.where(e0 > 1.0e-4, -2.0 * coef * tsi * _J3OJ2 * n * sin_i / e0, 0.0)
+        c4 = 2.0 * n * coef1 * a * beta2 * (
+            eta * (2.0 + 0.5 * eta2) + e0 * (0.5 + 2.0 * eta2)
+            - _J2 * tsi / (a * psi2) * (
+                -3.0 * x3thm1 * (1.0 - 2.0 * e_eta + eta2 * (1.5 - 0.5 * e_eta))
+                + 0.75 * x1mth2 * (2.0 * eta2 - e_eta * (1.0 + eta2)) * np.cos(2.0 * argp0)))
+        c5 = 2.0 * coef1 * a * beta2 * (1.0 + 2.75 * (eta2 + e_eta) + e_eta * eta2)
+
+        p2 = 1.0 / (a * beta2) ** 2
+        t1 = 1.5 * _J2 * p2 * n
+        t2 = 0.5 * t1 * _J2 * p2
+        t3 = -0.46875 * _J4 * p2 * p2 * n
+        theta4 = theta2 * theta2
+        m_dot = (n + 0.5 * t1 * beta * x3thm1
+                 + 0.0625 * t2 * beta * (13.0 - 78.0 * theta2 + 137.0 * theta4))
+        argp_dot = (-0.5 * t1 * (1.0 - 5.0 * theta2)
+                    + 0.0625 * t2 * (7.0 - 114.0 * theta2 + 395.0 * theta4)
+                    + t3 * (3.0 - 36.0 * theta2 + 49.0 * theta4))
+        h_dot = -t1 * cos_i
+        node_dot = h_dot + (0.5 * t2 * (4.0 - 19.0 * theta2)
+                            + 2.0 * t3 * (3.0 - 7.0 * theta2)) * cos_i
+        argp_c = bstar * c3 * np.cos(argp0)
+        m_c = np.where(e0 > 1.0e-4, -2.0 / 3.0 * coef * bstar / e_eta, 0.0)
+        node_c = 3.5 * beta2 * h_dot * c1
+        t2_c = 1.5 * c1
+        guard = np.where(np.abs(1.0 + cos_i) > 1.5e-12, 1.0 + cos_i, 1.5e-12)
+        xl_c = -0.25 * _J3OJ2 * sin_i * (3.0 + 5.0 * cos_i) / guard
+        ay_c = -0.5 * _J3OJ2 * sin_i
+        delta_m0 = (1.0 + eta * np.cos(m0)) ** 3
+        sin_m0 = np.sin(m0)
+        x7thm1 = 7.0 * theta2 - 1.0
+        simple = perigee < 220.0
+
+        c1sq = c1 * c1
+        d2 = 4.0 * a * tsi * c1sq
+        temp = d2 * tsi * c1 / 3.0
+        d3 = (17.0 * a + s4) * temp
+        d4 = 0.5 * temp * a * tsi * (221.0 * a + 31.0 * s4) * c1
+        t3_c = d2 + 2.0 * c1sq
+        t4_c = 0.25 * (3.0 * d3 + c1 * (12.0 * d2 + 10.0 * c1sq))
+        t5_c = 0.2 * (3.0 * d4 + 12.0 * c1 * d3 + 6.0 * d2 * d2 + 15.0 * c1sq * (2.0 * d2 + c1sq))
+
+        # Secular gravity and drag.
+        t = minutes
+        m_df = m0 + m_dot * t
+        argp_df = argp0 + argp_dot * t
+        node = node0 + node_dot * t + node_c * t * t
+        temp_a = 1.0 - c1 * t
+        temp_e = bstar * c4 * t
+        temp_l = t2_c * t * t
+        delta_argp = argp_c * t
+        delta_m = m_c * ((1.0 + eta * np.cos(m_df)) ** 3 - delta_m0)
+        m_full = m_df + delta_argp + delta_m
+        argp = np.where(simple, argp_df, argp_df - delta_argp - delta_m)
+        m_t = np.where(simple, m_df, m_full)
+        temp_a = np.where(simple, temp_a,
+                          temp_a - d2 * t ** 2 - d3 * t ** 3 - d4 * t ** 4)
+        temp_e = np.where(simple, temp_e, temp_e + bstar * c5 * (np.sin(m_t) - sin_m0))
+        temp_l = np.where(simple, temp_l,
+                          temp_l + t3_c * t ** 3 + t ** 4 * (t4_c + t * t5_c))
+
+        bad_motion = np.broadcast_to(n <= 0.0, t.shape)
+        a_t = (_XKE / n) ** (2.0 / 3.0) * temp_a ** 2
+        e_t = e0 - temp_e
+        bad_ecc = (e_t >= 1.0) | (e_t < -0.001)
+        e_t = np.maximum(e_t, 1.0e-6)
+        m_t = m_t + n * temp_l
+        lon = m_t + argp + node
+        node = np.mod(node, 2.0 * np.pi)
+        argp = np.mod(argp, 2.0 * np.pi)
+        lon = np.mod(lon, 2.0 * np.pi)
+        m_t = np.mod(lon - argp - node, 2.0 * np.pi)
+
+        # Long-period terms, then Kepler's equation.
+        axn = e_t * np.cos(argp)
+        inv = 1.0 / (a_t * (1.0 - e_t * e_t))
+        ayn = e_t * np.sin(argp) + inv * ay_c
+        u = np.mod(m_t + argp + node + inv * xl_c * axn - node, 2.0 * np.pi)
+        eo = u.copy()
+        for _ in range(10):
+            step = (u - ayn * np.cos(eo) + axn * np.sin(eo) - eo) / (
+                1.0 - np.cos(eo) * axn - np.sin(eo) * ayn)
+            eo = eo + np.clip(step, -0.95, 0.95)
+
+        # Short-period terms.
+        sin_eo, cos_eo = np.sin(eo), np.cos(eo)
+        e_cos = axn * cos_eo + ayn * sin_eo
+        e_sin = axn * sin_eo - ayn * cos_eo
+        el2 = axn * axn + ayn * ayn
+        p_l = a_t * (1.0 - el2)
+        bad_p = p_l < 0.0
+        r = a_t * (1.0 - e_cos)
+        beta_l = np.sqrt(1.0 - el2)
+        ratio = e_sin / (1.0 + beta_l)
+        sin_u = a_t / r * (sin_eo - ayn - axn * ratio)
+        cos_u = a_t / r * (cos_eo - axn + ayn * ratio)
+        arg_lat = np.arctan2(sin_u, cos_u)
+        sin_2u, cos_2u = 2.0 * cos_u * sin_u, 1.0 - 2.0 * sin_u * sin_u
+        k1 = 0.5 * _J2 / p_l
+        k2 = k1 / p_l
+        r_t = r * (1.0 - 1.5 * k2 * beta_l * x3thm1) + 0.5 * k1 * x1mth2 * cos_2u
+        arg_lat = arg_lat - 0.25 * k2 * x7thm1 * sin_2u
+        node_t = node + 1.5 * k2 * cos_i * sin_2u
+        inc_t = i0 + 1.5 * k2 * cos_i * sin_i * cos_2u
+
+        sin_u, cos_u = np.sin(arg_lat), np.cos(arg_lat)
+        sin_n, cos_n = np.sin(node_t), np.cos(node_t)
+        sin_i_t, cos_i_t = np.sin(inc_t), np.cos(inc_t)
+        x = r_t * _RADIUS * (-sin_n * cos_i_t * sin_u + cos_n * cos_u)
+        y = r_t * _RADIUS * (cos_n * cos_i_t * sin_u + sin_n * cos_u)
+        z = r_t * _RADIUS * (sin_i_t * sin_u)
+        error = np.select([bad_ecc, bad_motion, bad_p, r_t < 1.0], [1, 2, 4, 6], 0)
+    return x, y, z, error
+
+
+_ELEMENTS = ["mean_motion", "eccentricity", "inclination", "ra_of_asc_node",
+             "arg_of_pericenter", "mean_anomaly"]
+
+
+def _positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        if batch.empty:
+            continue
+        for (steps, step_sec), part in batch.groupby(["steps", "step_sec"], sort=False):
+            def column(name):
+                return part[name].to_numpy(dtype="float64")[:, None]
+
+            angles = {c: np.radians(column(c)) for c in _ELEMENTS[2:]}
+            offsets = np.arange(int(steps)) * float(step_sec) / 60.0
+            minutes = column("epoch_age_min") + offsets[None, :]
+            x, y, z, error = sgp4_positions(
+                column("mean_motion") * 2.0 * np.pi / 1440.0, column("eccentricity"),
+                angles["inclination"], angles["ra_of_asc_node"], angles["arg_of_pericenter"],
+                angles["mean_anomaly"], column("bstar"), minutes)
+            shape = x.shape
+            yield pd.DataFrame({
+                **{c: np.repeat(part[c].to_numpy(), shape[1])
+                   for c in ("satellite_id", "norad_id", "name", "alt_km", "window_id")},
+                "step": np.tile(np.arange(shape[1], dtype="int32"), shape[0]),
+                "x": x.ravel(), "y": y.ravel(), "z": z.ravel(),
+                "error": error.astype("int32").ravel()})
+
+
+def propagate(payloads: DataFrame, windows: DataFrame, shards: int | None = None) -> DataFrame:
+    """Positions of every payload at every step of every window.
+
+    ``payloads`` carry mean elements in catalog units, ``windows`` (window_id, start, steps,
+    step_sec) the distinct observing windows.  Rows with missing or impossible elements drop out;
+    a failed step keeps its error code.  Satellites are dealt onto shards and each window is
+    copied to every shard: an equi-join that gives every task the same share of the work, however
+    many windows there are.
+    """
+    spark = payloads.sparkSession
+    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                           spark.sparkContext.defaultParallelism)
+    usable = payloads.na.drop(subset=["epoch", "satellite_id", "norad_id", *_ELEMENTS]).filter(
+        (F.col("mean_motion") > 0) & (F.col("eccentricity") >= 0) & (F.col("eccentricity") < 1))
+    dealt = usable.select(
+        F.pmod(F.xxhash64("norad_id"), F.lit(shards)).alias("_shard"),
+        F.col("satellite_id").cast("bigint").alias("satellite_id"),
+        F.col("norad_id").cast("bigint").alias("norad_id"),
+        F.col("canonical_name").alias("name"), F.col("alt_km").cast("double").alias("alt_km"),
+        "epoch", F.coalesce("bstar", F.lit(0.0)).cast("double").alias("bstar"),
+        *[F.col(c).cast("double").alias(c) for c in _ELEMENTS])
+    copied = windows.select("window_id", "start", "steps", "step_sec").withColumn(
+        "_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("bigint"))
+    age = (F.unix_micros("start") - F.unix_micros("epoch")) / F.lit(60000000.0)
+    work = dealt.join(copied, "_shard").withColumn("epoch_age_min", age).drop(
+        "epoch", "start", "_shard")
+    # An explicit count: element rows are small, their positions are not.
+    return work.repartition(shards, "norad_id", "window_id").mapInPandas(
+        _positions, POSITION_SCHEMA)

@@ -9,6 +9,12 @@ from starledger.functions.text import to_number
 from starledger.operators.claims import CLAIM_ORDER
 
 
+def latest_seed(vocabulary: DataFrame) -> DataFrame:
+    """One canonical word per (source, source_value): the later seed wins."""
+    return vocabulary.groupBy("source", "source_value").agg(
+        F.max_by("canonical", "seed_order").alias("canonical"))
+
+
 def last_per_source(claims: DataFrame, eid: str, order: list[str] | None = None) -> DataFrame:
     """(eid, attribute, source, value): each source's last word in claim order."""
     order = order or CLAIM_ORDER

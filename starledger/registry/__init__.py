@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-MODULES = ["scans", "snapshots"]
+MODULES = ["scans", "snapshots", "joins"]
 
 
 def load() -> tuple[dict, dict]:

@@ -33,49 +33,45 @@ def collapse(observations: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("source")).alias("sources"))
 
 
-def _lead_component(rows: list[tuple], tol: float) -> Iterator[tuple]:
-    """Leader clustering of one star's chain of nearby periods, in designation order."""
-    by_period: list[tuple[float, int]] = []
-    seeds: list[tuple[str, str]] = []
-    for id_type, id_value, period in rows:
-        low = bisect.bisect_left(by_period, (period * (1.0 - 2 * tol), -1))
-        high = bisect.bisect_right(by_period, (period * (1.0 + 2 * tol), math.inf))
-        hits = sorted(n for p, n in by_period[low:high]
-                      if abs(p - period) / max(p, period) < tol)
+class _Leaders:
+    """Seeds of the chain being read: sorted by period, numbered in the order they were founded."""
+
+    def __init__(self, tol: float):
+        self.tol = tol
+        self.by_period: list[tuple[float, int]] = []
+        self.names: list[tuple[str, str]] = []
+
+    def place(self, id_type: str, id_value: str, period: float) -> tuple:
+        """(seed_type, seed_value, rule, competing) of the next designation."""
+        low = bisect.bisect_left(self.by_period, (period * (1.0 - 2 * self.tol), -1))
+        high = bisect.bisect_right(self.by_period, (period * (1.0 + 2 * self.tol), math.inf))
+        hits = sorted(n for p, n in self.by_period[low:high]
+                      if abs(p - period) / max(p, period) < self.tol)
         if len(hits) == 1:
-            yield (*seeds[hits[0]], PERIOD_MATCH, None)
-        else:
-            competing = [":".join(seeds[n]) for n in hits] if hits else None
-            bisect.insort(by_period, (period, len(seeds)))
-            seeds.append((id_type, id_value))
-            yield id_type, id_value, CANDIDATE_SEED, competing
+            return (*self.names[hits[0]], PERIOD_MATCH, None)
+        competing = [":".join(self.names[n]) for n in hits] or None
+        bisect.insort(self.by_period, (period, len(self.names)))
+        self.names.append((id_type, id_value))
+        return id_type, id_value, CANDIDATE_SEED, competing
 
 
 def _lead_batches(tol: float):
+    """Read chains in order, one decision per row; only the open chain's seeds are kept."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pending: list[pd.DataFrame] = []
-        open_key = None
-
-        def close() -> pd.DataFrame:
-            part = pd.concat(pending, ignore_index=True)
-            out = list(_lead_component(
-                list(zip(part["id_type"], part["id_value"], part["period"])), tol))
-            part["seed_type"], part["seed_value"], part["rule"], part["competing"] = zip(*out)
-            return part.drop(columns=["_segment", "period"])
-
+        chain, leaders = None, _Leaders(tol)
         for batch in batches:
-            keys = list(zip(batch["star_id"], batch["_segment"]))
-            cuts = [0] + [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]] + [len(keys)]
-            for start, stop in zip(cuts, cuts[1:]):
-                if start == stop:
-                    continue
-                if open_key is not None and keys[start] != open_key:
-                    yield close()
-                    pending.clear()
-                open_key = keys[start]
-                pending.append(batch.iloc[start:stop])
-        if pending:
-            yield close()
+            if batch.empty:
+                continue
+            placed = []
+            for star, segment, id_type, id_value, period in zip(
+                    batch["star_id"], batch["_segment"], batch["id_type"], batch["id_value"],
+                    batch["period"]):
+                if (star, segment) != chain:
+                    chain, leaders = (star, segment), _Leaders(tol)
+                placed.append(leaders.place(id_type, id_value, period))
+            out = batch[DESIGNATION].copy()
+            out["seed_type"], out["seed_value"], out["rule"], out["competing"] = zip(*placed)
+            yield out
 
     return run
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from starledger import specs
 from starledger.functions.text import canonical_name
 from starledger.operators.blocks import block_of, gap_segments
 from starledger.operators.ids import with_dense_id
-from starledger.operators.links import CANDIDATE_SEED, PERIOD_MATCH, links, union_all
+from starledger.operators.links import CANDIDATE_SEED, PERIOD_MATCH, links
 
 DESIGNATION = ["star_id", "id_type", "id_value"]
 
@@ -55,23 +56,39 @@ class _Leaders:
         return id_type, id_value, CANDIDATE_SEED, competing
 
 
+_CLUSTERED = ("star_id bigint, id_type string, id_value string, period double, "
+              "planet_name string, sources array<string>, seed_type string, seed_value string, "
+              "rule string, competing array<string>")
+
+
 def _lead_batches(tol: float):
-    """Read chains in order, one decision per row; only the open chain's seeds are kept."""
+    """Read chains in order; only the open chain's seeds are kept between batches.
+
+    A row whose neighbours belong to other chains founds its own cluster; only rows in company
+    are walked one by one.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chain, leaders = None, _Leaders(tol)
         for batch in batches:
             if batch.empty:
                 continue
-            placed = []
-            for star, segment, id_type, id_value, period in zip(
-                    batch["star_id"], batch["_segment"], batch["id_type"], batch["id_value"],
-                    batch["period"]):
-                if (star, segment) != chain:
-                    chain, leaders = (star, segment), _Leaders(tol)
-                placed.append(leaders.place(id_type, id_value, period))
-            out = batch[DESIGNATION].copy()
-            out["seed_type"], out["seed_value"], out["rule"], out["competing"] = zip(*placed)
-            yield out
+            stars, parts = batch["star_id"].to_numpy(), batch["_segment"].to_numpy()
+            same = (stars[1:] == stars[:-1]) & (parts[1:] == parts[:-1])
+            company = np.zeros(len(batch), dtype=bool)
+            company[1:] |= same
+            company[:-1] |= same
+            company[[0, -1]] = True  # their chain may go on in the next batch
+            seed_type, seed_value = batch["id_type"].tolist(), batch["id_value"].tolist()
+            rule = [CANDIDATE_SEED] * len(batch)
+            competing: list = [None] * len(batch)
+            periods = batch["period"].to_numpy()
+            for i in np.flatnonzero(company):
+                if (stars[i], parts[i]) != chain:
+                    chain, leaders = (stars[i], parts[i]), _Leaders(tol)
+                seed_type[i], seed_value[i], rule[i], competing[i] = leaders.place(
+                    seed_type[i], seed_value[i], float(periods[i]))
+            yield batch.drop(columns="_segment").assign(
+                seed_type=seed_type, seed_value=seed_value, rule=rule, competing=competing)
 
     return run
 
@@ -84,35 +101,28 @@ def cluster(designations: DataFrame, tol: float = specs.PERIOD_TOLERANCE) -> Dat
     it could not choose between.  Adds seed_type, seed_value, rule, competing.
 
     Only designations linked by a chain of nearby periods can influence each other, so a star is
-    first cut where its sorted log-periods leave a gap wider than the tolerance.  Chains of one,
-    nearly all of them, never leave the JVM; longer ones are streamed chain by chain.
+    first cut where its sorted log-periods leave a gap wider than the tolerance.  Chains, not
+    stars, are what one task has to read in order, and it keeps no more than a chain's seeds.
     """
+    spark = designations.sparkSession
     gap = -math.log1p(-tol) * (1.0 + 1e-9)
-    periodic = F.col("period") > 0
-    alone = designations.filter(~F.coalesce(periodic, F.lit(False)))
-    placed = designations.filter(periodic).withColumn("_log", F.log(F.col("period").cast("double")))
-    parts = gap_segments(placed, ["star_id"], "_log", gap)
-    # A chain that fills one block alone with one row is a singleton.
-    chains = parts.groupBy("star_id", "segment").agg(F.sum("_rows").alias("_size"))
-    sized = parts.join(chains, ["star_id", "segment"]).select(
-        "star_id", "_block", F.col("segment").alias("_segment"), "_size")
-    located = (placed.withColumn("_block", block_of(F.col("_log"), gap))
-               .join(sized, ["star_id", "_block"]).drop("_block", "_log"))
-
-    own_seed = {"seed_type": F.col("id_type"), "seed_value": F.col("id_value"),
-                "rule": F.lit(CANDIDATE_SEED),
-                "competing": F.lit(None).cast("array<string>")}
-    singles = (union_all([alone, located.filter("_size = 1").drop("_segment", "_size")])
-               .withColumns(own_seed))
-    chained = located.filter("_size > 1").select(
-        *DESIGNATION, F.col("period").cast("double").alias("period"), "_segment")
-    led = (chained.repartition("star_id", "_segment")
+    rows = designations.withColumn("period", F.col("period").cast("double"))
+    periodic = F.coalesce(F.col("period") > 0, F.lit(False))
+    alone = rows.filter(~periodic).withColumns({
+        "seed_type": F.col("id_type"), "seed_value": F.col("id_value"),
+        "rule": F.lit(CANDIDATE_SEED), "competing": F.lit(None).cast("array<string>")})
+    placed = rows.filter(periodic).withColumn("_log", F.log("period"))
+    parts = gap_segments(placed, ["star_id"], "_log", gap).select(
+        "star_id", "_block", F.col("segment").alias("_segment"))
+    chained = (placed.withColumn("_block", block_of(F.col("_log"), gap))
+               .join(parts, ["star_id", "_block"]).drop("_block", "_log"))
+    # An explicit count keeps the ordered walk parallel however few bytes the rows have.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    led = (chained.repartition(tasks, "star_id", "_segment")
            .sortWithinPartitions("star_id", "_segment", "id_type", "id_value")
-           .mapInPandas(_lead_batches(tol),
-                        "star_id bigint, id_type string, id_value string, seed_type string, "
-                        "seed_value string, rule string, competing array<string>"))
-    joined = located.filter("_size > 1").drop("_segment", "_size").join(led, DESIGNATION)
-    return singles.unionByName(joined)
+           .select("star_id", "id_type", "id_value", "period", "planet_name", "sources", "_segment")
+           .mapInPandas(_lead_batches(tol), _CLUSTERED))
+    return alone.unionByName(led)
 
 
 def ambiguous(clustered: DataFrame) -> DataFrame:

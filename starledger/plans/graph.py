@@ -172,8 +172,10 @@ def observations(raw: dict[str, DataFrame]) -> DataFrame:
 
 def build_graph(raw: dict[str, DataFrame], vocabulary: DataFrame, precedence: DataFrame,
                 tol_arcsec: float = specs.SKY_TOLERANCE_ARCSEC) -> Graph:
-    """All passes over one set of snapshots.  Stars, links, candidates and claims are each
-    materialised once: everything after them reads them several times.
+    """All passes over one set of snapshots.
+
+    Stars, designations, clusters, links and claims are each materialised once: everything after
+    them reads them several times.
     """
     catalog_stars = cut_lineage(build_catalog_stars(raw))
     link_frames = [star_links(raw, catalog_stars)]
@@ -191,7 +193,7 @@ def build_graph(raw: dict[str, DataFrame], vocabulary: DataFrame, precedence: Da
         kic_stars,
         catalog_stars.filter(F.col("pass") == 2).select(
             F.col("canonical_name").alias("hostname"), "star_id"))
-    clustered = cut_lineage(dz.cluster(dz.collapse(attached)))
+    clustered = cut_lineage(dz.cluster(cut_lineage(dz.collapse(attached))))
     candidate_rows = dz.candidates(clustered)
     link_frames.append(dz.candidate_links(clustered, candidate_rows))
     links = cut_lineage(lk.union_all(link_frames))

@@ -15,7 +15,7 @@ from starledger.registry.joins import OBS_VIEWS, _HOST_ROWS, _OBS, _SECONDARY, _
 from starledger.registry.ranking import STRATA
 from starledger.registry.snapshots import _STAR_ROWS, raw_tables
 from starledger.registry.views import Tables, ctes, with_views
-from starledger.session import scratch_path
+from starledger.session import cut_lineage, scratch_path
 from starledger.sources import sinks
 
 
@@ -59,7 +59,7 @@ _ORDERS = "WITH RECURSIVE " + ctes("designations") + ", " + _clusters("designati
 
 
 def _clustered(t: Tables):
-    return dz.cluster(dz.collapse(t.designations))
+    return cut_lineage(dz.cluster(dz.collapse(t.designations)))
 
 
 @query("e01_period_clustering", _ORDERS + """

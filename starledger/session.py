@@ -38,7 +38,8 @@ def build_session(app: str = "starledger", master: str | None = None,
         builder = builder.master(master)
         if master.startswith("local"):
             builder = (builder.config("spark.driver.memory", "12g")
-                       .config("spark.ui.enabled", "false"))
+                       .config("spark.ui.enabled", "false")
+                       .config("spark.ui.showConsoleProgress", "false"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return tune(builder.getOrCreate())
@@ -63,12 +64,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder so later stages neither recompute nor depend on it."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder, for tables a job writes and reads back."""
     return os.path.join(checkpoint_root(spark), "tables", f"{label}-{uuid.uuid4().hex}")
+
+
+def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
+    """``df`` written to the shared folder and read back: later stages neither recompute nor lose it.
+
+    Parquet rather than ``checkpoint()``: the readers that follow take few of the columns, and
+    the files give the planner the sizes it needs to choose joins.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

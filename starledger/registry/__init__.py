@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-MODULES = ["scans", "snapshots", "joins", "aggregates", "ranking", "scalars", "entities"]
+MODULES = ["scans", "snapshots", "joins", "aggregates", "ranking", "scalars", "entities", "series"]
 
 
 def load() -> tuple[dict, dict]:

@@ -61,19 +61,26 @@ def with_previous_time(df: DataFrame, keys: list[str], t: str, width: float,
             .drop("_block", "_entry"))
 
 
-def with_running_count(df: DataFrame, keys: list[str], t: str, flag: Column, width: float,
-                       out: str) -> DataFrame:
-    """Each row with the number of flagged rows up to and including it in its series."""
+def with_places(df: DataFrame, keys: list[str], t: str, flag: Column, width: float,
+                place: str, group: str) -> DataFrame:
+    """Each row with its 0-based position in its series and the number of flags up to it.
+
+    One pass: block totals of rows and flags carry both counts from block to block.
+    """
     blocked = df.withColumns({"_block": block_of(F.col(t), width),
                               "_flag": F.coalesce(flag, F.lit(False)).cast("bigint")})
-    sums = blocked.groupBy(*keys, "_block").agg(F.sum("_flag").alias("_sum"))
-    before = F.sum("_sum").over(
-        _running(keys, "_block").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select(*keys, "_block", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.sum("_flag").over(Window.partitionBy(*keys, "_block").orderBy(t)
-                                 .rowsBetween(Window.unboundedPreceding, 0))
+    sums = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_rows"),
+                                                F.sum("_flag").alias("_flags"))
+    before = _running(keys, "_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        *keys, "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
+        F.coalesce(F.sum("_flags").over(before), F.lit(0)).alias("_flags_before"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(t)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     return (blocked.join(sums, [*keys, "_block"])
-            .withColumn(out, inside + F.col("_before")).drop("_block", "_flag", "_before"))
+            .withColumns({place: F.row_number().over(inside) - 1 + F.col("_rows_before"),
+                          group: F.sum("_flag").over(upto) + F.col("_flags_before")})
+            .drop("_block", "_flag", "_rows_before", "_flags_before"))
 
 
 def with_row_index(df: DataFrame, keys: list[str], t: str, order: list[str], width: float,

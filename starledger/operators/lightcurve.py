@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starledger import specs
-from starledger.operators.blocks import (with_previous_time, with_row_index, with_running_count)
+from starledger.operators.blocks import with_places, with_previous_time
 from starledger.operators.quantiles import grouped_median
 from starledger.session import cut_lineage
 
@@ -117,17 +117,23 @@ def _trend_of_segments(segmented: DataFrame) -> DataFrame:
 
 
 def _segment(kept: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows with their gap-free segment, position and length; a gap is 5 median steps."""
-    stepped = with_previous_time(kept, ["tic_id"], "time", _BLOCK_DAYS, "_before")
-    stepped = stepped.withColumn("_step", F.col("time") - F.col("_before"))
+    """Rows with their gap-free segment, position and length; a gap is 5 median steps.
+
+    Every step reads its input twice (block totals, then rows), so each is materialised.
+    """
+    stepped = with_previous_time(kept, ["tic_id"], "time", _BLOCK_DAYS, "_previous")
+    stepped = cut_lineage(stepped.withColumn("_step", F.col("time") - F.col("_previous"))
+                          .drop("_previous"), "steps")
     usual = grouped_median(stepped, ["tic_id"], "_step", "_usual")
-    flagged = stepped.join(usual, "tic_id", "left")
     breaks = F.col("_step") > F.lit(BREAK_TOLERANCE) * F.col("_usual")
-    segmented = with_running_count(flagged, ["tic_id"], "time", breaks, _BLOCK_DAYS, "segment")
-    indexed = with_row_index(segmented, ["tic_id", "segment"], "time", ["time"], _BLOCK_DAYS,
-                             "idx", "n")
-    return indexed.join(windows, "tic_id").select(
-        "tic_id", "time", "flux", "segment", "idx", "n", "window")
+    numbered = cut_lineage(with_places(stepped.join(usual, "tic_id", "left"), ["tic_id"], "time",
+                                       breaks, _BLOCK_DAYS, "_place", "segment")
+                           .drop("_step", "_usual"), "places")
+    spans = numbered.groupBy("tic_id", "segment").agg(
+        F.min("_place").alias("_start"), F.count(F.lit(1)).alias("n"))
+    return numbered.join(spans.join(windows, "tic_id"), ["tic_id", "segment"]).select(
+        "tic_id", "time", "flux", "segment", (F.col("_place") - F.col("_start")).alias("idx"), "n",
+        "window")
 
 
 def _interpolated(points: DataFrame, trend: DataFrame) -> DataFrame:
@@ -135,22 +141,21 @@ def _interpolated(points: DataFrame, trend: DataFrame) -> DataFrame:
 
     Beyond the first and last kept row the nearest kept trend holds.
     """
-    marked = points.select("tic_id", "time", "flux").join(
-        trend.select("tic_id", "time", "trend"), ["tic_id", "time"], "left")
-    own = F.when(F.col("trend").isNotNull(), F.struct("time", "trend"))
-    marked = marked.withColumn("_own", own).withColumn(
-        "_block", F.floor(F.col("time") / _BLOCK_DAYS).cast("bigint"))
-    # The nearest kept row on each side, carried across blocks by the block table.
-    edge = marked.filter("_own IS NOT NULL").groupBy("tic_id", "_block").agg(
-        F.min("_own").alias("_first"), F.max("_own").alias("_last"))
+    block = F.floor(F.col("time") / _BLOCK_DAYS).cast("bigint").alias("_block")
+    known = F.struct("time", "trend")
+    edges = trend.groupBy("tic_id", block).agg(F.min(known).alias("_first"),
+                                               F.max(known).alias("_last"))
     per_tic = "PARTITION BY tic_id ORDER BY _block"
-    blocks = (marked.select("tic_id", "_block").distinct()
-              .join(edge.select("tic_id", "_block", "_first", "_last"), ["tic_id", "_block"], "left")
-              .selectExpr(
+    # The nearest kept row on each side, carried across blocks by the block table.
+    blocks = (points.select("tic_id", block).distinct()
+              .join(edges, ["tic_id", "_block"], "left").selectExpr(
         "tic_id", "_block",
         f"last(_last, true) OVER ({per_tic} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) _in",
         f"first(_first, true) OVER ({per_tic} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) "
         "_out"))
+    marked = points.select("tic_id", "time", "flux", block).join(
+        trend.select("tic_id", "time", "trend"), ["tic_id", "time"], "left").withColumn(
+        "_own", F.when(F.col("trend").isNotNull(), known))
     inside = "PARTITION BY tic_id, _block ORDER BY time"
     sided = marked.join(blocks, ["tic_id", "_block"]).selectExpr(
         "tic_id", "time", "flux", "trend",
@@ -175,14 +180,14 @@ def detrend(points: DataFrame, windows: DataFrame) -> DataFrame:
     centre = grouped_median(points, ["tic_id"], "flux", "_centre")
     spread = points.groupBy("tic_id").agg(F.stddev_pop("flux").alias("_spread"))
     near = F.abs(F.col("flux") - F.col("_centre")) <= F.col("_spread") * CLIP_SIGMA
-    kept = (points.join(centre, "tic_id").join(spread, "tic_id").filter(near)
-            .select("tic_id", "time", "flux"))
+    kept = cut_lineage(points.join(centre, "tic_id").join(spread, "tic_id").filter(near)
+                       .select("tic_id", "time", "flux"), "kept")
     for _ in range(DETREND_ITERATIONS):
-        trend = cut_lineage(_trend_of_segments(_segment(kept, windows)))
+        trend = cut_lineage(_trend_of_segments(_segment(kept, windows)), "trend")
         residual = F.col("flux") - F.col("trend")
         spread = trend.groupBy("tic_id").agg(F.stddev_pop(residual).alias("_spread"))
         calm = F.abs(residual) < F.col("_spread") * CLIP_SIGMA + F.lit(1e-14)
-        trend = trend.join(spread, "tic_id").filter(calm).drop("_spread")
+        trend = trend.join(spread, "tic_id").filter(calm).select(trend.columns)
         kept = trend.select("tic_id", "time", "flux")
     full = _interpolated(points, trend)
     return full.select("tic_id", "time", (F.col("flux") / F.col("trend")).alias("flux"))

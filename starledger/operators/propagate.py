@@ -224,7 +224,7 @@ def propagate(payloads: DataFrame, windows: DataFrame, shards: int | None = None
         "epoch", F.coalesce("bstar", F.lit(0.0)).cast("double").alias("bstar"),
         *[F.col(c).cast("double").alias(c) for c in _ELEMENTS])
     copied = windows.select("window_id", "start", "steps", "step_sec").withColumn(
-        "_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("bigint"))
+        "_shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(shards - 1).cast("bigint"))))
     age = (F.unix_micros("start") - F.unix_micros("epoch")) / F.lit(60000000.0)
     work = dealt.join(copied, "_shard").withColumn("epoch_age_min", age).drop(
         "epoch", "start", "_shard")

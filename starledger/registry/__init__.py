@@ -23,7 +23,8 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-MODULES = ["scans", "snapshots", "joins", "aggregates", "ranking", "scalars", "entities", "series"]
+MODULES = ["scans", "snapshots", "joins", "aggregates", "ranking", "scalars", "entities", "series",
+           "sky", "reports"]
 
 
 def load() -> tuple[dict, dict]:

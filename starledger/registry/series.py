@@ -16,6 +16,7 @@ from starledger.registry.ranking import BOX_DAYS
 from starledger.registry.scalars import MISS, SIGMA, _PMOD
 from starledger.registry.snapshots import GOOD, MIN_GOOD
 from starledger.registry.views import Tables, with_views
+from starledger.session import cut_lineage
 
 # The driver's series have a few dozen rows in a month, so windows, bins and grids are as coarse.
 WINDOW = 11
@@ -53,7 +54,7 @@ def _(spark, sf_dir):
 
 @query("l03_transit_safe_detrend")
 def _(spark, sf_dir):
-    points = lc.normalise(lc.good_cadences(Tables(spark, sf_dir).points, MIN_GOOD))
+    points = cut_lineage(lc.normalise(lc.good_cadences(Tables(spark, sf_dir).points, MIN_GOOD)))
     windows = points.select("tic_id").distinct().withColumn("window", F.lit(WINDOW))
     flat = lc.detrend(points.select("tic_id", "time", "flux"), windows)
     return flat.select("tic_id", F.round("time", 6).alias("time"), F.round("flux", 6).alias("flux"))
@@ -101,7 +102,7 @@ def _(spark, sf_dir):
 
 
 def _binned(t: Tables):
-    return lc.bin_series(t.series, BIN_MINUTES).select("tic_id", "time", "flux")
+    return cut_lineage(lc.bin_series(t.series, BIN_MINUTES).select("tic_id", "time", "flux"))
 
 
 def _limits(series):
@@ -130,7 +131,8 @@ def _(spark, sf_dir):
     limits = _limits(series)
     first = ps.search_periods(series, limits, "bls", max_periods=TRIAL_PERIODS)
     # The coarse grid counts as capped; this query is about the mask, so it searches all the same.
-    left = ps.without_signal(series, first.withColumn("grid_capped", F.lit(False)), 10)
+    left = cut_lineage(ps.without_signal(
+        series, first.withColumn("grid_capped", F.lit(False)), 10))
     return _found_columns(ps.search_periods(left, limits, "bls", max_periods=TRIAL_PERIODS))
 
 

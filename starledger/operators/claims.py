@@ -74,35 +74,45 @@ def _attributes(spec: ClaimSource) -> list[tuple[str, str | None]]:
     return [(a, u) for a, u in STAR_UNITS if a in STAR_ATTRIBUTES[spec.source]]
 
 
-def claims_of(raw: DataFrame, crosswalk: DataFrame, spec: ClaimSource) -> DataFrame:
-    """Claims of one source: one join to the crosswalk, then the unpivot.
-
-    Joining the wide row first ships each raw row once instead of once per attribute.  A value
-    attached to several entities yields a claim for each of them.
-    """
-    owner_id, other_id = f"{spec.owner}_id", "star_id" if spec.owner == "candidate" else "candidate_id"
-    owners = crosswalk.filter((F.col("id_type") == spec.id_type)
-                              & (F.col("source") == spec.asserted_by)
-                              & F.col(owner_id).isNotNull()
-                              ).select(F.col("id_value").alias("source_key"), owner_id)
-    reference = F.col(spec.reference) if spec.reference else F.lit(None).cast("string")
+def claim_rows(raw: DataFrame, spec: ClaimSource) -> DataFrame:
+    """One row per raw row with the identifier it is found by and everything it says."""
+    reference = F.col(spec.reference) if spec.reference else F.lit(None)
     said = F.array(*[
         F.struct(F.lit(a).alias("attribute"), _value(spec.source, a).cast("string").alias("value"),
                  F.lit(u).cast("string").alias("unit"))
         for a, u in _attributes(spec)])
-    rows = raw.select(F.col(spec.key).cast("string").alias("source_key"),
-                      said.alias("_said"), reference.alias("source_ref"),
-                      F.col("loaded_at").alias("observed_at"), "ingest_run_id", "raw_id")
-    return (rows.join(owners, "source_key")
-            .select("*", F.explode(F.filter("_said", lambda s: s["value"].isNotNull()))
-                    .alias("_claim"))
-            .select(F.col(owner_id), F.lit(None).cast("bigint").alias(other_id), "source_key",
-                    "_claim.attribute", "_claim.value", "_claim.unit",
-                    F.lit(spec.source).alias("source"), "source_ref", "observed_at",
-                    "ingest_run_id", "raw_id"))
+    return raw.select(
+        F.lit(spec.owner).alias("owner"), F.lit(spec.id_type).alias("id_type"),
+        F.lit(spec.asserted_by).alias("asserted_by"),
+        F.col(spec.key).cast("string").alias("source_key"), F.lit(spec.source).alias("source"),
+        F.filter(said, lambda s: s["value"].isNotNull()).alias("said"),
+        reference.cast("string").alias("source_ref"), F.col("loaded_at").alias("observed_at"),
+        "ingest_run_id", "raw_id")
+
+
+def attach_claims(rows: DataFrame, crosswalk: DataFrame) -> DataFrame:
+    """Claims of all rows: one join to the crosswalk, then the unpivot.
+
+    Joining before the unpivot ships each raw row once instead of once per attribute.  A value
+    attached to several entities yields a claim for each of them.
+    """
+    owners = crosswalk.select(
+        F.when(F.col("star_id").isNotNull(), "star").otherwise("candidate").alias("owner"),
+        "id_type", F.col("source").alias("asserted_by"), F.col("id_value").alias("source_key"),
+        "star_id", "candidate_id")
+    return (rows.join(owners, ["owner", "id_type", "asserted_by", "source_key"])
+            .withColumn("_claim", F.explode("said"))
+            .select("star_id", "candidate_id", "source_key", "_claim.*", "source", "source_ref",
+                    "observed_at", "ingest_run_id", "raw_id"))
+
+
+def claims_of(raw: DataFrame, crosswalk: DataFrame, spec: ClaimSource) -> DataFrame:
+    """Claims of one source about one kind of entity."""
+    return attach_claims(claim_rows(raw, spec), crosswalk)
 
 
 def all_claims(raw_tables: dict[str, DataFrame], crosswalk: DataFrame) -> DataFrame:
-    """Claims of every source present in ``raw_tables``."""
-    return union_all([claims_of(raw_tables[spec.table], crosswalk, spec)
-                      for spec in CLAIM_SOURCES if spec.table in raw_tables])
+    """Claims of every source present in ``raw_tables``, in a single join."""
+    return attach_claims(union_all([claim_rows(raw_tables[spec.table], spec)
+                                    for spec in CLAIM_SOURCES if spec.table in raw_tables]),
+                         crosswalk)

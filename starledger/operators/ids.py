@@ -25,14 +25,10 @@ def with_dense_id(df: DataFrame, id_col: str, order_by: list[str], start: int =
     before = F.coalesce(
         F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0))
-    offsets = counts.select("_part", before.alias("_before"))
-    if offset is not None:
-        offsets = offsets.crossJoin(F.broadcast(offset.select(F.col("offset").alias("_base"))))
-    else:
-        offsets = offsets.withColumn("_base", F.lit(0))
+    base = F.lit(0) if offset is None else offset.select("offset").scalar()
+    offsets = counts.select("_part", (before + base).alias("_before"))
     place_in_part = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     return (placed.withColumn("_part", part)
             .join(F.broadcast(offsets), "_part")
-            .withColumn(id_col, (place_in_part + F.col("_before") + F.col("_base")
-                                 + F.lit(start)).cast("bigint"))
-            .drop("_place", "_part", "_before", "_base"))
+            .withColumn(id_col, (place_in_part + F.col("_before") + F.lit(start)).cast("bigint"))
+            .drop("_place", "_part", "_before"))

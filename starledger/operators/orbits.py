@@ -79,7 +79,8 @@ def catalog_summary(satellites: DataFrame, elements: DataFrame, as_of: str,
                              since(30).alias("payloads_launched_30d"))
     tracked = (elements.filter(F.col("source") == source).select("norad_id").distinct()
                .agg(F.count("norad_id").alias("tracked_with_elements")))
-    return objects.crossJoin(tracked)  # one row each
+    return objects.select("*", tracked.select("tracked_with_elements").scalar()
+                          .alias("tracked_with_elements"))
 
 
 def current_owners(ownership: DataFrame, operators: DataFrame) -> DataFrame:
@@ -101,9 +102,9 @@ def owner_share(top: DataFrame, peak: DataFrame, name_like: str) -> DataFrame:
     """One row: the first listed owner whose name contains ``name_like``, in % of LEO objects."""
     named = top.filter(F.col("operator").ilike(f"%{name_like}%")).orderBy(
         F.col("payloads").desc(), "operator").limit(1)
-    share = F.floor(F.lit(100.0) * F.col("payloads") / F.col("leo_objects") + 0.5).cast("bigint")
-    return named.crossJoin(peak.select("leo_objects")).select(  # one row each
-        "operator", "payloads", share.alias("share_pct"))
+    total = peak.select("leo_objects").scalar()
+    share = F.floor(F.lit(100.0) * F.col("payloads") / total + 0.5).cast("bigint")
+    return named.select("operator", "payloads", share.alias("share_pct"))
 
 
 def leo_payloads(satellites: DataFrame, elements: DataFrame,

@@ -31,20 +31,18 @@ def grouped_median(df: DataFrame, keys: list[str], value: Column | str, out: str
     inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))  # NULL stands for "below"
     if keys:
         joined = rows.join(bounds, keys)
-        by = keys
     else:
-        joined = rows.crossJoin(F.broadcast(bounds))  # one row of bounds
-        by = []
+        joined = rows.withColumns({c: bounds.select(c).scalar() for c in ("_n", "_lo", "_hi")})
     counted = (joined.filter(F.col("_v") <= F.col("_hi"))
-               .groupBy(*by, inside.alias("_v"))
+               .groupBy(*keys, inside.alias("_v"))
                .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")))
     upto = F.sum("_c").over(
-        Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first())
+        Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     high_rank = F.floor(F.col("_n") / 2) + 1
     low_rank = high_rank if upper else F.floor((F.col("_n") + 1) / 2)
     ranked = counted.withColumn("_upto", upto)
-    middle = ranked.groupBy(*by).agg(
+    middle = ranked.groupBy(*keys).agg(
         F.min(F.when(F.col("_upto") >= low_rank, F.col("_v"))).alias("_low"),
         F.min(F.when(F.col("_upto") >= high_rank, F.col("_v"))).alias("_high"),
         F.max(F.when(F.col("_v").isNull(), F.col("_upto"))).alias("_below"),
@@ -53,7 +51,7 @@ def grouped_median(df: DataFrame, keys: list[str], value: Column | str, out: str
     sound = F.col("_high").isNotNull() & (F.coalesce(F.col("_below"), F.lit(0)) < F.col("_low_rank"))
     result = F.when(sound, (F.col("_low") + F.col("_high")) / 2).otherwise(
         F.raise_error(F.lit("median bracket missed the middle")).cast("double"))
-    return middle.select(*by, result.alias(out))
+    return middle.select(*keys, result.alias(out))
 
 
 def robust_sigma(df: DataFrame, keys: list[str], value: str, out: str = "sigma",

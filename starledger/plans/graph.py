@@ -231,8 +231,9 @@ def build_summary(graph: Graph) -> DataFrame:
     on_stars = resolution.coverage(graph.stars, specs.RESOLVED_STAR_ATTRIBUTES, "star")
     words = resolution.unmapped_words(graph.votes)
     unmapped = words.agg(F.count(F.lit(1)).alias("unmapped_dispositions"))
-    # One row each.
-    return sizes.crossJoin(on_candidates).crossJoin(on_stars).crossJoin(unmapped)
+    return sizes.select("*", *[one_row.select(c).scalar().alias(c)
+                               for one_row in (on_candidates, on_stars, unmapped)
+                               for c in one_row.columns])
 
 
 def audit_by_rule(graph: Graph) -> DataFrame:

@@ -443,7 +443,8 @@ def _(spark, sf_dir):
     # Distinct words of a handful of sources.
     words = resolution.unmapped_words(votes).agg(F.array_join(F.array_sort(F.collect_set(
         F.concat_ws("=", "source", "value"))), ",").alias("unmapped"))
-    return cf.table_counts(graph_tables(t)).crossJoin(resolved).crossJoin(words)
+    return cf.table_counts(graph_tables(t)).select(
+        "*", resolved.scalar().alias("disposition_resolved"), words.scalar().alias("unmapped"))
 
 
 @query("a27_selection_summary", with_views("targets") + """

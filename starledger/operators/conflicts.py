@@ -92,20 +92,21 @@ def report_conflicts(claims: DataFrame, eid: str, attribute: str, tolerance: flo
 
 
 def short_number(value: Column) -> Column:
-    """A double with four significant digits, as ``%.4g`` prints it (no trailing zeros)."""
+    """A double with four significant digits, as ``%.4g`` prints it (no trailing zeros).
+
+    Between 0.001 and 10000 the number is rounded as a number, far cheaper than formatting it.
+    """
     magnitude = F.floor(F.log10(F.abs(value)))
+    scale = F.pow(F.lit(10.0), F.lit(3) - magnitude)
+    plain = F.regexp_replace((F.rint(value * scale) / scale).cast("string"), r"\.0$", "")
     text = F.format_string("%.3e", value)
     mantissa = F.regexp_replace(F.substring_index(text, "e", 1), r"\.?0+$", "")
     exponent = F.substring_index(text, "e", -1)
-    rounded_magnitude = exponent.cast("int")
-    scientific = F.concat(mantissa, F.lit("e"), exponent)
-    plain = [F.when(rounded_magnitude == m, F.format_string(f"%.{3 - m}f", value))
-             for m in range(-4, 4)]
-    fixed = F.coalesce(*plain)
-    trimmed = F.when(F.instr(fixed, ".") > 0,
-                     F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
+    tiny = F.regexp_replace(F.format_string("%.7f", value), r"\.?0+$", "")
     return (F.when(value == 0, F.lit("0"))
-            .when(magnitude.isNull() | fixed.isNull(), scientific).otherwise(trimmed))
+            .when((magnitude >= -3) & (magnitude < 4) & (F.abs(value) < 9999.5), plain)
+            .when(exponent == "-04", tiny)
+            .otherwise(F.concat(mantissa, F.lit("e"), exponent)))
 
 
 def label_candidates(conflicts: DataFrame, candidates: DataFrame, stars: DataFrame) -> DataFrame:

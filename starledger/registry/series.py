@@ -9,6 +9,7 @@ from starledger.operators import dips, grading
 from starledger.operators import lightcurve as lc
 from starledger.operators import periodsearch as ps
 from starledger.operators import vetting
+from starledger.operators.blocks import longest_segment
 from starledger.plans import processing
 from starledger.registry import query
 from starledger.registry.aggregates import GRADE_VIEWS, GRADED
@@ -165,8 +166,9 @@ def _(spark, sf_dir):
            n AS segment_points, CASE WHEN NOT (n >= 55 AND b >= 2) THEN 'best segment too short (' || n
            || ' pts, ' || format('{:.1f}', b) || ' d)' END AS reason FROM best""")
 def _(spark, sf_dir):
-    _, outcome = ps.template_check(Tables(spark, sf_dir).series.select("tic_id", "time", "flux"), 55)
-    return outcome.select("tic_id", "status", "segment_points", "reason")
+    segment = longest_segment(Tables(spark, sf_dir).series, ["tic_id"], "time",
+                              specs.SEGMENT_GAP_DAYS)
+    return ps.template_outcome(segment, 55).select("tic_id", "status", "segment_points", "reason")
 
 
 @query("l08_single_event_scan", with_views("series") + f", {SIGMA}, boxed AS (" + " UNION ALL ".join(

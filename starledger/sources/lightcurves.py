@@ -104,8 +104,8 @@ def write_points(points: DataFrame, path: str, tic_buckets: int = 256) -> None:
     bucket, rows sorted by target inside, prunes just as well through row-group statistics.
     """
     bucketed = points.withColumn("tic_bucket", tic_bucket(F.col("tic_id"), tic_buckets))
-    # The sector joins the key so one target's rows are written by many tasks.
-    (bucketed.repartition("tic_bucket", "tic_id", "sector")
+    # Rebalancing gathers a bucket into few files and splits one that is too large for a task.
+    (bucketed.hint("rebalance", "tic_bucket")
      .sortWithinPartitions("tic_bucket", "tic_id", "time")
      .write.partitionBy("tic_bucket").mode("append").parquet(path))
 

@@ -53,13 +53,13 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int,
 def latest_snapshot(raw: DataFrame, ledger: DataFrame, run: str = "ingest_run_id") -> DataFrame:
     """Rows of the newest landing whose load closed ``ok`` (an empty frame when none did).
 
-    The newest run id is a one-row aggregate; joined back on the partition column it prunes
-    every other snapshot from the scan.
+    The newest run id is a scalar subquery; compared with the partition column it prunes every
+    other snapshot from the scan.
     """
     ok = ledger.filter(F.col("status") == "ok").select(F.col(run).alias("_run"))
     runs = raw.groupBy(F.col(run).alias("_run")).agg(F.lit(1).alias("_one"))
-    newest = runs.join(ok, "_run", "left_semi").agg(F.max("_run").alias("_run"))
-    return raw.join(F.broadcast(newest), F.col(run) == F.col("_run"), "left_semi")
+    newest = runs.join(ok, "_run", "left_semi").agg(F.max("_run"))
+    return raw.filter(F.col(run) == newest.scalar())
 
 
 def last_per_endpoint(ledger: DataFrame, by: str = "started_at",

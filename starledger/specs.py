@@ -265,6 +265,7 @@ TRIAL_DURATIONS_DAYS = [0.04, 0.06, 0.08, 0.12, 0.18, 0.25, 0.35, 0.5]
 MIN_GOOD_CADENCES = 50
 BJD_MINUS_BTJD = 2457000.0
 SNR_MIN = 7.0
+SHALLOW_PPM = 500
 HARMONICS = [1.0, 2.0, 0.5, 3.0, 1.0 / 3.0, 1.5, 2.0 / 3.0]
 
 # --- fixed values: false-positive vetting --------------------------------------------------------
@@ -306,6 +307,20 @@ DENSITY_LEVELS = 6
 TOP_OWNERS = 8
 CURRENT_ELEMENT_SOURCE = "celestrak_gp"
 
+# --- fixed values: wording of recorded reasons and flags ---------------------------------------------
+MISS_LONG_PERIOD = "P=%.1f d > 50 d periodic-search cap (blind spot; needs single-event)"
+MISS_SHALLOW = "shallow (%.0f ppm); best BLS/TLS SNR=%.1f < 7"
+MISS_NO_SIGNAL = "no signal above SNR 7 (best=%.1f); detrending/short baseline?"
+MISS_OTHER_SIGNAL = "strongest signal did not match catalog P (best SNR=%.1f); wrong-alias/blend?"
+FLAG_ODD_EVEN = "odd/even %.1fsigma"
+FLAG_SECONDARY = "secondary SNR %.1f"
+FLAG_DEEP = "deep %.1f%%"
+FLAG_NONE = "no strong FP tell"
+NOTE_NO_FILES = "no light-curve files"
+NOTE_ALL_MASKED = "all sectors empty after quality mask"
+NOTE_SHORT_SEGMENT = "best segment too short (%d pts, %.1f d)"
+NOTE_SINGLE_DIP = "single dip localised; no period inferred"
+
 
 def _rows(text: str) -> list[tuple[str, ...]]:
     return [tuple(cell.strip() for cell in line.split("|"))

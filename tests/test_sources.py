@@ -108,3 +108,18 @@ def test_later_seed_wins(spark):
     got = {(r.source_value): r.canonical for r in latest_seed(words).collect()}
     assert got == {"X": "CONFIRMED", "Y": "CONFIRMED"}
     assert latest_seed(specs.vocabulary(spark)).count() == 29
+
+
+def test_latest_snapshot_prunes_partitions(spark, tmp_path):
+    from starledger.operators.picks import latest_snapshot
+
+    path = str(tmp_path / "raw")
+    for run in (1, 2, 3):
+        landing.land(spark.range(run), path, run)
+    book = spark.createDataFrame([(1, "ok"), (2, "ok"), (3, "error")],
+                                 "ingest_run_id bigint, status string")
+    newest = latest_snapshot(spark.read.parquet(path), book)
+    assert newest.count() == 2  # an error run newer than the ok run does not count
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ingest_run_id" in plan and "Subquery" in plan
+    assert latest_snapshot(spark.read.parquet(path), book.filter("false")).isEmpty()

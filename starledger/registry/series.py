@@ -126,6 +126,47 @@ def _(spark, sf_dir):
                                             max_periods=TRIAL_PERIODS, chunk_periods=100))
 
 
+GRID_PERIODS, GRID_DAYS = 40, [0.5, 1.0]
+
+
+@query("l05_box_search_grid", with_views("series") + f"""
+    , s0 AS (SELECT tic_id, min(time) AS t0 FROM series GROUP BY 1),
+    binned AS (SELECT tic_id, avg(time) AS time, avg(flux) AS flux FROM series JOIN s0 USING (tic_id)
+        GROUP BY tic_id, CAST(floor((time - t0) / ({BIN_MINUTES} / 1440e0)) AS BIGINT)),
+    base AS (SELECT tic_id, min(time) AS t0, max(time) - min(time) AS span, median(flux) AS med,
+        stddev_pop(flux) AS std, count(*) AS n_all, sum(flux) AS s_all FROM binned GROUP BY 1),
+    noise AS (SELECT b.tic_id, CASE WHEN median(abs(flux - med)) > 0 THEN
+        median(abs(flux - med)) * 1.4826e0 ELSE any_value(std) END AS sigma
+        FROM binned b JOIN base USING (tic_id) GROUP BY 1),
+    trial AS (SELECT *, 0.6e0 * exp(i * ln(least(greatest(span / 2, 1e0), 50e0) / 0.6e0)
+        / {GRID_PERIODS - 1}) AS p FROM (SELECT *, unnest(range(0, {GRID_PERIODS})) AS i FROM base)),
+    folded AS (SELECT t.tic_id, i, least(CAST(floor(((b.time - t0) % p) / 0.05e0) AS BIGINT),
+        CAST(ceil(p / 0.05e0) AS BIGINT) - 1) AS place, med - flux AS dip
+        FROM trial t JOIN binned b USING (tic_id)),
+    sums AS (SELECT tic_id, i, place, count(*) AS n, sum(dip) AS w FROM folded GROUP BY 1, 2, 3),
+    dense AS (SELECT tic_id, i, nb, n_all, n_all * med - s_all AS total, unnest(range(0, nb + 19)) AS b
+        FROM (SELECT *, CAST(ceil(p / 0.05e0) AS BIGINT) AS nb FROM trial)),
+    filled AS (SELECT d.*, coalesce(n, 0) AS n, coalesce(w, 0) AS w FROM dense d
+        LEFT JOIN sums s ON s.tic_id = d.tic_id AND s.i = d.i AND s.place = d.b % nb),
+    boxes AS (SELECT *, sum(n) OVER s10 AS n10, sum(w) OVER s10 AS w10, sum(n) OVER s20 AS n20,
+        sum(w) OVER s20 AS w20 FROM filled
+        WINDOW s10 AS (PARTITION BY tic_id, i ORDER BY b ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING),
+               s20 AS (PARTITION BY tic_id, i ORDER BY b ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+    tried AS (SELECT tic_id, i, n_all, total, n10 AS n_in, w10 AS w_in FROM boxes WHERE b < nb
+        UNION ALL SELECT tic_id, i, n_all, total, n20, w20 FROM boxes WHERE b < nb AND nb >= 20),
+    power AS (SELECT tic_id, i, greatest(0, max((w_in / n_in - (total - w_in) / (n_all - n_in))
+        / (sigma * sqrt(1e0 / n_in + 1e0 / (n_all - n_in))))) AS p FROM tried JOIN noise USING (tic_id)
+        WHERE n_in > 0 AND n_in < n_all GROUP BY 1, 2)
+    SELECT tic_id, round(max(p), 5) AS snr, round((max(p) - median(p)) / stddev_pop(p), 4) AS sde,
+        CAST(count(*) AS INTEGER) AS n_periods, true AS grid_capped FROM power GROUP BY 1""")
+def _(spark, sf_dir):
+    series = _binned(Tables(spark, sf_dir))
+    found = ps.search_periods(series, _limits(series), "bls", durations=GRID_DAYS,
+                              max_periods=GRID_PERIODS, chunk_periods=8)
+    return found.select("tic_id", F.round("snr", 5).alias("snr"), F.round("sde", 4).alias("sde"),
+                        "n_periods", "grid_capped")
+
+
 @query("l06_second_pass_after_mask")
 def _(spark, sf_dir):
     series = _binned(Tables(spark, sf_dir))

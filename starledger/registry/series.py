@@ -129,8 +129,9 @@ def _(spark, sf_dir):
 GRID_PERIODS, GRID_DAYS = 40, [0.5, 1.0]
 
 
-@query("l05_box_search_grid", with_views("series") + f"""
-    , s0 AS (SELECT tic_id, min(time) AS t0 FROM series GROUP BY 1),
+def _folded_grid(width: float) -> str:
+    """Binned series folded on a short log grid: trials and phase-bin sums of (median - flux)."""
+    return f""", s0 AS (SELECT tic_id, min(time) AS t0 FROM series GROUP BY 1),
     binned AS (SELECT tic_id, avg(time) AS time, avg(flux) AS flux FROM series JOIN s0 USING (tic_id)
         GROUP BY tic_id, CAST(floor((time - t0) / ({BIN_MINUTES} / 1440e0)) AS BIGINT)),
     base AS (SELECT tic_id, min(time) AS t0, max(time) - min(time) AS span, median(flux) AS med,
@@ -140,10 +141,14 @@ GRID_PERIODS, GRID_DAYS = 40, [0.5, 1.0]
         FROM binned b JOIN base USING (tic_id) GROUP BY 1),
     trial AS (SELECT *, 0.6e0 * exp(i * ln(least(greatest(span / 2, 1e0), 50e0) / 0.6e0)
         / {GRID_PERIODS - 1}) AS p FROM (SELECT *, unnest(range(0, {GRID_PERIODS})) AS i FROM base)),
-    folded AS (SELECT t.tic_id, i, least(CAST(floor(((b.time - t0) % p) / 0.05e0) AS BIGINT),
-        CAST(ceil(p / 0.05e0) AS BIGINT) - 1) AS place, med - flux AS dip
+    folded AS (SELECT t.tic_id, i, least(CAST(floor(((b.time - t0) % p) / {width}e0) AS BIGINT),
+        CAST(ceil(p / {width}e0) AS BIGINT) - 1) AS place, med - flux AS dip
         FROM trial t JOIN binned b USING (tic_id)),
-    sums AS (SELECT tic_id, i, place, count(*) AS n, sum(dip) AS w FROM folded GROUP BY 1, 2, 3),
+    sums AS (SELECT tic_id, i, place, count(*) AS n, sum(dip) AS w FROM folded GROUP BY 1, 2, 3),"""
+
+
+@query("l05_box_search_grid", with_views("series") + f"""
+    {_folded_grid(0.05)}
     dense AS (SELECT tic_id, i, nb, n_all, n_all * med - s_all AS total, unnest(range(0, nb + 19)) AS b
         FROM (SELECT *, CAST(ceil(p / 0.05e0) AS BIGINT) AS nb FROM trial)),
     filled AS (SELECT d.*, coalesce(n, 0) AS n, coalesce(w, 0) AS w FROM dense d
@@ -197,6 +202,30 @@ def _(spark, sf_dir):
     return _found_columns(found)
 
 
+TEMPLATE_DAYS = [1.0, 2.0]
+
+
+@query("l07_template_search_grid", with_views("series") + f"""
+    {_folded_grid(0.25)}
+    raw_shape AS (SELECT len, k, sqrt(1 - pow((k + 0.5e0) / len * 2 - 1, 2)) AS mu
+        FROM (SELECT len, unnest(range(0, len)) AS k FROM (SELECT unnest([4, 8]) AS len))),
+    unscaled AS (SELECT len, k, 1 - 0.4804e0 * (1 - mu) - 0.1867e0 * pow(1 - mu, 2) AS s FROM raw_shape),
+    shape AS (SELECT len, k, s / max(s) OVER (PARTITION BY len) AS s FROM unscaled),
+    fits AS (SELECT tic_id, i, len, (place - k + nb) % nb AS start, sum(w * s) AS cross_sum,
+        sum(n * s * s) AS norm FROM sums JOIN (SELECT tic_id, i, CAST(ceil(p / 0.25e0) AS BIGINT) AS nb
+            FROM trial) USING (tic_id, i) JOIN shape ON len <= nb GROUP BY 1, 2, 3, 4),
+    power AS (SELECT t.tic_id, t.i, greatest(0, coalesce(max(cross_sum / sqrt(norm) / sigma), 0)) AS p
+        FROM trial t JOIN noise USING (tic_id) LEFT JOIN fits f ON f.tic_id = t.tic_id AND f.i = t.i
+        GROUP BY 1, 2)
+    SELECT tic_id, round(max(p), 5) AS snr, round((max(p) - median(p)) / stddev_pop(p), 4) AS sde
+    FROM power GROUP BY 1""")
+def _(spark, sf_dir):
+    series = _binned(Tables(spark, sf_dir))
+    found = ps.search_periods(series, _limits(series), "tls", durations=TEMPLATE_DAYS,
+                              max_periods=GRID_PERIODS, chunk_periods=8)
+    return found.select("tic_id", F.round("snr", 5).alias("snr"), F.round("sde", 4).alias("sde"))
+
+
 @query("l07_template_outcome", with_views("series") + """
     , stepped AS (SELECT *, time - lag(time) OVER (PARTITION BY tic_id ORDER BY time) AS step FROM series),
     seg AS (SELECT *, sum(CASE WHEN step > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY tic_id ORDER BY time)

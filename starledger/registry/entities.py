@@ -8,6 +8,8 @@ from starledger import specs
 from starledger.operators import designations as dz
 from starledger.operators import dossier as ds
 from starledger.operators import links, resolution, selection
+from starledger.operators.claims import (CANDIDATE_UNITS, CLAIM_SOURCES, DISPOSITION_COLUMN,
+                                          STAR_ATTRIBUTES)
 from starledger.plans import graph
 from starledger.registry import query
 from starledger.registry.aggregates import FLAGS, LAST_CLAIM, VOTES, representative_targets
@@ -233,6 +235,38 @@ def _(spark, sf_dir):
     return _graph(spark, sf_dir).candidates.select("star_id", "candidate_id", "canonical_name")
 
 
+def _claim_counts() -> str:
+    """Claims per source, level and attribute, one SELECT for each."""
+    word = {**DISPOSITION_COLUMN, "ps": "soltype", "pscomppars": "pl_name"}
+    parts = []
+    for spec in CLAIM_SOURCES:
+        owners = {"candidate": f"cand_links l ON l.id_type = '{spec.id_type}' AND l.source = "
+                               f"'{spec.asserted_by}' AND l.id_value = CAST(r.{spec.key} AS VARCHAR)",
+                  "star": f"seen l ON l.source = '{spec.asserted_by}' AND l.tic_id = r.{spec.key}"}
+        owner = ("kic l ON l.kepid = r.kepid" if spec.id_type == "kic" else owners[spec.owner])
+        attributes = (CANDIDATE_UNITS if spec.owner == "candidate" else
+                      [(a, None) for a in STAR_ATTRIBUTES[spec.source]])
+        for attribute, _ in attributes:
+            column = attribute
+            if attribute == "disposition":
+                column = word[spec.source]
+            elif attribute == "depth_ppm" and spec.source in ("ps", "pscomppars"):
+                column = "depth_pct"
+            if spec.source == "exofop_ctoi" and spec.owner == "star":
+                continue
+            parts.append(f"SELECT '{spec.source}' AS source, '{spec.owner}' AS level, '{attribute}' "
+                         f"AS attribute, count(*) AS n FROM {spec.table} r JOIN {owner} "
+                         f"WHERE r.{column} IS NOT NULL")
+    return " SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE n > 0"
+
+
+@query("e09_graph_build_claims", _BUILD + _claim_counts())
+def _(spark, sf_dir):
+    level = F.when(F.col("star_id").isNotNull(), "star").otherwise("candidate").alias("level")
+    return _graph(spark, sf_dir).claims.groupBy("source", level, "attribute").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 @query("e09_graph_build_summary")
 def _(spark, sf_dir):
     return graph.build_summary(_graph(spark, sf_dir))

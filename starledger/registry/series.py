@@ -93,13 +93,13 @@ _LENGTHS = [int(round(d / FOLD_BIN)) for d in FOLD_DAYS]
         WHERE n_in < n_all),
     snrs AS (SELECT *, depth / (sigma * sqrt(1e0 / n_in + 1e0 / (n_all - n_in))) AS snr FROM scored
         JOIN noise USING (tic_id) WHERE depth > 0)
-    SELECT DISTINCT ON (tic_id, period) tic_id, period, round(snr, 6) AS snr, round(depth, 9) AS depth,
+    SELECT DISTINCT ON (tic_id, period) tic_id, period, round(snr, 6) AS snr,
         len * {FOLD_BIN}e0 AS duration, start AS phase_bin, CAST(n_in AS BIGINT) AS n_in FROM snrs
     ORDER BY tic_id, period, round(snr, 9) DESC, len, start""")
 def _(spark, sf_dir):
     rows = ps.folded_boxes(Tables(spark, sf_dir).series, FOLD_PERIODS, FOLD_DAYS, FOLD_BIN)
-    return rows.select("tic_id", "period", F.round("snr", 6).alias("snr"),
-                       F.round("depth", 9).alias("depth"), "duration", "phase_bin", "n_in")
+    return rows.select("tic_id", "period", F.round("snr", 6).alias("snr"), "duration",
+                       "phase_bin", "n_in")
 
 
 def _binned(t: Tables):

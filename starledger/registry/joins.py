@@ -8,13 +8,12 @@ from starledger import specs
 from starledger.operators import claims as cl
 from starledger.operators import conflicts as cf
 from starledger.operators import dossier as ds
-from starledger.operators import grading, links, orbits, picks, search, selection, sightline
+from starledger.operators import grading, links, orbits, search, selection, sightline
 from starledger.operators import skymatch
-from starledger.operators.ids import with_dense_id
 from starledger.plans import graph
 from starledger.registry import query
 from starledger.registry.snapshots import raw_tables
-from starledger.registry.views import Tables, ctes, with_views
+from starledger.registry.views import Tables, with_views
 
 _TIC_RAW = ("raw_exofop_toi", "raw_exofop_ctoi", "raw_nea_toi", "raw_ps", "raw_pscomppars")
 _TAGGED = [("raw_exofop_toi", "tic_id", "exofop"), ("raw_exofop_ctoi", "tic_id", "exofop"),
@@ -518,7 +517,3 @@ def _(spark, sf_dir):
     existing = rows.filter("source = 'exofop'")
     return links.drop_existing(rows.unionByName(rows), existing).select(
         "star_id", "candidate_id", "id_type", "id_value", "source")
-
-
-__all__ = ["CURRENT", "MAPPED", "OBS_VIEWS", "OWNERS", "SEARCH", "SIGHT", "ctes", "picks",
-           "with_dense_id"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from starledger.llm import exact_dedup
+import public_tokenizers
+
+from starledger.llm import exact_dedup, near_dedup, packing
 from starledger.llm.common import table
 
 QUERIES: dict = {}
@@ -29,3 +31,14 @@ def query(name: str, sql: str | None = None):
     FROM d""")
 def op1(spark, sf_dir):
     return exact_dedup.groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query("op8_best_fit_packing")
+def op8(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"),
+                        public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=2048, end_id=0)
+
+
+@query("op10_minhash_near_dedup")
+def op10(spark, sf_dir):
+    return near_dedup.classes(table(spark, sf_dir, "documents"), n_words=4, percent=80)

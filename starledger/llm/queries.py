@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from starledger.llm import exact_dedup, near_dedup, packing
+from starledger.llm import (bpe, chat_format, exact_dedup, near_dedup, packing, quality_qda, quality_rules,
+                            toxicity, url_filter, warc)
 from starledger.llm.common import table
+from starledger.session import scratch_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -33,12 +36,105 @@ def op1(spark, sf_dir):
     return exact_dedup.groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+@query("op2_quality_rules")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op3_chat_perspectives", """
+    WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text
+               FROM conversations),
+    p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+    h AS (SELECT t.*, perspective,
+                 '<|' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN speaker
+                              ELSE 'user name=' || speaker END || '|>' || chr(10) AS head
+          FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+    s AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM h),
+    r AS (SELECT *, row_number() OVER w - 1 AS position,
+                 coalesce(CAST(sum(length(segment)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                               AS BIGINT), 0) AS segment_start
+          FROM s WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text))
+    SELECT conv_id, perspective, position, speaker, segment, segment_start,
+           CASE WHEN speaker = perspective THEN segment_start + length(head) END AS mask_start,
+           CASE WHEN speaker = perspective THEN segment_start + length(segment) END AS mask_end
+    FROM r""")
+def op3(spark, sf_dir):
+    return chat_format.perspectives(table(spark, sf_dir, "conversations"))
+
+
+@query("op4_warc_archives", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha1(encode(body)) AS h,
+                 min(page_id) OVER (PARTITION BY body) AS first_id FROM p),
+    b AS (SELECT *, array_to_string(list_transform(range(1, 41),
+              lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011',
+                    '1100','1101','1110','1111'][strpos('0123456789abcdef', substr(h, i, 1))]), '') AS bits FROM d)
+    SELECT page_id, payload_bytes,
+           array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               1 + 16 * CAST(substr(bits, 5*i+1, 1) AS INT) + 8 * CAST(substr(bits, 5*i+2, 1) AS INT)
+                 + 4 * CAST(substr(bits, 5*i+3, 1) AS INT) + 2 * CAST(substr(bits, 5*i+4, 1) AS INT)
+                 + CAST(substr(bits, 5*i+5, 1) AS INT), 1)), '') AS payload_digest,
+           CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM b""")
+def op4(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages"), scratch_path(spark, "warc")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_byte_bpe")
+def op5(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"),
+                          public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block"))
+#: A host is put on the list if one of its labels has one of these words.
+LISTED_WORDS = "(^|[^a-z0-9])(casino|spam|adult|ads|track|malware|phishing)([^a-z0-9]|$)"
+
+
+@query("op6_url_filter", f"""
+    WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    f AS (SELECT *, CASE
+            WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/')
+              THEN 'www.example.com/en/'
+            WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/')
+              THEN 'example.com/en/'
+            WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+            WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+            WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM u)
+    SELECT page_id, host, path, rule,
+           CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+                WHEN regexp_matches(host, '{LISTED_WORDS}') THEN 'block' ELSE 'allow' END AS verdict
+    FROM f""")
+def op6(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    host, _ = url_filter.host_and_path(F.col("url"))
+    listed = pages.select(host.alias("key")).distinct().filter(F.col("key").rlike(LISTED_WORDS))
+    return url_filter.judge(pages, listed, URL_RULES)
+
+
+@query("op7_quality_classifier")
+def op7(spark, sf_dir):
+    return quality_qda.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op8_best_fit_packing")
 def op8(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"),
                         public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=2048, end_id=0)
 
 
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op10_minhash_near_dedup")
 def op10(spark, sf_dir):
     return near_dedup.classes(table(spark, sf_dir, "documents"), n_words=4, percent=80)

@@ -44,9 +44,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _chunk_words(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _chunk_words(raw: np.ndarray, breaks: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     """Start and number of each word of ``raw``; ``breaks`` are document starts inside it."""
-    low = _LOWER[raw]
+    low = _LOWER[raw] if fold else raw
     word = _IS_WORD[raw]
     opens = word.copy()
     opens[1:] &= ~word[:-1]
@@ -64,8 +64,11 @@ def _chunk_words(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, mix(numbers + (closes - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all words of a text column in order, and the first word's place per row (n + 1)."""
+def words(array: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all words of a text column in order, and the first word's place per row (n + 1).
+
+    ``fold``: capital letters A-Z count as small ones.
+    """
     kind = np.int64 if pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type) else np.int32
     buffers = array.buffers()
     n = len(array)
@@ -86,7 +89,7 @@ def words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
                 behind = ends[ends > at]
                 stop = min(at + int(later[0]) if len(later) else len(data), int(behind[0]))
         inside = ends[(ends > at) & (ends < stop)] - at
-        s, h = _chunk_words(data[at:stop], inside)
+        s, h = _chunk_words(data[at:stop], inside, fold)
         starts.append(s + at)
         numbers.append(h)
         at = stop
@@ -97,18 +100,24 @@ def words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _STEP = [np.uint64(x) for x in (_RNG.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1))]
 
 
+def windows(numbers: np.ndarray, n_words: int) -> np.ndarray:
+    """A number for each run of ``n_words`` words, across row ends too."""
+    m = len(numbers) - n_words + 1
+    if m <= 0:
+        return np.empty(0, np.uint64)
+    rolled = numbers[:m] * _STEP[0]
+    for k in range(1, n_words):
+        rolled = rolled + numbers[k:m + k] * _STEP[k]
+    return mix(rolled)
+
+
 def sets(array: pa.Array, n_words: int) -> list[np.ndarray]:
     """Per row the sorted distinct shingles of ``n_words`` words.
 
     A row with fewer words has the whole sequence as its only shingle; one without words has none.
     """
     numbers, first = words(array)
-    m = len(numbers)
-    if m >= n_words:
-        rolled = numbers[:m - n_words + 1] * _STEP[0]
-        for k in range(1, n_words):
-            rolled = rolled + numbers[k:m - n_words + 1 + k] * _STEP[k]
-        rolled = mix(rolled)
+    rolled = windows(numbers, n_words)
     out = []
     for a, b in zip(first[:-1], first[1:]):
         if b - a >= n_words:

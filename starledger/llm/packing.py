@@ -273,8 +273,10 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
             done += k
 
     order = ["length", "id", "piece", "crc"]
+    # Written first: sampling the range sort's split points would tokenise everything once more.
+    tokenised = cut_lineage(pieces(slim, vocabulary, capacity, end_id), "tokens")
     ranked = cut_lineage(
-        pieces(slim, vocabulary, capacity, end_id).repartitionByRange(n, *order).sortWithinPartitions(*order)
+        tokenised.repartitionByRange(n, *order).sortWithinPartitions(*order)
         .mapInArrow(numbered, "id bigint, piece int, start bigint, length bigint, crc bigint, pid int, at bigint"),
         "pieces")
     # At most one row per length, and one per range.

@@ -18,8 +18,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
-    # Rows that carry whole binned series are large; a batch is bounded by bytes, not by rows.
-    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+    # Rows that carry whole texts or series are large; a batch is bounded by bytes, not by rows, and
+    # is held twice by the JVM and twice by its Python worker.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 

@@ -1,14 +1,15 @@
 """Near-duplicate documents by an LSH forest.
 
 Every distinct shingle set gets ``TREES`` labels of ``DEPTH`` MinHash values.  In each tree the
-labels are sorted; sets that share their first ``MIN_DEPTH`` values form a region, and the
-neighbours with the longest common prefix are candidates.  Depth adapts to the region: a neighbour
-further away in the order has to share a longer prefix (``REACH``), so sparse regions are compared
-whole and dense ones deeper.  Candidates are confirmed on the full sets.
+labels are sorted; sets that share their first ``MIN_DEPTH`` values form a region, and neighbours
+with the longest common prefix are candidates, confirmed on the full sets.  Depth adapts to the
+region: a region of up to ``BLOCK`` rows is compared whole, a denser one in overlapping blocks along
+its sorted order, whose rows share longer prefixes.
 
-The rounds keep large groups of near copies linear: first the direct neighbours in two trees, then
-direct neighbours in all trees, then all neighbours within reach, and each round only asks about
-pairs that earlier links have not connected.  Copies (equal sets) are one node throughout.
+The rounds keep large groups of near copies linear: first direct neighbours in two trees, then
+direct neighbours in all trees, then blocks, and each round only asks about rows that earlier links
+have not connected.  Copies (equal sets) are one node throughout.  Joins with texts and sets are
+sort-merge joins at every size: the tables grow with the corpus.
 
 Defined results: null or blank text has an empty set and no link; rows that share an id are one
 document; documents without an id take part and a group of such documents only has no component
@@ -31,8 +32,9 @@ from starledger.session import cut_lineage
 TREES = 32
 DEPTH = 8
 MIN_DEPTH = 5
-#: By the length of the common prefix, how far apart two rows of a tree's order may stand.
-REACH = {5: 8, 6: 16, 7: 32, 8: 64}
+BLOCK = 128                             # rows of a region whose sets are compared in one block
+BLOCK_SHINGLES = 4_000_000              # shingles of a block at most, unless two rows have more
+SLAB = 8_192                            # shingles per slice of the comparison
 LABEL = 2 * DEPTH                       # bytes
 REGION = 1 + 2 * MIN_DEPTH              # bytes of tree and shared prefix in a key
 NO_ID = 1 << 62                         # nodes of documents without an id lie above it
@@ -110,74 +112,92 @@ def _crowded(forest: DataFrame) -> DataFrame:
     return _ordered(forest.select("label", "node", "n")).mapInArrow(shared, "label binary, node bigint, n bigint")
 
 
-def _neighbours(rows: DataFrame, reach: dict[int, int], threshold: float) -> DataFrame:
-    """Candidate pairs (a, b) of rows (label, node, n, root) within ``reach`` of each other.
+def _neighbours(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of direct neighbours in a region whose roots differ; rows are (label, node, n, root).
 
-    Each range of the sorted order is read as a stream with the last few rows kept; the rows at
-    the ends of the ranges, a fixed number each, are compared once more across the ranges.
+    Each range of the sorted order is read as a stream; the two outermost rows of every range are
+    compared once more across the ranges.
     """
-    width = max(reach.values())
-    far = np.zeros(DEPTH + 1, np.int64)
-    for depth, distance in reach.items():
-        far[depth] = distance
-
-    def pairs(table: pa.Table, fresh: int):
-        """Pairs whose later row is one of the last ``fresh`` rows."""
-        n = table.num_rows
-        label = np.frombuffer(b"".join(table.column("label").to_pylist()), np.uint8).reshape(n, 1 + LABEL)
-        node, size, root = (table.column(c).to_numpy() for c in ("node", "n", "root"))
-        value = label[:, 1:].copy().view(">u2")
-        out = []
-        for d in range(1, min(width, n - 1) + 1):
-            first = max(n - fresh - d, 0)
-            i = np.arange(first, n - d)
-            i = i[(label[i, 0] == label[i + d, 0]) & (root[i] != root[i + d]) & (node[i] != node[i + d])]
-            i = i[(value[i, :MIN_DEPTH] == value[i + d, :MIN_DEPTH]).all(axis=1)]
-            if not len(i):
-                continue
-            j = i + d
-            depth = np.cumprod(value[i] == value[j], axis=1).sum(axis=1)
-            fits = (d <= far[depth]) & (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]))
-            out.append((np.minimum(node[i], node[j])[fits], np.maximum(node[i], node[j])[fits]))
-        a = np.concatenate([x for x, _ in out]) if out else np.empty(0, np.int64)
-        b = np.concatenate([x for _, x in out]) if out else np.empty(0, np.int64)
-        return a, b
+    names = ["label", "node", "n", "root"]
+    schema = "a bigint, b bigint, label binary, node bigint, n bigint, root bigint"
 
-    def stream(batches, edges: bool):
-        names = ["a", "b", "label", "node", "n", "root"]
-
-        def rows_of(a, b, ends=None):
-            k = ends.num_rows if ends is not None else 0
-            pad = lambda t: pa.nulls(len(a), t)
-            arrays = [pa.concat_arrays([pa.array(a, pa.int64()), pa.nulls(k, pa.int64())]),
-                      pa.concat_arrays([pa.array(b, pa.int64()), pa.nulls(k, pa.int64())])]
-            for c, t in zip(names[2:], [pa.binary(), pa.int64(), pa.int64(), pa.int64()]):
-                end = ends.column(c).combine_chunks().cast(t) if k else pa.nulls(0, t)
-                arrays.append(pa.concat_arrays([pad(t), end]))
-            return pa.RecordBatch.from_arrays(arrays, names)
+    def pairs(table: pa.Table):
+        label = np.frombuffer(b"".join(table.column("label").to_pylist()), np.uint8).reshape(-1, 1 + LABEL)
+        node, size, root = (table.column(c).to_numpy() for c in names[1:])
+        fits = (label[1:, :REGION] == label[:-1, :REGION]).all(axis=1)
+        fits &= (root[1:] != root[:-1]) & (node[1:] != node[:-1])
+        fits &= np.minimum(size[1:], size[:-1]) >= threshold * np.maximum(size[1:], size[:-1])
+        return np.minimum(node[1:], node[:-1])[fits], np.maximum(node[1:], node[:-1])[fits]
+
+    def rows_of(a, b, ends: pa.Table | None = None):
+        k = ends.num_rows if ends is not None else 0
+        arrays = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(k, pa.int64())]) for x in (a, b)]
+        for c, t in zip(names, [pa.binary(), pa.int64(), pa.int64(), pa.int64()]):
+            end = ends.column(c).combine_chunks().cast(t) if k else pa.nulls(0, t)
+            arrays.append(pa.concat_arrays([pa.nulls(len(a), t), end]))
+        return pa.RecordBatch.from_arrays(arrays, ["a", "b", *names])
 
+    def stream(batches, edges: bool):
         tail = None
         for whole in batches:
             for at in range(0, whole.num_rows, 1 << 15):
-                batch = pa.Table.from_batches([whole.slice(at, 1 << 15)]).select(names[2:])
-                head = batch.slice(0, width) if tail is None and edges else None
+                batch = pa.Table.from_batches([whole.slice(at, 1 << 15)]).select(names)
                 table = batch if tail is None else pa.concat_tables([tail, batch])
-                a, b = pairs(table.combine_chunks(), batch.num_rows)
-                yield rows_of(a, b, head)
-                tail = table.slice(max(table.num_rows - width, 0)).combine_chunks()
+                yield rows_of(*pairs(table), batch.slice(0, 1) if edges and tail is None else None)
+                tail = table.slice(table.num_rows - 1)
         if tail is not None and edges:
-            yield rows_of(np.empty(0, np.int64), np.empty(0, np.int64), tail)
+            yield rows_of([], [], tail)
 
-    schema = "a bigint, b bigint, label binary, node bigint, n bigint, root bigint"
     found = cut_lineage(_ordered(rows).mapInArrow(lambda it: stream(it, True), schema), "neighbours")
-    # 2 * width rows per range: bounded by the number of partitions.
-    across = (found.filter("a is null").select("label", "node", "n", "root").distinct()
+    # Two rows per range: bounded by the number of partitions.
+    across = (found.filter("a is null").select(*names).distinct()
               .repartition(1).sortWithinPartitions("label", "node")
               .mapInArrow(lambda it: stream(it, False), schema))
     return (found.filter("a is not null").select("a", "b")
             .unionByName(across.filter("a is not null").select("a", "b")).distinct())
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(nodes, roots): runs of at most ``BLOCK`` rows of a region, each overlapping the next by half.
+
+    A region that fits is one block; a denser one is cut along its sorted order, where rows of a
+    block share the longest prefixes.  Blocks whose rows one component already holds, and regions of
+    two rows, which were compared as neighbours, are left out.
+    """
+    def cut(batches):
+        region, block, fresh, weight, out = None, [], 0, 0, []
+
+        def closed():
+            wanted = fresh and len(block) > 2 and len({r for _, r, _ in block}) > 1
+            return [([m for m, _, _ in block], [r for _, r, _ in block])] if wanted else []
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in (0, 1)],
+                                              ["nodes", "roots"])
+
+        for batch in batches:
+            for label, node, n, root in zip(*(batch.column(c).to_pylist() for c in ("label", "node", "n", "root"))):
+                if label[:REGION] != region:
+                    out += closed()
+                    region, block, fresh, weight = label[:REGION], [], 0, 0
+                elif len(block) >= BLOCK or weight + n > BLOCK_SHINGLES:
+                    out += closed()
+                    block = block[-max(len(block) // 2, 1):]
+                    weight, fresh = sum(k for _, _, k in block), 0
+                block.append((node, root, n))
+                weight += n
+                fresh += 1
+            if len(out) >= 512:
+                yield batch_of(out)
+                out = []
+        out += closed()
+        if out:
+            yield batch_of(out)
+
+    return (_ordered(rows).mapInArrow(cut, "nodes array<bigint>, roots array<bigint>")
+            .dropDuplicates(["nodes"]))
+
+
 def _members(docs: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
     """(node, grams): full sorted sets of the documents that are somebody's neighbour."""
     def full(batches):
@@ -188,7 +208,7 @@ def _members(docs: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
                     [batch.column("id"), pa.array([x.tobytes() for x in found], pa.binary())],
                     ["node", "grams"])
 
-    wanted = docs.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
+    wanted = docs.join(nodes.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi")
     return wanted.mapInArrow(full, "node bigint, grams binary")
 
 
@@ -206,10 +226,51 @@ def _confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
     half = members.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
     other = members.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"))
-    return pairs.join(half, "a").join(other, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(
+    return pairs.join(half.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "grams_a", "grams_b").mapInArrow(
         overlap, "a bigint, b bigint")
 
 
+def _linked_blocks(blocks: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links that connect different roots within each block, from the full sets of its rows."""
+    def confirm(group: pa.Table) -> pa.Table:
+        node, root = group.column("node").to_pylist(), group.column("root").to_pylist()
+        grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in group.column("grams")]
+        both = overlaps(grams)
+        size = np.array([len(g) for g in grams])
+        close = np.argwhere(np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1))
+        links = []
+        for i, j in close.tolist():
+            if root[i] != root[j]:
+                links.append((node[i], node[j]))
+                root = [root[i] if r == root[j] else r for r in root]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()),
+                         "b": pa.array([y for _, y in links], pa.int64())})
+
+    rows = (blocks.select(F.xxhash64("nodes").alias("block"), F.explode(F.arrays_zip("nodes", "roots")).alias("row"))
+            .select("block", F.col("row.nodes").alias("node"), F.col("row.roots").alias("root")))
+    return (rows.join(members.hint("merge"), "node").select("block", "node", "root", "grams")
+            .groupBy("block").applyInArrow(confirm, "a bigint, b bigint"))
+
+
+def overlaps(grams: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of incidence matrices over slices of the shingles."""
+    k = len(grams)
+    row = np.repeat(np.arange(k), [len(g) for g in grams])
+    kinds, column, often = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    shared = often[column] > 1                     # a shingle of one row meets nobody
+    number = np.cumsum(often > 1) - 1
+    row, column = row[shared], number[column[shared]]
+    both = np.zeros((k, k), np.int64)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, SLAB):
+        lo, hi = np.searchsorted(column, [at, at + SLAB])
+        held = np.zeros((k, SLAB), np.float32)
+        held[row[lo:hi], column[lo:hi] - at] = 1
+        both += np.rint(held @ held.T).astype(np.int64)
+    return both
+
+
 def classes(docs: DataFrame, text: str = "text", ident: str = "doc_id", n_words: int = 5,
             percent: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
@@ -230,25 +291,26 @@ def classes(docs: DataFrame, text: str = "text", ident: str = "doc_id", n_words:
                                F.expr(f"substring(sig, tree * {LABEL} + 1, {LABEL})")).alias("label")))
     rows = cut_lineage(_crowded(forest), "forest")
     members = cut_lineage(_members(slim, rows, n_words), "sets")
-    roots = None
-    threshold = percent / 100
-    for kept_rows, reach in ((rows.filter(F.col("label") < F.lit(bytearray([FIRST_TREES]))), {d: 1 for d in REACH}),
-                             (rows, {d: 1 for d in REACH}), (rows, REACH)):
-        if roots is None:
-            asked = kept_rows.withColumn("root", F.col("node"))
-        else:
-            rooted = (kept_rows.join(roots, "node", "left")
-                      .select("label", "node", "n", F.coalesce("root", "node").alias("root"),
-                              F.substring("label", 1, REGION).alias("region")))
-            mixed = (rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-                     .filter("lo <> hi").select("region"))
-            asked = rooted.join(mixed, "region", "left_semi")
-        pairs = _neighbours(asked.select("label", "node", "n", "root"), reach, threshold)
-        links = cut_lineage(_confirmed(pairs, members, percent), "confirmed")
-        roots = _merged(roots, links)
+    first = rows.filter(F.col("label") < F.lit(bytearray([FIRST_TREES])))
+    pairs = _neighbours(first.withColumn("root", F.col("node")), percent / 100)
+    roots = _merged(None, cut_lineage(_confirmed(pairs, members, percent), "confirmed"))
+    pairs = _neighbours(_unsettled(rows, roots), percent / 100)
+    roots = _merged(roots, cut_lineage(_confirmed(pairs, members, percent), "confirmed"))
+    blocks = cut_lineage(_blocks(_unsettled(rows, roots)), "blocks")
+    roots = _merged(roots, cut_lineage(_linked_blocks(blocks, members, percent), "confirmed"))
     return _labelled(signed, nodes, roots, ident)
 
 
+def _unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the regions that hold more than one component, with their roots."""
+    rooted = (rows.join(roots, "node", "left")
+              .select("label", "node", "n", F.coalesce("root", "node").alias("root"),
+                      F.substring("label", 1, REGION).alias("region")))
+    mixed = (rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+             .filter("lo <> hi").select("region"))
+    return rooted.join(mixed, "region", "left_semi").select("label", "node", "n", "root")
+
+
 def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """Roots after the new links: only the roots that links join are walked again."""
     if roots is None:

@@ -61,12 +61,11 @@ def outside_transit(t: Column, period: Column, epoch: Column, duration_hr: Colum
 
 def grid_size(baseline_days: Column, period_min: Column, period_max: Column,
               grid_duration: float = 0.05, oversample: float = 2.0,
-              min_periods: int = 3000, max_periods: int = 120000) -> tuple[Column, Column]:
-    """Number of log-spaced trial periods for a baseline, and whether the cap was hit."""
+              min_periods: int = 3000) -> Column:
+    """Number of log-spaced trial periods for a baseline: enough that a transit cannot slip between two."""
     step = F.lit(grid_duration) / F.greatest(baseline_days, F.lit(1.0)) / F.lit(oversample)
     wanted = F.ceil(F.log(period_max / period_min) / step)
-    size = F.least(F.greatest(wanted, F.lit(min_periods)), F.lit(max_periods)).cast("int")
-    return size, wanted > max_periods
+    return F.greatest(wanted, F.lit(min_periods)).cast("int")
 
 
 def log_period(i: Column, n: Column, period_min: Column, period_max: Column) -> Column:

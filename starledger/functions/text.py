@@ -12,6 +12,8 @@ _PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _NAMED_NUMBER = r"(?i)^[+-]?(nan|inf|infinity)$"
 
 CELL_DECIMAL = "decimal(28,10)"
+# Holds 20 digits before the point and 18 after it.
+EXACT_DECIMAL = "decimal(38,18)"
 
 
 def to_number(text: Column) -> Column:
@@ -20,13 +22,22 @@ def to_number(text: Column) -> Column:
     return F.when(cell.rlike(_PLAIN_NUMBER) | cell.rlike(_NAMED_NUMBER), cell.try_cast("double"))
 
 
-def matched_number(text: Column, pattern: str = specs.NUMBER_PATTERN,
-                   kind: str = CELL_DECIMAL) -> Column:
-    """Text to ``kind`` where it matches ``pattern``.
+def matched_number(text: Column, pattern: str = specs.NUMBER_PATTERN) -> Column:
+    """Text to double where it matches ``pattern``.
 
     The guard and the cast sit in one CASE: the order of two filters is the optimizer's choice.
     """
-    return F.when(text.rlike(pattern), text.try_cast(kind))
+    return F.when(text.rlike(pattern), text.try_cast("double"))
+
+
+def matched_exact(text: Column, pattern: str = specs.NUMBER_PATTERN) -> Column:
+    """The same number as a decimal where a decimal holds it, else NULL.
+
+    Numbers with more digits than the decimal has, before the point or after it, are left to
+    :func:`matched_number`; none turns into another number.
+    """
+    exact = text.try_cast(EXACT_DECIMAL)
+    return F.when(text.rlike(pattern) & (exact.cast("double") == text.try_cast("double")), exact)
 
 
 def coerce_cell(kind: str, cell: Column) -> Column:
@@ -47,8 +58,8 @@ def coerce_cell(kind: str, cell: Column) -> Column:
 def decimal_text(value: Column) -> Column:
     """A decimal as text without the zeros its scale pads on."""
     text = value.cast("string")
-    return F.when(F.instr(text, ".") > 0,
-                  F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    trimmed = F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+    return F.when(F.instr(text, ".") > 0, trimmed).otherwise(text)
 
 
 def norm_name(name: Column) -> Column:

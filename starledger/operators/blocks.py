@@ -35,6 +35,13 @@ def gap_segments(df: DataFrame, keys: list[str], t: str, gap: float) -> DataFram
     ).drop("_break")
 
 
+def in_segments(df: DataFrame, keys: list[str], t: str, gap: float) -> DataFrame:
+    """Every row with the number of its gap-free segment, counted from 0 in each series."""
+    parts = gap_segments(df, keys, t, gap).select(*keys, "_block", "segment")
+    return (df.withColumn("_block", block_of(F.col(t), gap))
+            .join(parts, [*keys, "_block"]).drop("_block"))
+
+
 def longest_segment(df: DataFrame, keys: list[str], t: str, gap: float) -> DataFrame:
     """Rows of each series' segment with the longest baseline; the earliest one on a tie."""
     parts = gap_segments(df, keys, t, gap)

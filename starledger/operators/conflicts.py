@@ -6,33 +6,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starledger import specs
-from starledger.functions.text import matched_number
+from starledger.functions.text import matched_exact, matched_number
+from starledger.session import cut_lineage
 
 
 def numeric_by_source(claims: DataFrame, eid: str, attribute: str,
                       pattern: str = specs.NUMBER_PATTERN) -> DataFrame:
-    """(eid, source, mn, mx, n): one row per entity and source, text that is no number left out."""
-    value = matched_number(F.col("value"), pattern)
-    return (claims.filter((F.col("attribute") == attribute) & F.col(eid).isNotNull())
-            .select(F.col(eid).alias("eid"), "source", value.alias("v"))
-            .filter(F.col("v").isNotNull())
+    """(eid, source, mn, mx, low, high, n): one row per entity and source, text that is no number left out.
+
+    ``low`` and ``high`` are the ends as (v, exact): the double, and the decimal where one holds it.
+    """
+    return (_numbers(claims.filter((F.col("attribute") == attribute) & F.col(eid).isNotNull()), eid, pattern)
             .groupBy("eid", "source")
-            .agg(F.min("v").alias("mn"), F.max("v").alias("mx"), F.count(F.lit(1)).alias("n")))
+            .agg(F.min("number").alias("low"), F.max("number").alias("high"), F.count(F.lit(1)).alias("n"))
+            .select("eid", "source", F.col("low.v").alias("mn"), F.col("high.v").alias("mx"), "low", "high", "n"))
+
+
+def _numbers(claims: DataFrame, eid: str, pattern: str, *more: str) -> DataFrame:
+    """(eid, source, more, number) of the claims whose text is a number."""
+    number = F.struct(matched_number(F.col("value"), pattern).alias("v"),
+                      matched_exact(F.col("value"), pattern).alias("exact"))
+    return (claims.select(F.col(eid).alias("eid"), "source", *more, number.alias("number"))
+            .filter(F.col("number.v").isNotNull()))
 
 
 def numeric_conflicts(claims: DataFrame, eid: str, attribute: str, threshold: str) -> DataFrame:
     """(eid, mn, mx, n_sources, spread): spread beyond ``threshold`` across two or more sources.
 
     Built on the per-source rows, so no ``count(distinct)``: two distinct values exist exactly
-    when min and max differ.  The test multiplies instead of dividing, exactly, in decimal.
+    when min and max differ.
+    """
+    return _disagreeing(numeric_by_source(claims, eid, attribute), threshold)
+
+
+def _disagreeing(by_source: DataFrame, threshold: str) -> DataFrame:
+    """Entities of per-source ranges whose spread is beyond ``threshold``.
+
+    The test multiplies instead of dividing, exactly, in decimal; in floating point only where an
+    end has more digits than a decimal holds.
     """
-    rolled = numeric_by_source(claims, eid, attribute).groupBy("eid").agg(
-        F.min("mn").alias("mn"), F.max("mx").alias("mx"), F.count(F.lit(1)).alias("n_sources"))
-    over = (F.col("mx") - F.col("mn")) > F.lit(threshold).cast("decimal(3,2)") * F.col("mx")
-    spread = (F.col("mx") - F.col("mn")).cast("double") / F.col("mx").cast("double")
-    return (rolled.filter((F.col("n_sources") >= 2) & (F.col("mx") != F.col("mn"))
-                          & (F.col("mx") > 0) & over)
-            .withColumn("spread", spread))
+    rolled = by_source.groupBy("eid").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("n_sources"))
+    mn, mx = F.col("low.v"), F.col("high.v")
+    low, high = F.col("low.exact"), F.col("high.exact")
+    over = F.coalesce((high - low) > F.lit(threshold).cast("decimal(3,2)") * high,
+                      (mx - mn) > F.lit(float(threshold)) * mx)
+    spread = F.coalesce((high - low).cast("double"), mx - mn) / mx
+    differ = F.coalesce(low != high, mn != mx)
+    return (rolled.filter((F.col("n_sources") >= 2) & differ & (mx > 0) & over)
+            .select("eid", mn.alias("mn"), mx.alias("mx"), "n_sources", spread.alias("spread")))
 
 
 def mapped_dispositions(claims: DataFrame, vocabulary: DataFrame,
@@ -41,7 +63,7 @@ def mapped_dispositions(claims: DataFrame, vocabulary: DataFrame,
     words = vocabulary.select("source", F.col("source_value").alias("value"),
                               F.col("canonical").alias("canon"))
     return (claims.filter((F.col("attribute") == "disposition") & F.col(eid).isNotNull())
-            .join(F.broadcast(words), ["source", "value"])  # a seeded table of fixed size
+            .join(words, ["source", "value"])
             .select(F.col(eid).alias("eid"), "source", "canon"))
 
 
@@ -76,9 +98,10 @@ def disposition_fights(mapped: DataFrame) -> DataFrame:
 
 def report_conflicts(claims: DataFrame, eid: str, attribute: str, tolerance: float) -> DataFrame:
     """The report's flavour: stricter number pattern, spread in floating point, detail per source."""
-    per_source = numeric_by_source(claims, eid, attribute, specs.REPORT_NUMBER_PATTERN).select(
-        "eid", "source", F.col("mn").cast("double").alias("mn"),
-        F.col("mx").cast("double").alias("mx"), "n")
+    return _reported(numeric_by_source(claims, eid, attribute, specs.REPORT_NUMBER_PATTERN), tolerance)
+
+
+def _reported(per_source: DataFrame, tolerance: float) -> DataFrame:
     low, high = short_number(F.col("mn")), short_number(F.col("mx"))
     said = F.concat(F.col("source"), F.lit(": "), F.when(F.col("mn") == F.col("mx"), low).otherwise(
         F.concat(low, F.lit("–"), high, F.lit(" ("), F.col("n").cast("string"), F.lit(")"))))
@@ -175,6 +198,29 @@ def conflict_total(claims: DataFrame, vocabulary: DataFrame, kind: str) -> DataF
     return found.agg(F.count(F.lit(1)).alias("n"))
 
 
+def numeric_ranges(claims: DataFrame, eid: str, attributes: list[str],
+                   pattern: str = specs.NUMBER_PATTERN) -> DataFrame:
+    """:func:`numeric_by_source` of several attributes in one pass, with the attribute."""
+    wanted = claims.filter(F.col("attribute").isin(*attributes) & F.col(eid).isNotNull())
+    return (_numbers(wanted, eid, pattern, "attribute").groupBy("attribute", "eid", "source")
+            .agg(F.min("number").alias("low"), F.max("number").alias("high"), F.count(F.lit(1)).alias("n"))
+            .select("attribute", "eid", "source", F.col("low.v").alias("mn"), F.col("high.v").alias("mx"),
+                    "low", "high", "n"))
+
+
+def report_tables(claims: DataFrame, tolerances: dict[str, tuple[str, float]]) -> dict[str, DataFrame]:
+    """:func:`report_conflicts` of every attribute; ``tolerances`` gives its (eid column, tolerance).
+
+    One aggregate per level, written once, however many attributes there are.
+    """
+    out = {}
+    for eid in sorted({level for level, _ in tolerances.values()}):
+        names = [a for a, (level, _) in tolerances.items() if level == eid]
+        ranges = cut_lineage(numeric_ranges(claims, eid, names, specs.REPORT_NUMBER_PATTERN), "ranges")
+        out.update({a: _reported(ranges.filter(F.col("attribute") == a), tolerances[a][1]) for a in names})
+    return out
+
+
 def conflict_counts(claims: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """One row: disposition conflicts, the dramatic ones, radius and Teff conflicts."""
     fights = disposition_conflicts(mapped_dispositions(claims, vocabulary))
@@ -201,8 +247,8 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def provenance_numeric(claims: DataFrame, eid: str, attribute: str, page_rows: DataFrame) -> DataFrame:
-    """Per-source ranges, only for the entities on a page (a page is as long as its limit)."""
-    wanted = F.broadcast(page_rows.select("eid").distinct())
+    """Per-source ranges, only for the entities on a page."""
+    wanted = page_rows.select("eid").distinct()
     on_page = claims.join(wanted, F.col(eid) == F.col("eid"), "left_semi")
     return numeric_by_source(on_page, eid, attribute)
 
@@ -210,7 +256,7 @@ def provenance_numeric(claims: DataFrame, eid: str, attribute: str, page_rows: D
 def provenance_dispositions(claims: DataFrame, vocabulary: DataFrame,
                             page_rows: DataFrame) -> DataFrame:
     """Distinct (eid, source, canon), only for the entities on a page."""
-    wanted = F.broadcast(page_rows.select("eid").distinct())
+    wanted = page_rows.select("eid").distinct()
     on_page = claims.join(wanted, F.col("candidate_id") == F.col("eid"), "left_semi")
     return mapped_dispositions(on_page, vocabulary).distinct()
 

@@ -43,7 +43,7 @@ def claims_with_words(claims: DataFrame, vocabulary: DataFrame) -> DataFrame:
     words = vocabulary.select(F.lit("disposition").alias("attribute"), "source",
                               F.col("source_value").alias("value"),
                               F.col("canonical").alias("canonical_disposition"))
-    return claims.join(F.broadcast(words), ["attribute", "source", "value"], "left")
+    return claims.join(words, ["attribute", "source", "value"], "left")
 
 
 def target_claims(targets: DataFrame, claims: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def attribute_flags(said: DataFrame, axes: DataFrame) -> DataFrame:
     spread = F.when(F.col("mx") > 0, (F.col("mx") - F.col("mn")) / F.col("mx"))
     numeric = F.col("several_sources") & (F.col("mn") != F.col("mx")) & (spread > threshold)
     conflict = F.when(F.col("kind") == "disposition", F.col("several_words")).otherwise(numeric)
-    return (rolled.join(F.broadcast(axes), "attribute", "left")  # fixed size
+    return (rolled.join(axes, "attribute", "left")
             .select("target_id", "attribute",
                     F.coalesce("level", "claim_level").alias("level"), "unit",
                     F.coalesce("kind", F.lit("numeric")).alias("kind"), "n_claims",

@@ -34,6 +34,14 @@ def good_cadences(points: DataFrame, min_good: int = specs.MIN_GOOD_CADENCES) ->
     return good.join(sectors.filter(F.col("_n") >= min_good), ["tic_id", "sector"], "left_semi")
 
 
+def poor_sectors(points: DataFrame, min_good: int = specs.MIN_GOOD_CADENCES) -> DataFrame:
+    """(tic_id, poor_sectors): how many sectors :func:`good_cadences` leaves out, where any."""
+    usable = (F.coalesce("quality", F.lit(0)) == 0) & is_finite(F.col("flux"))
+    sectors = points.groupBy("tic_id", "sector").agg(F.count(F.when(usable, 1)).alias("_n"))
+    return (sectors.filter(F.col("_n") < min_good).groupBy("tic_id")
+            .agg(F.count(F.lit(1)).alias("poor_sectors")))
+
+
 def normalise(points: DataFrame) -> DataFrame:
     """Flux over the median of its sector."""
     medians = grouped_median(points, ["tic_id", "sector"], "flux", "_median")

@@ -2,7 +2,8 @@
 
 ``median`` keeps every distinct value of a group in one task.  Here a mergeable quantile sketch
 first brackets the middle of each group; the exact middle is then counted out of the few values
-inside the bracket.  The result is exact: the sketch only decides which values need counting.
+inside the bracket, bin by bin.  The result is exact: the sketch only decides which values need
+counting.  One task orders about two millionths of a group's values.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 SKETCH_ACCURACY = 10000
 # Ten times the sketch's rank error on each side of the middle.
 BRACKET = 10.0 / SKETCH_ACCURACY
+BINS = 1024
 
 
 def grouped_median(df: DataFrame, keys: list[str], value: Column | str, out: str = "median",
@@ -33,22 +35,31 @@ def grouped_median(df: DataFrame, keys: list[str], value: Column | str, out: str
         joined = rows.join(bounds, keys)
     else:
         joined = rows.withColumns({c: bounds.select(c).scalar() for c in ("_n", "_lo", "_hi")})
+    # The bracket is cut into bins of equal width; the bins' counts, at most BINS per group, say which
+    # of them hold the middle, so that no task orders more than one bin's values.
+    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    bin_ = (F.when(inside.isNull(), -1).when(F.col("_hi") > F.col("_lo"), F.least(
+        F.floor(share * BINS), F.lit(BINS - 1))).otherwise(0).cast("int"))
     counted = (joined.filter(F.col("_v") <= F.col("_hi"))
-               .groupBy(*keys, inside.alias("_v"))
+               .groupBy(*keys, bin_.alias("_bin"), inside.alias("_v"))
                .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")))
-    upto = F.sum("_c").over(
-        Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     high_rank = F.floor(F.col("_n") / 2) + 1
     low_rank = high_rank if upper else F.floor((F.col("_n") + 1) / 2)
-    ranked = counted.withColumn("_upto", upto)
+    along = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = (counted.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"), F.first("_n").alias("_n"))
+            .withColumn("_upto", F.sum("_c").over(along)).withColumn("_before", F.col("_upto") - F.col("_c"))
+            .filter((F.col("_upto") >= low_rank) & (F.col("_before") < high_rank))
+            .select(*keys, "_bin", "_before"))
+    upto = F.col("_before") + F.sum("_c").over(
+        Window.partitionBy(*keys, "_bin").orderBy(F.col("_v").asc_nulls_first())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counted.join(bins, [*keys, "_bin"]).withColumn("_upto", upto)
     middle = ranked.groupBy(*keys).agg(
         F.min(F.when(F.col("_upto") >= low_rank, F.col("_v"))).alias("_low"),
         F.min(F.when(F.col("_upto") >= high_rank, F.col("_v"))).alias("_high"),
-        F.max(F.when(F.col("_v").isNull(), F.col("_upto"))).alias("_below"),
-        F.first(low_rank).alias("_low_rank"))
+        F.min("_bin").alias("_first"))
     # Both middles must lie inside the bracket; a bracket that misses must never pass silently.
-    sound = F.col("_high").isNotNull() & (F.coalesce(F.col("_below"), F.lit(0)) < F.col("_low_rank"))
+    sound = F.col("_high").isNotNull() & (F.col("_first") >= 0)
     result = F.when(sound, (F.col("_low") + F.col("_high")) / 2).otherwise(
         F.raise_error(F.lit("median bracket missed the middle")).cast("double"))
     return middle.select(*keys, result.alias(out))

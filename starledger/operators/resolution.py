@@ -28,7 +28,7 @@ def pick_numeric(latest: DataFrame, precedence: DataFrame) -> DataFrame:
 
     If its text is no number the attribute stays unresolved; there is no fall-through.
     """
-    ranked = latest.join(F.broadcast(precedence), ["attribute", "source"])  # config, fixed size
+    ranked = latest.join(precedence, ["attribute", "source"])
     picked = ranked.groupBy("eid", "attribute").agg(
         F.min_by(F.struct("source", "value"), "rank").alias("_win"))
     number = to_number(F.col("_win.value"))
@@ -44,8 +44,8 @@ def disposition_votes(latest: DataFrame, precedence: DataFrame, vocabulary: Data
     """
     words = vocabulary.select("source", F.col("source_value").alias("value"), "canonical")
     ranked = (latest.filter(F.col("attribute") == "disposition")
-              .join(F.broadcast(precedence), ["attribute", "source"])
-              .join(F.broadcast(words), ["source", "value"], "left"))
+              .join(precedence, ["attribute", "source"])
+              .join(words, ["source", "value"], "left"))
     return ranked.groupBy("eid").agg(
         F.expr("min_by(canonical, rank) FILTER (WHERE canonical IS NOT NULL)").alias("winner"),
         F.expr("min(rank) FILTER (WHERE canonical IS NOT NULL)").alias("winner_rank"),

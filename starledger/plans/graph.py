@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,17 +21,47 @@ from starledger.session import cut_lineage
 SECONDARY_IDS = {"gaia_dr3": "gaia_id", "hd": "hd_name", "hip": "hip_name", "name": "hostname"}
 
 
-@dataclass
 class Graph:
-    """Every derived table of one build."""
+    """Every derived table of one build.
 
-    stars: DataFrame
-    candidates: DataFrame
-    links: DataFrame
-    ambiguous: DataFrame
-    audit: DataFrame
-    claims: DataFrame
-    votes: DataFrame
+    Stars, clusters, links and the audit are there from the start; claims and the resolved rows are
+    written when they are first asked for, so a question about the links does not pay for them.
+    """
+
+    def __init__(self, raw: dict[str, DataFrame], star_rows: DataFrame, candidate_rows: DataFrame,
+                 links: DataFrame, ambiguous: DataFrame, vocabulary: DataFrame, precedence: DataFrame):
+        self.raw, self.star_rows, self.candidate_rows = raw, star_rows, candidate_rows
+        self.links, self.ambiguous = links, ambiguous
+        self.vocabulary, self.precedence = vocabulary, precedence
+
+    @cached_property
+    def audit(self) -> DataFrame:
+        return lk.audit_of_links(self.links).unionByName(lk.audit_of_ambiguous(self.ambiguous))
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        return cut_lineage(all_claims(self.raw, self.crosswalk()), "claims")
+
+    @cached_property
+    def _last_of_candidates(self) -> DataFrame:
+        return resolution.last_per_source(self.claims, "candidate_id")
+
+    @cached_property
+    def votes(self) -> DataFrame:
+        return resolution.disposition_votes(self._last_of_candidates, self.precedence, self.vocabulary)
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return cut_lineage(resolution.write_winners(
+            self.candidate_rows.drop("seed_type", "seed_value"), "candidate_id",
+            resolution.pick_numeric(self._last_of_candidates, self.precedence),
+            specs.RESOLVED_CANDIDATE_ATTRIBUTES, resolution.resolve_dispositions(self.votes)), "candidates")
+
+    @cached_property
+    def stars(self) -> DataFrame:
+        picked = resolution.pick_numeric(resolution.last_per_source(self.claims, "star_id"), self.precedence)
+        return cut_lineage(resolution.write_winners(
+            self.star_rows.drop("pass"), "star_id", picked, specs.RESOLVED_STAR_ATTRIBUTES), "stars")
 
     def crosswalk(self) -> DataFrame:
         return lk.crosswalk(self.links)
@@ -174,8 +204,8 @@ def build_graph(raw: dict[str, DataFrame], vocabulary: DataFrame, precedence: Da
                 tol_arcsec: float = specs.SKY_TOLERANCE_ARCSEC) -> Graph:
     """All passes over one set of snapshots.
 
-    Stars, designations, clusters, links and claims are each materialised once: everything after
-    them reads them several times.
+    Stars, designations, clusters and links are each materialised once: everything after them reads
+    them several times.
     """
     catalog_stars = cut_lineage(build_catalog_stars(raw))
     link_frames = [star_links(raw, catalog_stars)]
@@ -197,24 +227,7 @@ def build_graph(raw: dict[str, DataFrame], vocabulary: DataFrame, precedence: Da
     candidate_rows = dz.candidates(clustered)
     link_frames.append(dz.candidate_links(clustered, candidate_rows))
     links = cut_lineage(lk.union_all(link_frames))
-    flagged = dz.ambiguous(clustered)
-    audit = lk.audit_of_links(links).unionByName(lk.audit_of_ambiguous(flagged))
-    claims = cut_lineage(all_claims(raw, lk.crosswalk(links)))
-    return _resolve(stars, candidate_rows, links, flagged, audit, claims, vocabulary, precedence)
-
-
-def _resolve(stars, candidate_rows, links, flagged, audit, claims, vocabulary, precedence) -> Graph:
-    by_candidate = resolution.last_per_source(claims, "candidate_id")
-    by_star = resolution.last_per_source(claims, "star_id")
-    votes = resolution.disposition_votes(by_candidate, precedence, vocabulary)
-    candidates = resolution.write_winners(
-        candidate_rows.drop("seed_type", "seed_value"), "candidate_id",
-        resolution.pick_numeric(by_candidate, precedence), specs.RESOLVED_CANDIDATE_ATTRIBUTES,
-        resolution.resolve_dispositions(votes))
-    stars = resolution.write_winners(
-        stars.drop("pass"), "star_id", resolution.pick_numeric(by_star, precedence),
-        specs.RESOLVED_STAR_ATTRIBUTES)
-    return Graph(cut_lineage(stars), cut_lineage(candidates), links, flagged, audit, claims, votes)
+    return Graph(raw, stars, candidate_rows, links, dz.ambiguous(clustered), vocabulary, precedence)
 
 
 def build_summary(graph: Graph) -> DataFrame:

@@ -49,10 +49,11 @@ def conflict_report(tables: dict[str, DataFrame], vocabulary: DataFrame,
     out["fight_examples"] = cf.label_candidates(
         _examples(fights, most_words), candidates, stars)
     largest = [F.col("spread").desc(), F.col("eid")]
-    for attribute, tolerance in specs.REPORT_TOLERANCE.items():
-        on_stars = attribute in ("teff_k", "rstar_rsun")
-        found = cf.report_conflicts(claims, "star_id" if on_stars else "candidate_id",
-                                    attribute, tolerance)
+    star_level = ("teff_k", "rstar_rsun")
+    levels = {a: ("star_id" if a in star_level else "candidate_id", t)
+              for a, t in specs.REPORT_TOLERANCE.items()}
+    for attribute, found in cf.report_tables(claims, levels).items():
+        on_stars = attribute in star_level
         out[f"{attribute}_count"] = found.agg(F.count(F.lit(1)).alias("n"))
         top = _examples(found, largest)
         if on_stars:

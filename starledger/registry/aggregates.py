@@ -10,7 +10,7 @@ from starledger.operators import designations as dz
 from starledger.operators import dossier as ds
 from starledger.operators import grading, orbits, resolution, selection, sightline
 from starledger.registry import query
-from starledger.registry.joins import (CURRENT, MAPPED, OWNERS, SIGHT, numeric_conflict_sql,
+from starledger.registry.joins import (CURRENT, MAPPED, OWNER, OWNERS, SIGHT, numeric_conflict_sql,
                                        representative_targets, sight_pairs)
 from starledger.registry.snapshots import CURRENT_ELEMENTS
 from starledger.registry.views import Tables, with_views
@@ -305,8 +305,8 @@ def _(spark, sf_dir):
     return hits.select("request_id", "satellite_id", "alt_km", F.round("sep_deg", 6).alias("sep_deg"))
 
 
-HITS = f"""{_CLOSEST}, {OWNERS}, hits AS (SELECT c.*, operator FROM closest c
-    LEFT JOIN owners USING (satellite_id))"""
+HITS = f"""{_CLOSEST}, {OWNER}, hits AS (SELECT c.*, operator FROM closest c
+    LEFT JOIN owner USING (satellite_id))"""
 HIT_VIEWS = ("circular", "requests", "ownership", "operators")
 
 

@@ -232,7 +232,7 @@ def _graph(spark, sf_dir):
         CASE WHEN canonical_name LIKE 'star %' THEN 'star ' || sid ELSE canonical_name END
         AS canonical_name FROM cands JOIN numbered ON k = star_id""")
 def _(spark, sf_dir):
-    return _graph(spark, sf_dir).candidates.select("star_id", "candidate_id", "canonical_name")
+    return _graph(spark, sf_dir).candidate_rows.select("star_id", "candidate_id", "canonical_name")
 
 
 def _claim_counts() -> str:
@@ -329,17 +329,19 @@ def _(spark, sf_dir):
 
 
 @query("e13_stable_id_upsert", with_views("pool") + """
-    , old AS (SELECT candidate_id, candidate_id * 10 AS target_id FROM pool WHERE candidate_id % 3 = 0),
-    chosen AS (SELECT candidate_id, toi FROM pool WHERE candidate_id % 2 = 0)
+    , old AS (SELECT CASE WHEN candidate_id % 3 = 0 THEN candidate_id ELSE -candidate_id END AS candidate_id,
+        candidate_id * 10 AS target_id FROM pool),
+    chosen AS (SELECT candidate_id, toi FROM pool)
     SELECT candidate_id, toi, target_id FROM chosen JOIN old USING (candidate_id)
     UNION ALL SELECT candidate_id, toi, (SELECT max(target_id) FROM old) + row_number() OVER (
         ORDER BY candidate_id) FROM chosen WHERE candidate_id NOT IN (SELECT candidate_id FROM old)""")
 def _(spark, sf_dir):
     pool = Tables(spark, sf_dir).pool
-    old = pool.filter("candidate_id % 3 = 0").select(
-        "candidate_id", (F.col("candidate_id") * 10).alias("target_id"))
-    chosen = pool.filter("candidate_id % 2 = 0").select("candidate_id", "toi")
-    return selection.upsert_targets(old, chosen)
+    # Two of three stored targets are no longer chosen and go.
+    old = pool.select(F.when(F.col("candidate_id") % 3 == 0, F.col("candidate_id"))
+                      .otherwise(-F.col("candidate_id")).alias("candidate_id"),
+                      (F.col("candidate_id") * 10).alias("target_id"))
+    return selection.upsert_targets(old, pool.select("candidate_id", "toi"))
 
 
 @query("e14_replace_by_key", with_views("detections") + """

@@ -261,13 +261,21 @@ def _(spark, sf_dir):
     return cf.first_candidate(Tables(spark, sf_dir).candidates)
 
 
-@query("j12_host_hit_expands", with_views("candidates", "stars") + """
+SEARCH_HOST = "host 12"
+
+
+@query("j12_host_hit_expands", with_views("candidates", "stars", "identifiers") + f"""
+    , hosts AS (SELECT star_id FROM stars WHERE canonical_name ILIKE '%{SEARCH_HOST}%'
+        UNION SELECT star_id FROM identifiers WHERE star_id IS NOT NULL AND id_value ILIKE '%{SEARCH_HOST}%'),
+    hit AS (SELECT candidate_id FROM candidates JOIN hosts USING (star_id)
+        UNION SELECT candidate_id FROM candidates WHERE canonical_name ILIKE '%{SEARCH_HOST}%'
+        UNION SELECT candidate_id FROM identifiers WHERE candidate_id IS NOT NULL
+              AND id_value ILIKE '%{SEARCH_HOST}%')
     SELECT c.candidate_id, c.canonical_name AS target, s.canonical_name AS host
-    FROM candidates c JOIN stars s USING (star_id) WHERE s.canonical_name ILIKE '%host 12%'""")
+    FROM hit JOIN candidates c USING (candidate_id) JOIN stars s USING (star_id)""")
 def _(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    none = t.identifiers.filter("false")
-    return search.search(t.candidates, t.stars, none, "host 12", None).select(
+    return search.search(t.candidates, t.stars, t.identifiers, SEARCH_HOST, None).select(
         "candidate_id", "target", "host")
 
 
@@ -402,12 +410,14 @@ def _(spark, sf_dir):
 
 OWNERS = """owners AS (SELECT satellite_id, o.canonical_name AS operator FROM ownership
     JOIN operators o USING (operator_id) WHERE role = 'owner' AND valid_to IS NULL)"""
+# One label per satellite: the first by name where several owners are open.
+OWNER = f"{OWNERS}, owner AS (SELECT satellite_id, min(operator) AS operator FROM owners GROUP BY 1)"
 
 
 @query("j20_current_owner_labels", with_views("satellites", "ownership", "operators")
-       + f", {OWNERS}" + """
+       + f", {OWNER}" + """
     SELECT s.satellite_id, coalesce(operator, 'Unattributed') AS operator
-    FROM satellites s LEFT JOIN owners USING (satellite_id)""")
+    FROM satellites s LEFT JOIN owner USING (satellite_id)""")
 def _(spark, sf_dir):
     t = Tables(spark, sf_dir)
     owners = orbits.current_owners(t.ownership, t.operators)

@@ -279,22 +279,20 @@ def _(spark, sf_dir):
 _GRID = """g AS (SELECT tic_id, max(time) - min(time) AS baseline FROM series GROUP BY 1),
     s AS (SELECT tic_id, CAST(ceil(ln(13e0 / 0.6e0) / (0.05e0 / greatest(baseline, 1e0) / 2e0))
           AS BIGINT) AS want FROM g),
-    n AS (SELECT tic_id, CAST(least(greatest(want, 3000), 3300) AS INTEGER) AS n, want > 3300 AS capped
-          FROM s)"""
+    n AS (SELECT tic_id, CAST(greatest(want, 3000) AS INTEGER) AS n FROM s)"""
 
 
 @query("f21_log_period_grid", with_views("series") + f", {_GRID}" + """
-    , p AS (SELECT tic_id, n, capped, unnest(range(0, n)) AS i FROM n)
-    SELECT tic_id, n, capped, count(*) AS trials, round(sum(0.6e0 * exp(i * ln(13e0 / 0.6e0) / (n - 1))),
-           2) AS total FROM p GROUP BY 1, 2, 3""")
+    , p AS (SELECT tic_id, n, unnest(range(0, n)) AS i FROM n)
+    SELECT tic_id, n, count(*) AS trials, round(sum(0.6e0 * exp(i * ln(13e0 / 0.6e0) / (n - 1))),
+           2) AS total FROM p GROUP BY 1, 2""")
 def _(spark, sf_dir):
     baseline = Tables(spark, sf_dir).series.groupBy("tic_id").agg(
         (F.max("time") - F.min("time")).alias("baseline"))
     low, high = F.lit(0.6), F.lit(13.0)
-    size, capped = numeric.grid_size(F.col("baseline"), low, high, max_periods=3300)
-    sized = baseline.select("tic_id", size.alias("n"), capped.alias("capped"))
+    sized = baseline.select("tic_id", numeric.grid_size(F.col("baseline"), low, high).alias("n"))
     trials = periodsearch.trial_periods(sized, F.col("n"), low, high)
-    return trials.groupBy("tic_id", "n", "capped").agg(
+    return trials.groupBy("tic_id", "n").agg(
         F.count(F.lit(1)).alias("trials"), F.round(F.sum("period"), 2).alias("total"))
 
 

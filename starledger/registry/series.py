@@ -9,7 +9,7 @@ from starledger.operators import dips, grading
 from starledger.operators import lightcurve as lc
 from starledger.operators import periodsearch as ps
 from starledger.operators import vetting
-from starledger.operators.blocks import longest_segment
+from starledger.operators.blocks import in_segments
 from starledger.plans import processing
 from starledger.registry import query
 from starledger.registry.aggregates import GRADE_VIEWS, GRADED
@@ -19,10 +19,13 @@ from starledger.registry.snapshots import GOOD, MIN_GOOD
 from starledger.registry.views import Tables, with_views
 from starledger.session import cut_lineage
 
-# The driver's series have a few dozen rows in a month, so windows, bins and grids are as coarse.
+# The driver's series have a few dozen rows in a month, so windows and bins are as coarse.
 WINDOW = 11
 BIN_MINUTES = 360
-TRIAL_PERIODS = 200
+# Trial periods as fine as the shortest of these durations asks for, on every series' own baseline.
+GRID_DAYS = [0.5, 1.0]
+GRID = {"grid_duration": min(GRID_DAYS), "min_periods": 100}
+COARSE = {"durations": GRID_DAYS, **GRID}
 
 
 @query("l01_normalise_per_sector", with_views("points") + f", {GOOD}" + """
@@ -43,13 +46,13 @@ def _(spark, sf_dir):
 
 
 @query("l02_detrend_window", with_views("points") + """
-    , sectors AS (SELECT tic_id, sector, any_value(coalesce(cadence_s, 120)) AS c FROM points
+    , sectors AS (SELECT tic_id, sector, coalesce(min(cadence_s), 120) AS c FROM points
                   GROUP BY 1, 2)
     SELECT tic_id, greatest(101, CAST(round_even(64800 / median(c), 0) AS INTEGER) | 1) AS window_len
     FROM sectors GROUP BY 1""")
 def _(spark, sf_dir):
     sectors = Tables(spark, sf_dir).points.groupBy("tic_id", "sector").agg(
-        F.first("cadence_s").alias("cadence_s"))
+        F.min("cadence_s").alias("cadence_s"))
     return lc.detrend_window(sectors).withColumnRenamed("window", "window_len")
 
 
@@ -109,28 +112,26 @@ def _binned(t: Tables):
 def _limits(series):
     return series.groupBy("tic_id").agg(
         F.lit(specs.PERIOD_MIN_DAYS).alias("period_min"),
-        F.least(F.greatest((F.max("time") - F.min("time")) / 2.0, F.lit(1.0)),
-                F.lit(specs.PERIOD_MAX_DAYS)).alias("period_max"))
+        F.greatest((F.max("time") - F.min("time")) / 2.0, F.lit(1.0)).alias("period_max"))
 
 
 def _found_columns(df):
     return df.select("tic_id", "method", F.round("period_days", 6).alias("period_days"),
-                     F.round("snr", 6).alias("snr"), F.round("sde", 6).alias("sde"), "n_periods",
-                     "grid_capped")
+                     F.round("snr", 6).alias("snr"), F.round("sde", 6).alias("sde"), "n_periods")
 
 
 @query("l05_box_search_chunked")
 def _(spark, sf_dir):
     series = _binned(Tables(spark, sf_dir))
-    return _found_columns(ps.search_periods(series, _limits(series), "bls",
-                                            max_periods=TRIAL_PERIODS, chunk_periods=100))
+    return _found_columns(ps.search_periods(series, _limits(series), "bls", **COARSE))
 
 
-GRID_PERIODS, GRID_DAYS = 40, [0.5, 1.0]
+TEMPLATE_DAYS = [1.0, 2.0]
+TEMPLATE_GRID = {"grid_duration": min(TEMPLATE_DAYS), "min_periods": 100}
 
 
-def _folded_grid(width: float) -> str:
-    """Binned series folded on a short log grid: trials and phase-bin sums of (median - flux)."""
+def _folded_grid(width: float, days: float) -> str:
+    """Binned series folded on their log grids: trials and phase-bin sums of (median - flux)."""
     return f""", s0 AS (SELECT tic_id, min(time) AS t0 FROM series GROUP BY 1),
     binned AS (SELECT tic_id, avg(time) AS time, avg(flux) AS flux FROM series JOIN s0 USING (tic_id)
         GROUP BY tic_id, CAST(floor((time - t0) / ({BIN_MINUTES} / 1440e0)) AS BIGINT)),
@@ -139,8 +140,10 @@ def _folded_grid(width: float) -> str:
     noise AS (SELECT b.tic_id, CASE WHEN median(abs(flux - med)) > 0 THEN
         median(abs(flux - med)) * 1.4826e0 ELSE any_value(std) END AS sigma
         FROM binned b JOIN base USING (tic_id) GROUP BY 1),
-    trial AS (SELECT *, 0.6e0 * exp(i * ln(least(greatest(span / 2, 1e0), 50e0) / 0.6e0)
-        / {GRID_PERIODS - 1}) AS p FROM (SELECT *, unnest(range(0, {GRID_PERIODS})) AS i FROM base)),
+    sized AS (SELECT *, greatest(span / 2, 1e0) AS top, greatest(100, CAST(ceil(ln(greatest(span / 2, 1e0)
+        / 0.6e0) / ({days}e0 / greatest(span, 1e0) / 2e0)) AS INTEGER)) AS np FROM base),
+    trial AS (SELECT *, 0.6e0 * exp(i * ln(top / 0.6e0) / (np - 1)) AS p
+        FROM (SELECT *, unnest(range(0, np)) AS i FROM sized)),
     folded AS (SELECT t.tic_id, i, least(CAST(floor(((b.time - t0) % p) / {width}e0) AS BIGINT),
         CAST(ceil(p / {width}e0) AS BIGINT) - 1) AS place, med - flux AS dip
         FROM trial t JOIN binned b USING (tic_id)),
@@ -148,7 +151,7 @@ def _folded_grid(width: float) -> str:
 
 
 @query("l05_box_search_grid", with_views("series") + f"""
-    {_folded_grid(0.05)}
+    {_folded_grid(0.05, 0.5)}
     dense AS (SELECT tic_id, i, nb, n_all, n_all * med - s_all AS total, unnest(range(0, nb + 19)) AS b
         FROM (SELECT *, CAST(ceil(p / 0.05e0) AS BIGINT) AS nb FROM trial)),
     filled AS (SELECT d.*, coalesce(n, 0) AS n, coalesce(w, 0) AS w FROM dense d
@@ -163,24 +166,22 @@ def _folded_grid(width: float) -> str:
         / (sigma * sqrt(1e0 / n_in + 1e0 / (n_all - n_in))))) AS p FROM tried JOIN noise USING (tic_id)
         WHERE n_in > 0 AND n_in < n_all GROUP BY 1, 2)
     SELECT tic_id, round(max(p), 5) AS snr, round((max(p) - median(p)) / stddev_pop(p), 4) AS sde,
-        CAST(count(*) AS INTEGER) AS n_periods, true AS grid_capped FROM power GROUP BY 1""")
+        CAST(count(*) AS INTEGER) AS n_periods FROM power GROUP BY 1""")
 def _(spark, sf_dir):
     series = _binned(Tables(spark, sf_dir))
-    found = ps.search_periods(series, _limits(series), "bls", durations=GRID_DAYS,
-                              max_periods=GRID_PERIODS, chunk_periods=8)
+    found = ps.search_periods(series, _limits(series), "bls", durations=GRID_DAYS, chunk_periods=100,
+                              **GRID)
     return found.select("tic_id", F.round("snr", 5).alias("snr"), F.round("sde", 4).alias("sde"),
-                        "n_periods", "grid_capped")
+                        "n_periods")
 
 
 @query("l06_second_pass_after_mask")
 def _(spark, sf_dir):
     series = _binned(Tables(spark, sf_dir))
     limits = _limits(series)
-    first = ps.search_periods(series, limits, "bls", max_periods=TRIAL_PERIODS)
-    # The coarse grid counts as capped; this query is about the mask, so it searches all the same.
-    left = cut_lineage(ps.without_signal(
-        series, first.withColumn("grid_capped", F.lit(False)), 10))
-    return _found_columns(ps.search_periods(left, limits, "bls", max_periods=TRIAL_PERIODS))
+    first = ps.search_periods(series, limits, "bls", **COARSE)
+    left = cut_lineage(ps.without_signal(series, first, 10))
+    return _found_columns(ps.search_periods(left, limits, "bls", **COARSE))
 
 
 @query("l06_mask_of_signal", with_views("series", "points") + f"""
@@ -190,23 +191,19 @@ def _(spark, sf_dir):
     SELECT tic_id, count(*) AS n, round(sum(time), 5) AS total FROM kept GROUP BY 1 HAVING count(*) > 10""")
 def _(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    signal = _signals(t).withColumn("grid_capped", F.lit(False))
-    kept = ps.without_signal(t.series, signal, 10)
+    kept = ps.without_signal(t.series, _signals(t), 10)
     return kept.groupBy("tic_id").agg(F.count(F.lit(1)).alias("n"),
                                       F.round(F.sum("time"), 5).alias("total"))
 
 
 @query("l07_template_search")
 def _(spark, sf_dir):
-    found, _ = ps.template_check(_binned(Tables(spark, sf_dir)), 20, 2.0, TRIAL_PERIODS)
+    found, _ = ps.template_check(_binned(Tables(spark, sf_dir)), 20, 2.0, **COARSE)
     return _found_columns(found)
 
 
-TEMPLATE_DAYS = [1.0, 2.0]
-
-
 @query("l07_template_search_grid", with_views("series") + f"""
-    {_folded_grid(0.25)}
+    {_folded_grid(0.25, 1.0)}
     raw_shape AS (SELECT len, k, sqrt(1 - pow((k + 0.5e0) / len * 2 - 1, 2)) AS mu
         FROM (SELECT len, unnest(range(0, len)) AS k FROM (SELECT unnest([4, 8]) AS len))),
     unscaled AS (SELECT len, k, 1 - 0.4804e0 * (1 - mu) - 0.1867e0 * pow(1 - mu, 2) AS s FROM raw_shape),
@@ -221,8 +218,8 @@ TEMPLATE_DAYS = [1.0, 2.0]
     FROM power GROUP BY 1""")
 def _(spark, sf_dir):
     series = _binned(Tables(spark, sf_dir))
-    found = ps.search_periods(series, _limits(series), "tls", durations=TEMPLATE_DAYS,
-                              max_periods=GRID_PERIODS, chunk_periods=8)
+    found = ps.search_periods(series, _limits(series), "tls", durations=TEMPLATE_DAYS, chunk_periods=100,
+                              **TEMPLATE_GRID)
     return found.select("tic_id", F.round("snr", 5).alias("snr"), F.round("sde", 4).alias("sde"))
 
 
@@ -231,14 +228,18 @@ def _(spark, sf_dir):
     seg AS (SELECT *, sum(CASE WHEN step > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY tic_id ORDER BY time)
             AS g FROM stepped),
     spans AS (SELECT tic_id, g, count(*) AS n, max(time) - min(time) AS b FROM seg GROUP BY 1, 2),
+    fit AS (SELECT tic_id, count(*) FILTER (n >= 55 AND b >= 2) AS segments,
+            count(*) FILTER (NOT (n >= 55 AND b >= 2)) AS short_segments FROM spans GROUP BY 1),
     best AS (SELECT DISTINCT ON (tic_id) * FROM spans ORDER BY tic_id, b DESC, g)
-    SELECT tic_id, CASE WHEN n >= 55 AND b >= 2 THEN 'ok' ELSE 'skipped' END AS status,
-           n AS segment_points, CASE WHEN NOT (n >= 55 AND b >= 2) THEN 'best segment too short (' || n
-           || ' pts, ' || format('{:.1f}', b) || ' d)' END AS reason FROM best""")
+    SELECT tic_id, CASE WHEN segments > 0 THEN 'ok' ELSE 'skipped' END AS status, segments, short_segments,
+           n AS segment_points, CASE WHEN segments = 0 THEN 'best segment too short (' || n
+           || ' pts, ' || format('{:.1f}', b) || ' d)' END AS reason FROM best JOIN fit USING (tic_id)""")
 def _(spark, sf_dir):
-    segment = longest_segment(Tables(spark, sf_dir).series, ["tic_id"], "time",
-                              specs.SEGMENT_GAP_DAYS)
-    return ps.template_outcome(segment, 55).select("tic_id", "status", "segment_points", "reason")
+    pieces = in_segments(Tables(spark, sf_dir).series, ["tic_id"], "time", specs.SEGMENT_GAP_DAYS)
+    spans = pieces.groupBy("tic_id", "segment").agg(
+        (F.max("time") - F.min("time")).alias("baseline_days"), F.count(F.lit(1)).alias("segment_points"))
+    return ps.template_outcome(spans, 55).select("tic_id", "status", "segments", "short_segments",
+                                                 "segment_points", "reason")
 
 
 @query("l08_single_event_scan", with_views("series") + f", {SIGMA}, boxed AS (" + " UNION ALL ".join(
@@ -266,7 +267,8 @@ def _job(t: Tables):
         F.when(F.col("tic_id") % 7 == 0, F.col("tic_id") + 100000000).otherwise(F.col("tic_id"))
         .alias("tic_id"),
         F.when(F.col("tic_id") % 3 == 0, "discovery").otherwise("gold_planet").alias("cohort"))
-    return processing.process(t.points, targets, max_periods=TRIAL_PERIODS, min_good=MIN_GOOD)
+    return processing.process(t.points, targets, min_good=MIN_GOOD, second_points=10, segment_points=20,
+                              **COARSE)
 
 
 @query("l09_target_processing_runs", with_views("points") + f", {GOOD}" + """
@@ -412,7 +414,7 @@ def _(spark, sf_dir):
 @query("l14_failed_runs", with_views("runs", "targets") + """
     , newest_run AS (SELECT DISTINCT ON (target_id) target_id, status, notes FROM runs
         ORDER BY target_id, pipeline_run_id DESC)
-    SELECT t.target_id, toi, t.tic_id, status, notes[1:80] AS why FROM targets t
+    SELECT t.target_id, toi, t.tic_id, status, notes AS why FROM targets t
     JOIN newest_run USING (target_id) WHERE status <> 'ok'""")
 def _(spark, sf_dir):
     t = Tables(spark, sf_dir)

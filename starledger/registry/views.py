@@ -37,6 +37,10 @@ class Dialect:
             return f"timestamp_micros(unix_micros({ts}) + CAST({seconds} AS BIGINT) * 1000000)"
         return f"make_timestamp(epoch_us({ts}) + CAST({seconds} AS BIGINT) * 1000000)"
 
+    def steps(self, n: int) -> str:
+        """0 .. n as rows."""
+        return f"explode(sequence(0, {n}))" if self.name == "spark" else f"unnest(range(0, {n + 1}))"
+
     def add_days(self, day: str, n: str) -> str:
         if self.name == "spark":
             return f"date_add(DATE '{day}', CAST({n} AS INT))"
@@ -149,9 +153,7 @@ def claims(d: Dialect) -> str:
 def vocab(d: Dialect) -> str:
     from starledger import specs
 
-    rows = [line.split("|") for line in
-            (specs.VOCABULARY_BASE.strip() + "\n" + specs.VOCABULARY_AMENDMENT.strip()).splitlines()]
-    values = ", ".join("('" + "', '".join(c.strip() for c in row) + "')" for row in rows)
+    values = ", ".join(str(row) for row in (*specs.VOCABULARY_BASE, *specs.VOCABULARY_AMENDMENT))
     return f"SELECT * FROM (VALUES {values}) AS v(source, source_value, canonical)"
 
 
@@ -181,13 +183,13 @@ def axes(d: Dialect) -> str:
 
 @view
 def stars(d: Dialect) -> str:
-    sid = d.div("p_partkey", 4)
+    """One star for every four parts."""
     return f"""
-    SELECT {sid} AS star_id, CASE WHEN {sid} % 5 <> 0 THEN {sid} * 7 END AS tic_id,
-           'Host ' || CAST({sid} AS STRING) AS canonical_name,
-           CASE WHEN {sid} % 11 <> 0 THEN ({sid} * 137.50776405003785e0) % 360e0 END AS ra_deg,
-           degrees(asin(2e0 * (({sid} * 0.7548776662466927e0) % 1e0) - 1e0)) AS dec_deg
-    FROM {{part}} WHERE p_partkey % 4 = 0"""
+    SELECT sid AS star_id, CASE WHEN sid % 5 <> 0 THEN sid * 7 END AS tic_id,
+           'Host ' || CAST(sid AS STRING) AS canonical_name,
+           CASE WHEN sid % 11 <> 0 THEN (sid * 137.50776405003785e0) % 360e0 END AS ra_deg,
+           degrees(asin(2e0 * ((sid * 0.7548776662466927e0) % 1e0) - 1e0)) AS dec_deg
+    FROM (SELECT DISTINCT {d.div("p_partkey", 4)} AS sid FROM {{part}})"""
 
 
 @view
@@ -442,7 +444,7 @@ def requests(d: Dialect) -> str:
     SELECT s_suppkey AS request_id, (s_suppkey * 137.50776405003785e0) % 360e0 AS ra,
            degrees(asin(2e0 * ((s_suppkey * 0.7548776662466927e0) % 1e0) - 1e0)) AS dec,
            {d.add_seconds("TIMESTAMP '2026-07-16 05:00:00'", 's_suppkey % 3 * 3600')} AS start,
-           5 + CAST(s_suppkey % 2 AS INT) AS window_min, 120 AS step_sec,
+           60 - CAST(s_suppkey % 2 AS INT) AS window_min, 30 AS step_sec,
            CASE s_suppkey % 9 WHEN 0 THEN 'kitt_peak' WHEN 1 THEN 'paranal' WHEN 2 THEN 'mauna_kea'
                 WHEN 3 THEN 'la_palma' WHEN 4 THEN 'siding_spring' WHEN 5 THEN 'sutherland'
                 WHEN 6 THEN 'generic_north' WHEN 7 THEN 'nowhere' END AS site,
@@ -481,6 +483,24 @@ def circular(d: Dialect) -> str:
     return " UNION ALL ".join(at(step) for step in range(3))
 
 
+@view
+def positions(d: Dialect) -> str:
+    """The same satellites every 30 seconds of three hours: inertial positions in km."""
+    radius = "(6878e0 + p_size * 10e0)"
+    i = "radians((p_partkey * 17 % 180) * 1e0)"
+    node = "radians((p_partkey * 47 % 360) * 1e0)"
+    u = "radians((p_partkey * 31 % 360) + k * 2e0)"
+    return f"""
+    SELECT p_partkey AS satellite_id, 40000 + p_partkey AS norad_id, p_name AS name,
+           500e0 + p_size * 10e0 AS alt_km,
+           {d.add_seconds("TIMESTAMP '2026-07-16 05:00:00'", 'k * 30')} AS instant,
+           {radius} * (cos({node}) * cos({u}) - sin({node}) * sin({u}) * cos({i})) AS x,
+           {radius} * (sin({node}) * cos({u}) + cos({node}) * sin({u}) * cos({i})) AS y,
+           {radius} * sin({u}) * sin({i}) AS z,
+           CASE WHEN p_partkey % 43 = 0 THEN 6 ELSE 0 END AS error
+    FROM (SELECT *, {d.steps(360)} AS k FROM {{part}})"""
+
+
 # --- raw catalogs -----------------------------------------------------------------------------------------
 
 
@@ -521,8 +541,9 @@ def raw_exofop_toi(d: Dialect) -> str:
 
 @view
 def raw_nea_toi(d: Dialect) -> str:
+    """Every second part under the designation of the other list, the rest under one of its own."""
     return f"""
-    SELECT CAST(p_partkey AS STRING) || '.01' AS toi,
+    SELECT CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 2 = 0 THEN '.01' ELSE '.03' END AS toi,
            CASE WHEN p_partkey % 23 <> 0 THEN {d.div('p_partkey', 3)} END AS tid,
            CASE p_size % 5 WHEN 0 THEN 'CP' WHEN 1 THEN 'KP' WHEN 2 THEN 'FP' WHEN 3 THEN 'FA'
                 ELSE 'PC' END AS tfopwg_disp,
@@ -535,7 +556,7 @@ def raw_nea_toi(d: Dialect) -> str:
            {_number('9 + p_partkey % 100 / 10e0')} AS tmag,
            {_place(d.div('p_partkey', 3))[0]} AS ra_deg, {_place(d.div('p_partkey', 3))[1]} AS dec_deg,
            p_partkey AS raw_id, CAST(2 AS BIGINT) AS ingest_run_id, {_LOADED}
-    FROM {{part}} WHERE p_partkey % 2 = 0"""
+    FROM {{part}}"""
 
 
 @view
@@ -626,7 +647,7 @@ def raw_pscomppars(d: Dialect) -> str:
            {_number('4.35')} AS logg, {_number('0.75')} AS rstar_rsun, {_number('10.25')} AS vmag,
            {_number('9.5')} AS tmag, {ra} AS ra_deg, {dec} AS dec_deg,
            c_custkey AS raw_id, CAST(6 AS BIGINT) AS ingest_run_id, {_LOADED}
-    FROM {{customer}} WHERE c_custkey % 2 = 1"""
+    FROM {{customer}}"""
 
 
 @view

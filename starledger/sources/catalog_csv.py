@@ -9,8 +9,6 @@ from starledger.functions.text import CELL_DECIMAL, coerce_cell
 from starledger.specs import CatalogTable
 
 _KIND_TYPE = {"text": "string", "num": CELL_DECIMAL, "int": "bigint", "tic": "bigint"}
-_HEAD_LINES = 20
-_HEAD_CHARS = 200
 
 
 class SourceError(ValueError):
@@ -21,15 +19,26 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def refuse_error_payload(spark: SparkSession, path: str) -> None:
-    """Raise if the file starts like an error report; it must not count as an empty catalog.
+def file_heads(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, head, refused): the first line with text of every file, and whether it is an error report.
 
-    Only the first lines are read.
+    One pass over all files at once; each task keeps one line per file it reads.  A table starts
+    with its header, so a file that starts with ``ERROR`` or with markup is no table.
     """
-    lines = [row.value for row in spark.read.text(path).limit(_HEAD_LINES).collect()]
-    head = "\n".join(lines).lstrip()[:_HEAD_CHARS]
-    if head.upper().startswith("ERROR") or "<VOTABLE" in head.upper():
-        raise SourceError(f"source returned a non-CSV error payload: {head!r}")
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"),
+                                         F.trim("value").alias("line")).filter("line <> ''")
+    heads = lines.groupBy("file").agg(F.min_by("line", "place").alias("head"))
+    start = F.upper("head")
+    return heads.withColumn("refused", start.startswith("ERROR") | start.startswith("<?XML")
+                            | start.contains("<VOTABLE"))
+
+
+def refuse_error_payload(spark: SparkSession, path: str | list[str]) -> None:
+    """Raise if any file starts like an error report; it must not count as (part of) a catalog."""
+    bad = file_heads(spark, path).filter("refused").orderBy("file").first()
+    if bad is not None:
+        raise SourceError(f"source returned a non-CSV error payload: {bad.head!r} in {bad.file}")
 
 
 def typed_projection(raw: DataFrame, table: CatalogTable) -> DataFrame:
@@ -59,9 +68,25 @@ def read_catalog(spark: SparkSession, path: str, table: CatalogTable,
     breaks inside quoted cells; such files cannot be split between tasks.
     """
     refuse_error_payload(spark, path)
-    raw = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-           .option("multiLine", multiline).csv(path))
-    return typed_projection(raw, table)
+    return typed_projection(_csv(spark, path, multiline), table)
+
+
+def _csv(spark: SparkSession, path: str | list[str], multiline: bool = False) -> DataFrame:
+    return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+            .option("multiLine", multiline).csv(path))
+
+
+def read_files(spark: SparkSession, files: list[str], table: CatalogTable) -> DataFrame:
+    """Several catalog files, each with headers of its own, as typed rows plus ``extra``."""
+    refuse_error_payload(spark, files)
+    by_header: dict[str, list[str]] = {}
+    for row in file_heads(spark, files).select("file", "head").orderBy("file").collect():
+        by_header.setdefault(row.head, []).append(row.file)
+    frames = [typed_projection(_csv(spark, same), table) for same in by_header.values()]
+    rows = frames[0]
+    for frame in frames[1:]:
+        rows = rows.unionByName(frame)
+    return rows
 
 
 def narrow(df: DataFrame, table: CatalogTable) -> DataFrame:

@@ -7,7 +7,6 @@ operator runs on any catalog with another layout.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,166 +18,161 @@ class CatalogTable:
     name: str
     source: str
     endpoint: str
-    layout: str
-
-    @cached_property
-    def columns(self) -> list[tuple[str, str, str]]:
-        """(typed column, CSV header, kind) triples; kind is text, int, num or tic."""
-        rows = [line.split("|") for line in self.layout.strip().splitlines()]
-        return [(typed.strip(), header.strip(), kind.strip()) for typed, header, kind in rows]
-
-
-# --- fixed values: column layouts (typed column | header in the file | kind) -------------------
-TOI_LIST = CatalogTable("raw_exofop_toi", "exofop", "toi_csv", """
-    toi                | TOI                         | text
-    tic_id             | TIC ID                      | int
-    tfopwg_disposition | TFOPWG Disposition          | text
-    tess_disposition   | TESS Disposition            | text
-    period_days        | Period (days)               | num
-    duration_hr        | Duration (hours)            | num
-    depth_ppm          | Depth (ppm)                 | num
-    planet_radius_re   | Planet Radius (R_Earth)     | num
-    epoch_bjd          | Epoch (BJD)                 | num
-    teff_k             | Stellar Eff Temp (K)        | num
-    logg               | Stellar log(g) (cm/s^2)     | num
-    rstar_rsun         | Stellar Radius (R_Sun)      | num
-    tmag               | TESS Mag                    | num
-    ra_deg             | RA                          | num
-    dec_deg            | Dec                         | num
-""")
-CTOI_LIST = CatalogTable("raw_exofop_ctoi", "exofop", "ctoi_csv", """
-    ctoi               | CTOI                        | text
-    tic_id             | TIC ID                      | int
-    promoted_to_toi    | Promoted to TOI             | text
-    user_disposition   | User Disposition            | text
-    period_days        | Period (days)               | num
-    duration_hr        | Duration (hrs)              | num
-    depth_ppm          | Depth ppm                   | num
-    planet_radius_re   | Planet Radius (R_Earth)     | num
-    epoch_bjd          | Transit Epoch (BJD)         | num
-    tmag               | TESS Mag                    | num
-    ra_deg             | RA                          | num
-    dec_deg            | Dec                         | num
-""")
-ARCHIVE_TOI = CatalogTable("raw_nea_toi", "nea", "tap_toi", """
-    toi                | toi                         | text
-    tid                | tid                         | int
-    tfopwg_disp        | tfopwg_disp                 | text
-    period_days        | pl_orbper                   | num
-    duration_hr        | pl_trandurh                 | num
-    depth_ppm          | pl_trandep                  | num
-    planet_radius_re   | pl_rade                     | num
-    epoch_bjd          | pl_tranmid                  | num
-    teff_k             | st_teff                     | num
-    logg               | st_logg                     | num
-    rstar_rsun         | st_rad                      | num
-    tmag               | st_tmag                     | num
-    ra_deg             | ra                          | num
-    dec_deg            | dec                         | num
-""")
-KOI_CUMULATIVE = CatalogTable("raw_koi_cumulative", "nea", "tap_cumulative", """
-    kepid              | kepid                       | int
-    kepoi_name         | kepoi_name                  | text
-    kepler_name        | kepler_name                 | text
-    koi_disposition    | koi_disposition             | text
-    koi_pdisposition   | koi_pdisposition            | text
-    period_days        | koi_period                  | num
-    duration_hr        | koi_duration                | num
-    depth_ppm          | koi_depth                   | num
-    planet_radius_re   | koi_prad                    | num
-    epoch_bjd          | koi_time0bk                 | num
-    teff_k             | koi_steff                   | num
-    logg               | koi_slogg                   | num
-    rstar_rsun         | koi_srad                    | num
-    kepmag             | koi_kepmag                  | num
-    ra_deg             | ra                          | num
-    dec_deg            | dec                         | num
-""")
-PLANETARY_SYSTEMS = CatalogTable("raw_ps", "nea", "tap_ps", """
-    pl_name            | pl_name                     | text
-    hostname           | hostname                    | text
-    tic_id             | tic_id                      | tic
-    gaia_id            | gaia_dr3_id                 | text
-    hd_name            | hd_name                     | text
-    hip_name           | hip_name                    | text
-    default_flag       | default_flag                | int
-    soltype            | soltype                     | text
-    pl_controv_flag    | pl_controv_flag             | int
-    period_days        | pl_orbper                   | num
-    planet_radius_re   | pl_rade                     | num
-    depth_pct          | pl_trandep                  | num
-    duration_hr        | pl_trandur                  | num
-    epoch_bjd          | pl_tranmid                  | num
-    teff_k             | st_teff                     | num
-    logg               | st_logg                     | num
-    rstar_rsun         | st_rad                      | num
-    vmag               | sy_vmag                     | num
-    tmag               | sy_tmag                     | num
-    ra_deg             | ra                          | num
-    dec_deg            | dec                         | num
-    disc_facility      | disc_facility               | text
-    pl_refname         | pl_refname                  | text
-    st_refname         | st_refname                  | text
-    pl_pubdate         | pl_pubdate                  | text
-""")
-COMPOSITE_PLANETS = CatalogTable("raw_pscomppars", "nea", "tap_pscomppars", """
-    pl_name            | pl_name                     | text
-    hostname           | hostname                    | text
-    tic_id             | tic_id                      | tic
-    gaia_id            | gaia_dr3_id                 | text
-    hd_name            | hd_name                     | text
-    hip_name           | hip_name                    | text
-    period_days        | pl_orbper                   | num
-    planet_radius_re   | pl_rade                     | num
-    depth_pct          | pl_trandep                  | num
-    duration_hr        | pl_trandur                  | num
-    epoch_bjd          | pl_tranmid                  | num
-    teff_k             | st_teff                     | num
-    logg               | st_logg                     | num
-    rstar_rsun         | st_rad                      | num
-    vmag               | sy_vmag                     | num
-    tmag               | sy_tmag                     | num
-    ra_deg             | ra                          | num
-    dec_deg            | dec                         | num
-    disc_facility      | disc_facility               | text
-""")
+    #: (typed column, CSV header, kind); kind is text, int, num or tic.
+    columns: tuple[tuple[str, str, str], ...]
+
+
+# --- fixed values: column layouts (typed column, header in the file, kind) -------------------
+TOI_LIST = CatalogTable("raw_exofop_toi", "exofop", "toi_csv", (
+    ("toi", "TOI", "text"),
+    ("tic_id", "TIC ID", "int"),
+    ("tfopwg_disposition", "TFOPWG Disposition", "text"),
+    ("tess_disposition", "TESS Disposition", "text"),
+    ("period_days", "Period (days)", "num"),
+    ("duration_hr", "Duration (hours)", "num"),
+    ("depth_ppm", "Depth (ppm)", "num"),
+    ("planet_radius_re", "Planet Radius (R_Earth)", "num"),
+    ("epoch_bjd", "Epoch (BJD)", "num"),
+    ("teff_k", "Stellar Eff Temp (K)", "num"),
+    ("logg", "Stellar log(g) (cm/s^2)", "num"),
+    ("rstar_rsun", "Stellar Radius (R_Sun)", "num"),
+    ("tmag", "TESS Mag", "num"),
+    ("ra_deg", "RA", "num"),
+    ("dec_deg", "Dec", "num"),
+))
+CTOI_LIST = CatalogTable("raw_exofop_ctoi", "exofop", "ctoi_csv", (
+    ("ctoi", "CTOI", "text"),
+    ("tic_id", "TIC ID", "int"),
+    ("promoted_to_toi", "Promoted to TOI", "text"),
+    ("user_disposition", "User Disposition", "text"),
+    ("period_days", "Period (days)", "num"),
+    ("duration_hr", "Duration (hrs)", "num"),
+    ("depth_ppm", "Depth ppm", "num"),
+    ("planet_radius_re", "Planet Radius (R_Earth)", "num"),
+    ("epoch_bjd", "Transit Epoch (BJD)", "num"),
+    ("tmag", "TESS Mag", "num"),
+    ("ra_deg", "RA", "num"),
+    ("dec_deg", "Dec", "num"),
+))
+ARCHIVE_TOI = CatalogTable("raw_nea_toi", "nea", "tap_toi", (
+    ("toi", "toi", "text"),
+    ("tid", "tid", "int"),
+    ("tfopwg_disp", "tfopwg_disp", "text"),
+    ("period_days", "pl_orbper", "num"),
+    ("duration_hr", "pl_trandurh", "num"),
+    ("depth_ppm", "pl_trandep", "num"),
+    ("planet_radius_re", "pl_rade", "num"),
+    ("epoch_bjd", "pl_tranmid", "num"),
+    ("teff_k", "st_teff", "num"),
+    ("logg", "st_logg", "num"),
+    ("rstar_rsun", "st_rad", "num"),
+    ("tmag", "st_tmag", "num"),
+    ("ra_deg", "ra", "num"),
+    ("dec_deg", "dec", "num"),
+))
+KOI_CUMULATIVE = CatalogTable("raw_koi_cumulative", "nea", "tap_cumulative", (
+    ("kepid", "kepid", "int"),
+    ("kepoi_name", "kepoi_name", "text"),
+    ("kepler_name", "kepler_name", "text"),
+    ("koi_disposition", "koi_disposition", "text"),
+    ("koi_pdisposition", "koi_pdisposition", "text"),
+    ("period_days", "koi_period", "num"),
+    ("duration_hr", "koi_duration", "num"),
+    ("depth_ppm", "koi_depth", "num"),
+    ("planet_radius_re", "koi_prad", "num"),
+    ("epoch_bjd", "koi_time0bk", "num"),
+    ("teff_k", "koi_steff", "num"),
+    ("logg", "koi_slogg", "num"),
+    ("rstar_rsun", "koi_srad", "num"),
+    ("kepmag", "koi_kepmag", "num"),
+    ("ra_deg", "ra", "num"),
+    ("dec_deg", "dec", "num"),
+))
+PLANETARY_SYSTEMS = CatalogTable("raw_ps", "nea", "tap_ps", (
+    ("pl_name", "pl_name", "text"),
+    ("hostname", "hostname", "text"),
+    ("tic_id", "tic_id", "tic"),
+    ("gaia_id", "gaia_dr3_id", "text"),
+    ("hd_name", "hd_name", "text"),
+    ("hip_name", "hip_name", "text"),
+    ("default_flag", "default_flag", "int"),
+    ("soltype", "soltype", "text"),
+    ("pl_controv_flag", "pl_controv_flag", "int"),
+    ("period_days", "pl_orbper", "num"),
+    ("planet_radius_re", "pl_rade", "num"),
+    ("depth_pct", "pl_trandep", "num"),
+    ("duration_hr", "pl_trandur", "num"),
+    ("epoch_bjd", "pl_tranmid", "num"),
+    ("teff_k", "st_teff", "num"),
+    ("logg", "st_logg", "num"),
+    ("rstar_rsun", "st_rad", "num"),
+    ("vmag", "sy_vmag", "num"),
+    ("tmag", "sy_tmag", "num"),
+    ("ra_deg", "ra", "num"),
+    ("dec_deg", "dec", "num"),
+    ("disc_facility", "disc_facility", "text"),
+    ("pl_refname", "pl_refname", "text"),
+    ("st_refname", "st_refname", "text"),
+    ("pl_pubdate", "pl_pubdate", "text"),
+))
+COMPOSITE_PLANETS = CatalogTable("raw_pscomppars", "nea", "tap_pscomppars", (
+    ("pl_name", "pl_name", "text"),
+    ("hostname", "hostname", "text"),
+    ("tic_id", "tic_id", "tic"),
+    ("gaia_id", "gaia_dr3_id", "text"),
+    ("hd_name", "hd_name", "text"),
+    ("hip_name", "hip_name", "text"),
+    ("period_days", "pl_orbper", "num"),
+    ("planet_radius_re", "pl_rade", "num"),
+    ("depth_pct", "pl_trandep", "num"),
+    ("duration_hr", "pl_trandur", "num"),
+    ("epoch_bjd", "pl_tranmid", "num"),
+    ("teff_k", "st_teff", "num"),
+    ("logg", "st_logg", "num"),
+    ("rstar_rsun", "st_rad", "num"),
+    ("vmag", "sy_vmag", "num"),
+    ("tmag", "sy_tmag", "num"),
+    ("ra_deg", "ra", "num"),
+    ("dec_deg", "dec", "num"),
+    ("disc_facility", "disc_facility", "text"),
+))
 CATALOG_TABLES = [TOI_LIST, CTOI_LIST, ARCHIVE_TOI, KOI_CUMULATIVE, PLANETARY_SYSTEMS,
                   COMPOSITE_PLANETS]
 
-# --- fixed values: disposition vocabulary (source | word in the source | canonical) ------------
-VOCABULARY_BASE = """
-    exofop_toi  | PC                       | CANDIDATE
-    exofop_toi  | APC                      | AMBIGUOUS
-    exofop_toi  | CP                       | CONFIRMED
-    exofop_toi  | KP                       | KNOWN_PLANET
-    exofop_toi  | FP                       | FALSE_POSITIVE
-    exofop_toi  | FA                       | FALSE_POSITIVE
-    nea_toi     | PC                       | CANDIDATE
-    nea_toi     | APC                      | AMBIGUOUS
-    nea_toi     | CP                       | CONFIRMED
-    nea_toi     | KP                       | KNOWN_PLANET
-    nea_toi     | FP                       | FALSE_POSITIVE
-    nea_toi     | FA                       | FALSE_POSITIVE
-    exofop_ctoi | PC                       | CANDIDATE
-    exofop_ctoi | EB                       | FALSE_POSITIVE
-    exofop_ctoi | FP                       | FALSE_POSITIVE
-    exofop_ctoi | V                        | FALSE_POSITIVE
-    koi         | CONFIRMED                | CONFIRMED
-    koi         | CANDIDATE                | CANDIDATE
-    koi         | FALSE POSITIVE           | FALSE_POSITIVE
-    koi         | NOT DISPOSITIONED        | AMBIGUOUS
-    ps          | Published Confirmed      | CONFIRMED
-    ps          | Published Candidate      | CANDIDATE
-    ps          | TESS Project Candidate   | CANDIDATE
-    ps          | Kepler Project Candidate | CANDIDATE
-    ps          | CONTROVERSIAL            | AMBIGUOUS
-    pscomppars  | CONFIRMED                | CONFIRMED
-"""
-VOCABULARY_AMENDMENT = """
-    exofop_ctoi | CP                       | CONFIRMED
-    exofop_ctoi | KP                       | KNOWN_PLANET
-    exofop_ctoi | APC                      | AMBIGUOUS
-"""
+# --- fixed values: disposition vocabulary (source, word in the source, canonical) ------------
+VOCABULARY_BASE = (
+    ("exofop_toi", "PC", "CANDIDATE"),
+    ("exofop_toi", "APC", "AMBIGUOUS"),
+    ("exofop_toi", "CP", "CONFIRMED"),
+    ("exofop_toi", "KP", "KNOWN_PLANET"),
+    ("exofop_toi", "FP", "FALSE_POSITIVE"),
+    ("exofop_toi", "FA", "FALSE_POSITIVE"),
+    ("nea_toi", "PC", "CANDIDATE"),
+    ("nea_toi", "APC", "AMBIGUOUS"),
+    ("nea_toi", "CP", "CONFIRMED"),
+    ("nea_toi", "KP", "KNOWN_PLANET"),
+    ("nea_toi", "FP", "FALSE_POSITIVE"),
+    ("nea_toi", "FA", "FALSE_POSITIVE"),
+    ("exofop_ctoi", "PC", "CANDIDATE"),
+    ("exofop_ctoi", "EB", "FALSE_POSITIVE"),
+    ("exofop_ctoi", "FP", "FALSE_POSITIVE"),
+    ("exofop_ctoi", "V", "FALSE_POSITIVE"),
+    ("koi", "CONFIRMED", "CONFIRMED"),
+    ("koi", "CANDIDATE", "CANDIDATE"),
+    ("koi", "FALSE POSITIVE", "FALSE_POSITIVE"),
+    ("koi", "NOT DISPOSITIONED", "AMBIGUOUS"),
+    ("ps", "Published Confirmed", "CONFIRMED"),
+    ("ps", "Published Candidate", "CANDIDATE"),
+    ("ps", "TESS Project Candidate", "CANDIDATE"),
+    ("ps", "Kepler Project Candidate", "CANDIDATE"),
+    ("ps", "CONTROVERSIAL", "AMBIGUOUS"),
+    ("pscomppars", "CONFIRMED", "CONFIRMED"),
+)
+VOCABULARY_AMENDMENT = (
+    ("exofop_ctoi", "CP", "CONFIRMED"),
+    ("exofop_ctoi", "KP", "KNOWN_PLANET"),
+    ("exofop_ctoi", "APC", "AMBIGUOUS"),
+)
 DISPOSITIONS = ["CONFIRMED", "KNOWN_PLANET", "CANDIDATE", "AMBIGUOUS", "FALSE_POSITIVE"]
 
 # --- fixed values: source precedence per attribute, best first ---------------------------------
@@ -273,6 +267,7 @@ ODD_EVEN_SIGMA = 3.0
 SECONDARY_SNR = 5.0
 DEEP_ECLIPSE_PPM = 100000.0
 VETTING_TOOL = "heuristic_vetting"
+VETTING_NOTE = "heuristic light-curve vetting, not a calibrated false-positive probability"
 
 # --- fixed values: observatories (key, name, latitude, longitude east, elevation km) -------------
 SITES = [
@@ -322,15 +317,10 @@ NOTE_SHORT_SEGMENT = "best segment too short (%d pts, %.1f d)"
 NOTE_SINGLE_DIP = "single dip localised; no period inferred"
 
 
-def _rows(text: str) -> list[tuple[str, ...]]:
-    return [tuple(cell.strip() for cell in line.split("|"))
-            for line in text.strip().splitlines()]
-
-
-def vocabulary(spark: SparkSession, *seeds: str) -> DataFrame:
+def vocabulary(spark: SparkSession, *seeds: tuple[tuple[str, str, str], ...]) -> DataFrame:
     """(source, source_value, canonical, seed_order): every seed file, later files marked later."""
     seeds = seeds or (VOCABULARY_BASE, VOCABULARY_AMENDMENT)
-    rows = [(*row, order) for order, text in enumerate(seeds) for row in _rows(text)]
+    rows = [(*row, order) for order, seed in enumerate(seeds) for row in seed]
     return spark.createDataFrame(
         rows, "source string, source_value string, canonical string, seed_order int")
 

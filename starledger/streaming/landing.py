@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from starledger.sources.catalog_csv import typed_projection
+from starledger.sources import ledger as ledger_io
+from starledger.sources.catalog_csv import read_files
+from starledger.sources.landing import land
 from starledger.specs import CatalogTable
 
 
 def land_new_files(spark: SparkSession, table: CatalogTable, inbox: str, out: str,
-                   checkpoint: str, run_id: int) -> None:
+                   checkpoint: str, ledger_path: str) -> None:
     """Land every file that has not been landed yet, then stop.
 
-    The file source's checkpoint is the resume set; a restart after a loss repeats no file.
+    The stream carries the names of new files only (its checkpoint is the resume set, so a restart
+    repeats no finished batch).  Each batch of files goes the way of a batch load: error guard,
+    headers of its own files, ``extra``, ``raw_id`` and ledger rows.
     """
-    header = T.StructType([T.StructField(h, T.StringType()) for _, h, _ in table.columns])
-    raw = (spark.readStream.option("header", True).option("quote", '"').option("escape", '"')
-           .option("enforceSchema", False).schema(header).csv(inbox))
-    typed = typed_projection(raw, table).withColumns({
-        "ingest_run_id": F.lit(run_id).cast("bigint"), "loaded_at": F.current_timestamp()})
-    (typed.writeStream.format("parquet").outputMode("append").partitionBy("ingest_run_id")
-     .option("path", out).option("checkpointLocation", checkpoint)
+    def land_batch(batch: DataFrame, _: int) -> None:
+        names = [row.file for row in batch.select("file").distinct().collect()]  # one per new file
+        if not names:
+            return
+        run_id = ledger_io.start_run(spark, ledger_path, table.source, table.endpoint)
+        try:
+            size = batch.agg(F.sum("size")).first()[0]
+            n = land(read_files(spark, names, table), out, run_id)
+        except Exception as error:
+            ledger_io.finish_run(spark, ledger_path, run_id, table.source, table.endpoint, "error",
+                                 0, 0, str(error))
+            raise
+        ledger_io.finish_run(spark, ledger_path, run_id, table.source, table.endpoint, "ok", n, size)
+
+    # Length and name of each file; the contents are not read here.
+    listed = (spark.readStream.format("binaryFile").schema(
+        "path string, modificationTime timestamp, length bigint, content binary").load(inbox)
+              .select(F.col("path").alias("file"), F.col("length").alias("size")))
+    (listed.writeStream.foreachBatch(land_batch).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())

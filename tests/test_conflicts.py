@@ -98,3 +98,20 @@ def test_dossier_of_the_planted_target(spark):
     assert sections["identifiers"].first().owner == "star" and sections["siblings"].isEmpty()
     only = ds.conflicts_only(sections)
     assert only["summary"].first().n_conflicts == 3 and only["claims"].count() == 6
+
+
+def test_numbers_of_any_size_take_part(spark):
+    said = spark.createDataFrame([
+        (1, "depth_ppm", "a", "1e20"), (1, "depth_ppm", "b", "100000000000000000000"),   # equal
+        (2, "depth_ppm", "a", "1e20"), (2, "depth_ppm", "b", "1.2e20"),                  # 1/6 apart
+        (3, "depth_ppm", "a", "0.00000000001"), (3, "depth_ppm", "b", "0.00000000002"),  # half
+        (4, "depth_ppm", "a", "12345678901234567890"), (4, "depth_ppm", "b", "12345678901234567891"),
+        (5, "depth_ppm", "a", "1e-30"), (5, "depth_ppm", "b", "3e-30"),
+        (6, "depth_ppm", "a", "1.1"), (6, "depth_ppm", "b", "1.0")],                     # exactly 1/11
+        "candidate_id bigint, attribute string, source string, value string")
+    got = {r.eid: r for r in cf.numeric_conflicts(said, "candidate_id", "depth_ppm", "0.10").collect()}
+    assert set(got) == {2, 3, 5} and abs(got[2].spread - 1 / 6) < 1e-12 and got[3].spread == 0.5
+    assert cf.numeric_by_source(said, "candidate_id", "depth_ppm").count() == 12
+    edge = spark.createDataFrame([(1, "period_days", "a", "0.99"), (1, "period_days", "b", "1.00")],
+                                 "candidate_id bigint, attribute string, source string, value string")
+    assert cf.numeric_conflicts(edge, "candidate_id", "period_days", "0.01").isEmpty()  # not beyond it

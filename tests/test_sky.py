@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from starledger import specs
 from starledger.operators import sightline as sl
-from starledger.operators.propagate import sgp4_positions
 from starledger.plans.passes import find_passes
 
 REQUEST = ("request_id bigint, ra double, dec double, start timestamp, window_min int, step_sec int, "
@@ -21,29 +20,6 @@ def requests(spark):
         (4, 258.8, 4.9, AT, 60, 30, "nowhere", None, None, None)], REQUEST)
 
 
-def test_published_sgp4_vectors():
-    """Spacetrack Report 3 object 88888; vectors as revised by Vallado et al. (2006)."""
-    def at(x):
-        return np.array([[float(x)]])
-
-    rad = np.radians
-    x, y, z, error = sgp4_positions(
-        at(16.05824518 * 2 * np.pi / 1440), at(0.0086731), at(rad(72.8435)), at(rad(115.9689)),
-        at(rad(52.6988)), at(rad(110.5714)), at(0.66816e-4), np.array([[0.0, 120.0, 240.0]]))
-    got = np.stack([x[0], y[0], z[0]], axis=1)
-    want = [[2328.96975262, -5995.22051338, 1719.97297192],
-            [1020.69234558, 2286.56260634, -6191.55565927],
-            [-3226.54349155, 3503.70977525, 4532.80979343]]
-    assert np.abs(got - want).max() < 1e-6 and not error.any()
-
-
-def test_decayed_orbit_keeps_its_error_code():
-    one = np.array([[1.0]])
-    *_, error = sgp4_positions(one * 0.0735, one * 0.001, one, one, one, one, one * 50.0,
-                               np.array([[0.0, 50000.0]]))
-    assert error[0, 0] == 0 and error[0, 1] != 0
-
-
 def test_visibility_depends_on_earth_rotation_only(spark):
     placed = sl.with_site(requests(spark), specs.sites(spark))
     assert placed.count() == 3  # the unknown site drops out
@@ -56,19 +32,29 @@ def test_visibility_depends_on_earth_rotation_only(spark):
     assert not seen[2].target_visible and seen[3].target_max_alt_deg == seen[1].target_max_alt_deg
 
 
+def ephemeris(spark, n=600):
+    """Circular orbits in closed form, every 30 seconds of an hour."""
+    rows = []
+    for i in range(n):
+        radius, tilt, node = 6878.0 + i % 50, np.radians(30 + i % 70), np.radians(i * 7 % 360)
+        for k in range(121):
+            u = np.radians(i * 13 % 360 + k * 1.9)
+            rows.append((i, 40000 + i, f"SAT {i}", radius - 6378, AT + dt.timedelta(seconds=30 * k),
+                         radius * (np.cos(node) * np.cos(u) - np.sin(node) * np.sin(u) * np.cos(tilt)),
+                         radius * (np.sin(node) * np.cos(u) + np.cos(node) * np.sin(u) * np.cos(tilt)),
+                         radius * np.sin(u) * np.sin(tilt), 0))
+    return spark.createDataFrame(
+        [tuple(float(v) if isinstance(v, np.floating) else v for v in r) for r in rows],
+        "satellite_id bigint, norad_id bigint, name string, alt_km double, instant timestamp, "
+        "x double, y double, z double, error int")
+
+
 def test_passes_keep_their_invariants(spark):
-    rows = [(i, 40000 + i, f"SAT {i}", dt.datetime(2026, 7, 15), 15.0 + i * 0.0005, 0.001,
-             30.0 + i % 70, float(i * 7 % 360), 0.0, float(i * 13 % 360), 1e-4, 550.0)
-            for i in range(600)]
-    payloads = spark.createDataFrame(rows, "satellite_id bigint, norad_id bigint, "
-                                     "canonical_name string, epoch timestamp, mean_motion double, "
-                                     "eccentricity double, inclination double, ra_of_asc_node double, "
-                                     "arg_of_pericenter double, mean_anomaly double, bstar double, "
-                                     "alt_km double")
-    owners = spark.createDataFrame([(i, f"Owner {i % 3}") for i in range(300)],
+    owners = spark.createDataFrame([(i, f"Owner {i % 3}") for i in range(300)]
+                                   + [(i, "A second owner") for i in range(0, 300, 2)],
                                    "satellite_id bigint, operator string")
-    found = find_passes(requests(spark), payloads, owners, specs.sites(spark), sep_deg=10.0,
-                        max_results=5)
+    moves = ephemeris(spark)
+    found = find_passes(requests(spark), moves, owners, specs.sites(spark), sep_deg=10.0, max_results=5)
     facts = {r.request_id: r for r in found.requests.collect()}
     hits = [r for r in found.hits.collect() if r.request_id == 1]
     assert facts[1].n_found > 5 and facts[1].truncated and len(hits) == 5
@@ -79,6 +65,35 @@ def test_passes_keep_their_invariants(spark):
     tally = found.tally.filter("request_id = 1").agg(F.sum("hits")).first()[0]
     assert tally == facts[1].n_found
     assert not found.tally.filter("operator = 'Unattributed'").isEmpty()
+    whole = find_passes(requests(spark), moves, owners, specs.sites(spark), sep_deg=10.0)
+    listed = [r for r in whole.hits.collect() if r.request_id == 1]
+    assert len(listed) == len({r.satellite_id for r in listed}) == facts[1].n_found
+
+
+def test_horizon_cells_lose_no_visible_satellite(spark):
+    from starledger.functions.frames import observer_vectors
+
+    moves = ephemeris(spark, 80)
+    places = spark.createDataFrame([(1, 90.0, 0.0, 0.0), (2, -33.9, 18.5, 1.8), (3, 0.0, -78.0, 5.0)],
+                                   "observer_id bigint, lat double, lon double, elev double")
+    vectors = observer_vectors(F.col("lat"), F.col("lon"), F.col("elev"))
+    observers = places.select("observer_id", *[v.alias(k) for k, v in vectors.items()]).crossJoin(
+        moves.select("instant").distinct().withColumn("gmst", F.lit(0.7)))
+    got = {(r.observer_id, r.satellite_id, r.instant) for r in sl.in_sight(moves, observers).collect()}
+    site = {r.observer_id: r for r in observers.dropDuplicates(["observer_id"]).collect()}
+    want = set()
+    for m in moves.collect():
+        e = np.array([np.cos(.7) * m.x + np.sin(.7) * m.y, np.cos(.7) * m.y - np.sin(.7) * m.x, m.z])
+        for i, o in site.items():
+            if np.dot(e - [o.obs_x, o.obs_y, o.obs_z], [o.up_x, o.up_y, o.up_z]) > 0:
+                want.add((i, m.satellite_id, m.instant))
+    assert got == want
+
+
+def test_fractional_steps_keep_their_time(spark):
+    window = spark.createDataFrame([(1, AT, 0.1, 1.5)], "request_id int, start timestamp, window_min double, step_sec double")
+    got = [r.instant - AT for r in sl.time_grid(window).orderBy("step").collect()]
+    assert got == [dt.timedelta(seconds=1.5 * k) for k in range(5)]
 
 
 def test_cells_never_lose_a_close_pair(spark):

@@ -40,6 +40,31 @@ def test_error_payload_raises(spark, tmp_path):
                                  specs.ARCHIVE_TOI)
 
 
+@pytest.mark.parametrize("body", ["ERROR / ORA-00904: x", "\n\n  error: gone\n",
+                                  '<?xml version="1.0"?>\n<VOTABLE version="1.3">'])
+def test_one_error_file_in_a_folder_raises(spark, tmp_path, body):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k in range(3):
+        write(folder, f"part{k}.csv", TOI)
+    assert catalog_csv.read_catalog(spark, str(folder), specs.TOI_LIST).count() == 6
+    write(folder, "zz.csv", body)
+    with pytest.raises(catalog_csv.SourceError, match="zz.csv"):
+        catalog_csv.read_catalog(spark, str(folder), specs.TOI_LIST)
+
+
+def test_loaders_at_the_same_time_get_their_own_runs(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    book = str(tmp_path / "ledger")
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda k: ledger.start_run(spark, book, "s", f"e{k}"), range(8)))
+    assert len(set(ids)) == 8
+    note = "x" * 5000
+    ledger.finish_run(spark, book, ids[0], "s", "e0", "error", 0, 0, note)
+    assert ledger.current_state(ledger.read_events(spark, book)).filter("status = 'error'").first().notes == note
+
+
 def test_one_bad_source_does_not_stop_the_rest(spark, tmp_path):
     files = {"raw_nea_toi": write(tmp_path, "bad.csv", "ERROR x"),
              "raw_exofop_toi": write(tmp_path, "toi.csv", TOI)}
@@ -71,14 +96,25 @@ def test_freshness_looks_at_ok_runs_only(spark):
 def test_streamed_landing_repeats_no_file(spark, tmp_path):
     inbox, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
     inbox.mkdir()
-    small = specs.CatalogTable("t", "s", "e", "toi | TOI | text\n period_days | Period | num")
-    (inbox / "a.csv").write_text("TOI,Period\n1.01,2.5\n")
-    land_new_files(spark, small, str(inbox), out, marks, 1)
+    small = specs.CatalogTable("t", "s", "e", (("toi", "TOI", "text"), ("period_days", "Period", "num")))
+    book = str(tmp_path / "ledger")
+    (inbox / "a.csv").write_text("TOI,Period,More\n1.01,2.5,kept\n")
+    land_new_files(spark, small, str(inbox), out, marks, book)
     (inbox / "b.csv").write_text("TOI,Period\n2.01,bad\n")
-    land_new_files(spark, small, str(inbox), out, marks, 2)
-    rows = sorted((r.toi, r.period_days is None, r.ingest_run_id)
-                  for r in spark.read.parquet(out).collect())
-    assert rows == [("1.01", False, 1), ("2.01", True, 2)]
+    land_new_files(spark, small, str(inbox), out, marks, book)
+    land_new_files(spark, small, str(inbox), out, marks, book)
+    landed = spark.read.parquet(out).collect()
+    rows = sorted((r.toi, r.period_days is None, r.ingest_run_id, r.extra.get("More")) for r in landed)
+    assert rows == [("1.01", False, 1, "kept"), ("2.01", True, 2, None)]
+    assert len({r.raw_id for r in landed}) == 2
+    state = ledger.current_state(ledger.read_events(spark, book)).orderBy("ingest_run_id").collect()
+    assert [(r.status, r.rows_ingested) for r in state] == [("ok", 1), ("ok", 1)]
+    (inbox / "c.csv").write_text("ERROR gone\n")
+    with pytest.raises(Exception, match="error payload"):
+        land_new_files(spark, small, str(inbox), out, marks, book)
+    last = ledger.current_state(ledger.read_events(spark, book)).orderBy("ingest_run_id").collect()[-1]
+    assert last.status == "error" and "ERROR gone" in last.notes
+    assert spark.read.parquet(out).count() == 2
 
 
 def test_target_scan_prunes_to_one_bucket(spark, tmp_path):
@@ -104,7 +140,8 @@ def test_publish_switches_versions(spark, tmp_path):
 def test_later_seed_wins(spark):
     from starledger.operators.resolution import latest_seed
 
-    words = specs.vocabulary(spark, "a | X | CANDIDATE\n a | Y | CONFIRMED", "a | X | CONFIRMED")
+    words = specs.vocabulary(spark, (("a", "X", "CANDIDATE"), ("a", "Y", "CONFIRMED")),
+                             (("a", "X", "CONFIRMED"),))
     got = {(r.source_value): r.canonical for r in latest_seed(words).collect()}
     assert got == {"X": "CONFIRMED", "Y": "CONFIRMED"}
     assert latest_seed(specs.vocabulary(spark)).count() == 29

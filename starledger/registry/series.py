@@ -25,7 +25,6 @@ BIN_MINUTES = 360
 # Trial periods as fine as the shortest of these durations asks for, on every series' own baseline.
 GRID_DAYS = [0.5, 1.0]
 GRID = {"grid_duration": min(GRID_DAYS), "min_periods": 100}
-COARSE = {"durations": GRID_DAYS, **GRID}
 
 
 @query("l01_normalise_per_sector", with_views("points") + f", {GOOD}" + """
@@ -123,7 +122,7 @@ def _found_columns(df):
 @query("l05_box_search_chunked")
 def _(spark, sf_dir):
     series = _binned(Tables(spark, sf_dir))
-    return _found_columns(ps.search_periods(series, _limits(series), "bls", **COARSE))
+    return _found_columns(ps.search_periods(series, _limits(series), "bls", **GRID))
 
 
 TEMPLATE_DAYS = [1.0, 2.0]
@@ -179,9 +178,9 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     series = _binned(Tables(spark, sf_dir))
     limits = _limits(series)
-    first = ps.search_periods(series, limits, "bls", **COARSE)
+    first = ps.search_periods(series, limits, "bls", **GRID)
     left = cut_lineage(ps.without_signal(series, first, 10))
-    return _found_columns(ps.search_periods(left, limits, "bls", **COARSE))
+    return _found_columns(ps.search_periods(left, limits, "bls", **GRID))
 
 
 @query("l06_mask_of_signal", with_views("series", "points") + f"""
@@ -198,7 +197,7 @@ def _(spark, sf_dir):
 
 @query("l07_template_search")
 def _(spark, sf_dir):
-    found, _ = ps.template_check(_binned(Tables(spark, sf_dir)), 20, 2.0, **COARSE)
+    found, _ = ps.template_check(_binned(Tables(spark, sf_dir)), 20, 2.0, **GRID)
     return _found_columns(found)
 
 
@@ -268,7 +267,7 @@ def _job(t: Tables):
         .alias("tic_id"),
         F.when(F.col("tic_id") % 3 == 0, "discovery").otherwise("gold_planet").alias("cohort"))
     return processing.process(t.points, targets, min_good=MIN_GOOD, second_points=10, segment_points=20,
-                              **COARSE)
+                              **GRID)
 
 
 @query("l09_target_processing_runs", with_views("points") + f", {GOOD}" + """

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from starledger import specs
 from starledger.functions.text import clean_reference, to_number
-from starledger.operators.links import union_all
+from starledger.session import cut_lineage
 
 
 def identity(targets: DataFrame, candidates: DataFrame, stars: DataFrame) -> DataFrame:
@@ -23,19 +23,30 @@ def identity(targets: DataFrame, candidates: DataFrame, stars: DataFrame) -> Dat
             .withColumnRenamed("canonical_name", "target").join(hosts, "star_id"))
 
 
-def identifiers(targets: DataFrame, crosswalk: DataFrame) -> DataFrame:
-    """Identifiers a target owns itself or through its star (``targets``: candidate_id, star_id).
+def _owned(targets: DataFrame, facts: DataFrame, level: str) -> DataFrame:
+    """``facts`` of each target itself and of its star, with ``level`` saying whose they are.
 
-    An OR in the join condition would rule out hashing; two equi-joins and a union do not.
+    ``targets`` (candidate_id, star_id).  Both sides are spread over (owner level, owner id) keys and
+    meet in one equi-join: an OR in the condition would rule out hashing, two joins would read the
+    facts twice.
     """
-    cols = ["id_type", "id_value", "source", "confidence"]
-    own = targets.select(F.col("candidate_id").alias("target_id"), "candidate_id").join(
-        crosswalk.filter(F.col("candidate_id").isNotNull()).select("candidate_id", *cols),
-        "candidate_id")
-    host = targets.select(F.col("candidate_id").alias("target_id"), "star_id").join(
-        crosswalk.filter(F.col("star_id").isNotNull()).select("star_id", *cols), "star_id")
-    return union_all([own.select("target_id", F.lit("candidate").alias("owner"), *cols),
-                      host.select("target_id", F.lit("star").alias("owner"), *cols)])
+    def keys(columns):
+        return F.explode(F.array(*[F.struct(F.lit(name).alias("level"), F.col(c).cast("bigint").alias("id"))
+                                   for name, c in columns])).alias("_key")
+
+    pairs = [("candidate", "candidate_id"), ("star", "star_id")]
+    rest = [c for c in facts.columns if c not in ("candidate_id", "star_id")]
+    owners = targets.select(F.col("candidate_id").alias("target_id"), keys(pairs)).filter("_key.id IS NOT NULL")
+    held = facts.select(*rest, keys(pairs)).filter("_key.id IS NOT NULL")
+    return (owners.select("target_id", F.col("_key.level").alias(level), F.col("_key.id").alias("_id"))
+            .join(held.select(*rest, F.col("_key.level").alias(level), F.col("_key.id").alias("_id")),
+                  [level, "_id"]).select("target_id", level, *rest))
+
+
+def identifiers(targets: DataFrame, crosswalk: DataFrame) -> DataFrame:
+    """Identifiers a target owns itself or through its star (``targets``: candidate_id, star_id)."""
+    return _owned(targets, crosswalk.select(
+        "candidate_id", "star_id", "id_type", "id_value", "source", "confidence"), "owner")
 
 
 def claims_with_words(claims: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -50,15 +61,9 @@ def target_claims(targets: DataFrame, claims: DataFrame, vocabulary: DataFrame)
     """Every claim about a target or its star, canonical words and clean citations included."""
     said = claims_with_words(claims, vocabulary).withColumn(
         "source_ref", clean_reference(F.col("source_ref")))
-    cols = ["attribute", "source", "value", "unit", "source_ref", "observed_at",
-            "canonical_disposition"]
-    own = targets.select(F.col("candidate_id").alias("target_id"), "candidate_id").join(
-        said.filter(F.col("candidate_id").isNotNull()).select("candidate_id", *cols),
-        "candidate_id")
-    host = targets.select(F.col("candidate_id").alias("target_id"), "star_id").join(
-        said.filter(F.col("star_id").isNotNull()).select("star_id", *cols), "star_id")
-    return union_all([own.select("target_id", F.lit("candidate").alias("claim_level"), *cols),
-                      host.select("target_id", F.lit("star").alias("claim_level"), *cols)])
+    return _owned(targets, said.select(
+        "candidate_id", "star_id", "attribute", "source", "value", "unit", "source_ref", "observed_at",
+        "canonical_disposition"), "claim_level")
 
 
 def attribute_flags(said: DataFrame, axes: DataFrame) -> DataFrame:
@@ -146,7 +151,7 @@ def dossier(targets: DataFrame, candidates: DataFrame, stars: DataFrame, crosswa
     """All sections for a table of targets (column candidate_id)."""
     facts = identity(targets, candidates, stars)
     keyed = facts.select("candidate_id", "star_id")
-    said = target_claims(keyed, claims, vocabulary)
+    said = cut_lineage(target_claims(keyed, claims, vocabulary), "said")  # two sections read it
     flags = with_resolved(attribute_flags(said, axes), facts)
     return {"identity": facts, "identifiers": identifiers(keyed, crosswalk), "claims": said,
             "attributes": flags, "siblings": siblings(keyed, candidates)}

@@ -383,8 +383,7 @@ GRADED = f"""{CURRENT}, graded AS (SELECT c.*, t.cohort, known_period_days, know
 GRADE_VIEWS = ("runs", "detections", "targets")
 
 
-@query("a24_recovery_counts", with_views(*GRADE_VIEWS) + f", {GRADED}" + """
-    SELECT (SELECT count(*) FROM targets) AS targets,
+RECOVERY_COUNTS = """(SELECT count(*) FROM targets) AS targets,
         (SELECT count(*) FROM newest JOIN runs USING (pipeline_run_id) WHERE status = 'ok')
         AS processed_ok,
         (SELECT count(*) FROM targets WHERE cohort = 'gold_planet') AS gold_planet,
@@ -395,7 +394,10 @@ GRADE_VIEWS = ("runs", "detections", "targets")
         (SELECT count(*) FROM targets WHERE cohort = 'discovery') AS discovery,
         (SELECT count(*) FROM targets LEFT JOIN strongest USING (target_id)
          LEFT JOIN event USING (target_id) WHERE cohort = 'discovery'
-         AND (coalesce(best_snr, 0) >= 7 OR coalesce(event_snr, 0) >= 7)) AS credible""")
+         AND (coalesce(best_snr, 0) >= 7 OR coalesce(event_snr, 0) >= 7)) AS credible"""
+
+
+@query("a24_recovery_counts", with_views(*GRADE_VIEWS) + f", {GRADED} SELECT {RECOVERY_COUNTS}")
 def _(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return grading.recovery_counts(t.targets, t.runs,

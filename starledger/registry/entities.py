@@ -272,25 +272,40 @@ def _(spark, sf_dir):
     return graph.build_summary(_graph(spark, sf_dir))
 
 
-_SECTIONS = f"""{FLAGS}, owned AS (SELECT target_id, id_type FROM rep JOIN identifiers i
-        ON i.candidate_id = target_id
-        UNION ALL SELECT target_id, id_type FROM rep JOIN identifiers i ON i.star_id = rep.star_id)"""
+_SECTIONS = f"""{FLAGS}, owned AS (SELECT target_id, id_type, id_value, source FROM rep
+        JOIN identifiers i ON i.candidate_id = target_id
+        UNION ALL SELECT target_id, id_type, id_value, source FROM rep JOIN identifiers i
+        ON i.star_id = rep.star_id)"""
 
 
 @query("e10_target_dossier", with_views("candidates", "stars", "identifiers", "claims", "vocab", "axes")
        + f", {_SECTIONS}" + """
-    SELECT 'identity' AS section, target_id, count(*) AS n FROM rep GROUP BY 2
-    UNION ALL SELECT 'identifiers', target_id, count(*) FROM owned GROUP BY 2
-    UNION ALL SELECT 'claims', target_id, count(*) FROM said GROUP BY 2
-    UNION ALL SELECT 'attributes', target_id, count(*) FROM flags GROUP BY 2
-    UNION ALL SELECT 'siblings', target_id, count(*) FROM rep JOIN candidates c
-        ON c.star_id = rep.star_id AND c.candidate_id <> target_id GROUP BY 2""")
+    SELECT 'identity' AS section, target_id, c.canonical_name AS item, s.canonical_name AS word, 1 AS n
+    FROM rep JOIN candidates c ON c.candidate_id = target_id JOIN stars s ON s.star_id = rep.star_id
+    UNION ALL SELECT 'identifiers', target_id, id_type || ' ' || id_value, source, count(*) FROM owned
+        GROUP BY 2, 3, 4
+    UNION ALL SELECT 'claims', target_id, attribute || ' ' || source, coalesce(word, value), count(*)
+        FROM said GROUP BY 2, 3, 4
+    UNION ALL SELECT 'attributes', target_id, attribute, CASE WHEN conflict THEN 'conflict' END, n_claims
+        FROM flags
+    UNION ALL SELECT 'siblings', target_id, c.canonical_name, c.disposition, c.candidate_id FROM rep
+        JOIN candidates c ON c.star_id = rep.star_id AND c.candidate_id <> target_id""")
 def _(spark, sf_dir):
     sections = _dossier(spark, Tables(spark, sf_dir))
+
+    def rows(name, item, word, n=None, key="target_id"):
+        df = sections[name].select(F.lit(name).alias("section"), F.col(key).alias("target_id"),
+                                   item.alias("item"), word.alias("word"),
+                                   F.lit(1).cast("bigint").alias("n") if n is None else n.cast("bigint").alias("n"))
+        return df if n is not None else df.groupBy("section", "target_id", "item", "word").agg(
+            F.count(F.lit(1)).alias("n"))
+
     return links.union_all([
-        df.groupBy(F.lit(name).alias("section"),
-                   F.col("candidate_id" if name == "identity" else "target_id").alias("target_id"))
-        .agg(F.count(F.lit(1)).alias("n")) for name, df in sections.items()])
+        rows("identity", F.col("target"), F.col("host"), key="candidate_id"),
+        rows("identifiers", F.concat_ws(" ", "id_type", "id_value"), F.col("source")),
+        rows("claims", F.concat_ws(" ", "attribute", "source"), F.coalesce("canonical_disposition", "value")),
+        rows("attributes", F.col("attribute"), F.when(F.col("conflict"), F.lit("conflict")), F.col("n_claims")),
+        rows("siblings", F.col("canonical_name"), F.col("disposition"), F.col("candidate_id"))])
 
 
 def _dossier(spark, t: Tables):

@@ -337,15 +337,19 @@ def _(spark, sf_dir):
 
 
 @query("l10_vetting_scenarios", with_views("points", "series") + f", {VETTED}" + """
-    SELECT scenario, count(*) AS n, count(CASE scenario WHEN 'odd_even' THEN oe
-        WHEN 'secondary' THEN sec_snr ELSE 0 END) AS n_value
-    FROM vetted CROSS JOIN (VALUES ('odd_even'), ('secondary'), ('FP_FLAG')) AS v(scenario)
-    GROUP BY 1""")
+    , scored AS (SELECT *, greatest(0e0,
+            coalesce(CASE WHEN oe > 3 THEN least(0.5 + 0.1 * (oe - 3), 0.95) END, 0),
+            coalesce(CASE WHEN sec_snr > 5 THEN least(0.5 + 0.05 * (sec_snr - 5), 0.95) END, 0),
+            CASE WHEN depth > 100000 THEN 0.6 ELSE 0 END) AS score FROM vetted)
+    SELECT tic_id, scenario, 'heuristic_vetting' AS tool, round(CASE scenario WHEN 'odd_even' THEN oe
+        WHEN 'secondary' THEN sec_snr ELSE round(score, 3) END, 6) AS probability,
+        CASE WHEN scenario = 'FP_FLAG' THEN n_in_transit END AS n_in_transit
+    FROM scored CROSS JOIN (VALUES ('odd_even'), ('secondary'), ('FP_FLAG')) AS v(scenario)""")
 def _(spark, sf_dir):
     t = Tables(spark, sf_dir)
     rows = vetting.scenario_rows(vetting.vet(t.series, _signals(t)))
-    return rows.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"),
-                                        F.count("probability").alias("n_value"))
+    return rows.select("tic_id", "scenario", "tool", F.round("probability", 6).alias("probability"),
+                       F.get_json_object("metrics", "$.n_in_transit").cast("bigint").alias("n_in_transit"))
 
 
 def _current(t: Tables):

@@ -58,16 +58,34 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="starledger-checkpoint-")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+_WRITTEN: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder, for tables a job writes and reads back."""
-    return os.path.join(checkpoint_root(spark), "tables", f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(checkpoint_root(spark), "tables", f"{label}-{uuid.uuid4().hex}")
+    _WRITTEN.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process has written so far; returns how many there were.
+
+    For the end of a job, once its results are stored: frames that still read such a table fail
+    afterwards.
+    """
+    removed = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        removed += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return removed
 
 
 def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:

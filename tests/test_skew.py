@@ -69,3 +69,15 @@ def test_cluster_without_shared_folder_is_refused():
 
     with pytest.raises(ValueError):
         checkpoint_root(Session())
+
+
+def test_scratch_tables_can_be_removed(spark, monkeypatch):
+    import os
+
+    from starledger import session
+
+    monkeypatch.setattr(session, "_WRITTEN", [])
+    kept = session.cut_lineage(spark.range(5), "kept")
+    path = session._WRITTEN[0].removeprefix("file:")
+    assert kept.count() == 5 and os.path.isdir(path)
+    assert session.remove_scratch(spark) == 1 and not os.path.exists(path) and session._WRITTEN == []

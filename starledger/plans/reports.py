@@ -9,6 +9,7 @@ from starledger import specs
 from starledger.operators import conflicts as cf
 from starledger.operators import grading as gr
 from starledger.operators.picks import last_per_endpoint
+from starledger.session import cut_lineage
 
 CATALOG_SOURCES = ["exofop", "nea"]
 
@@ -38,7 +39,7 @@ def conflict_report(tables: dict[str, DataFrame], vocabulary: DataFrame,
     candidates, stars = tables["candidate"], tables["star"]
     out = {"totals": cf.table_counts(tables),
            "ledger": last_per_endpoint(ledger, "finished_at")}
-    fights = cf.disposition_fights(cf.mapped_dispositions(claims, vocabulary))
+    fights = cut_lineage(cf.disposition_fights(cf.mapped_dispositions(claims, vocabulary)), "fights")
     dramatic = fights.filter("has_fp AND has_confirmed")
     most_words = [F.col("n_dispo").desc(), F.col("eid")]
     out["disposition_counts"] = fights.agg(

@@ -206,6 +206,53 @@ def _(spark, sf_dir):
         F.when(is_word, F.col("value")).alias("word"))
 
 
+def _said_by_all() -> str:
+    """Every value of every claim source, one SELECT per attribute."""
+    parts = []
+    for spec in cl.CLAIM_SOURCES:
+        attributes = cl.CANDIDATE_UNITS if spec.owner == "candidate" else [
+            (a, u) for a, u in cl.STAR_UNITS if a in cl.STAR_ATTRIBUTES[spec.source]]
+        for attribute, unit in attributes:
+            number, word = f"CAST({attribute} AS DOUBLE)", "NULL"
+            if attribute == "depth_ppm" and spec.source in ("ps", "pscomppars"):
+                number = "CAST(depth_pct AS DOUBLE) * 10000"
+            if attribute == "disposition":
+                number, word = "NULL", {
+                    "ps": "CASE WHEN pl_controv_flag = 1 THEN 'CONTROVERSIAL' ELSE soltype END",
+                    "pscomppars": "'CONFIRMED'"}.get(spec.source) or cl.DISPOSITION_COLUMN[spec.source]
+            parts.append(f"SELECT '{spec.owner}' AS owner, '{spec.id_type}' AS id_type, '{spec.asserted_by}' AS asserted_by, "
+                         f"CAST({spec.key} AS VARCHAR) AS source_key, '{spec.source}' AS source, "
+                         f"'{attribute}' AS attribute, {f"'{unit}'" if unit else 'NULL'} AS unit, "
+                         f"{spec.reference or 'NULL'} AS source_ref, raw_id, {number} AS number, {word} AS word "
+                         f"FROM {spec.table}")
+    return "said_all AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@query("j07_claims_of_all_sources", with_views(*OBS_VIEWS) + f", {_said_by_all()}" + """
+    , keys AS (SELECT owner, id_type, asserted_by, source_key, min(raw_id) AS owner_id FROM said_all
+               WHERE source_key IS NOT NULL GROUP BY 1, 2, 3, 4)
+    SELECT owner, owner_id, source_key, attribute, unit, source, source_ref, raw_id,
+           round(number, 6) AS number, word
+    FROM said_all JOIN keys USING (owner, id_type, asserted_by, source_key)
+    WHERE number IS NOT NULL OR word IS NOT NULL""")
+def _(spark, sf_dir):
+    raw = raw_tables(Tables(spark, sf_dir))
+    # One entity per identifier: the first row that carries it.
+    keys = links.union_all([
+        raw[s.table].select(F.lit(s.owner).alias("owner"), F.lit(s.id_type).alias("id_type"),
+                            F.lit(s.asserted_by).alias("source"), F.col(s.key).cast("string").alias("id_value"),
+                            "raw_id").filter("id_value IS NOT NULL") for s in cl.CLAIM_SOURCES])
+    owned = keys.groupBy("owner", "id_type", "source", "id_value").agg(F.min("raw_id").alias("id")).select(
+        "id_type", "source", "id_value", F.when(F.col("owner") == "star", F.col("id")).alias("star_id"),
+        F.when(F.col("owner") == "candidate", F.col("id")).alias("candidate_id"))
+    is_word = F.col("attribute") == "disposition"
+    return cl.all_claims(raw, owned).select(
+        F.when(F.col("star_id").isNotNull(), "star").otherwise("candidate").alias("owner"),
+        F.coalesce("star_id", "candidate_id").alias("owner_id"), "source_key", "attribute", "unit", "source",
+        "source_ref", "raw_id", F.round(F.when(~is_word, F.col("value").try_cast("double")), 6).alias("number"),
+        F.when(is_word, F.col("value")).alias("word"))
+
+
 MAPPED = """mapped AS (SELECT candidate_id AS eid, c.source, canonical AS canon FROM claims c
     JOIN vocab v ON v.source = c.source AND v.source_value = c.value
     WHERE attribute = 'disposition' AND candidate_id IS NOT NULL)"""

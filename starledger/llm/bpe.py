@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 from starledger.llm.common import pick, slices
 
 SLICE = 1 << 20
-KEPT = 300_000       # pre-tokens remembered per generation and worker
+KEPT = 500_000       # pre-tokens remembered per generation and worker
 LONGEST_KEPT = 64    # characters of a pre-token that is worth remembering
+RUN = 1 << 17        # ids decoded at a time
 
 
 class Codec:
@@ -35,13 +36,17 @@ class Codec:
         import regex
 
         self.ranks = ranks
-        self.split = regex.compile(pattern).findall
         top_rank = max(ranks.values())
+        self.split = regex.compile(pattern).findall
         self.words = [0] * ((top_rank >> 6) + 1)       # a bit per rank
         self.groups = [0] * ((top_rank >> 12) + 1)     # a bit per word; the third level is one number
         self.longest = max(map(len, ranks))
         self.pairs = [ranks.get(bytes((x, y))) for x in range(256) for y in range(256)]
-        self.byte_of = {rank: token for token, rank in ranks.items()}
+        known = sorted((rank, token) for token, rank in ranks.items())
+        self.flat = np.frombuffer(b"".join(token for _, token in known), np.uint8)
+        self.width = np.zeros(top_rank + 1, np.int64)          # bytes of each id; 0 where there is none
+        self.width[[rank for rank, _ in known]] = [len(token) for _, token in known]
+        self.place = np.cumsum(self.width) - self.width        # where they begin in ``flat``
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -138,7 +143,15 @@ class Codec:
         return b"".join(parts)
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.byte_of.__getitem__, ids.tolist()))
+        """The bytes of all ids, gathered in runs of bounded size."""
+        return b"".join(self._gathered(ids[at:at + RUN]) for at in range(0, len(ids), RUN))
+
+    def _gathered(self, ids: np.ndarray) -> bytes:
+        width = self.width[ids]
+        if not width.all():
+            raise ValueError("an id that the vocabulary does not have")
+        ends = np.cumsum(width)
+        return self.flat[np.arange(ends[-1]) + np.repeat(self.place[ids] - (ends - width), width)].tobytes()
 
 
 @cache
@@ -182,13 +195,13 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ide
         tool = codec(path, pattern)
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                rows = []
-                for t in batch.column("text").to_pylist():
-                    packed = tool.encode(t or "")
-                    ids = np.frombuffer(packed, "<u4")
-                    rows.append((len(ids), hashlib.sha256(packed).hexdigest(),
-                                 hashlib.sha256(tool.decode(ids)).hexdigest()))
-                n, ids_sha, text_sha = zip(*rows)
+                packed = [tool.encode(t or "") for t in batch.column("text").to_pylist()]
+                ids = np.frombuffer(b"".join(packed), "<u4")      # decoded together: short texts are many
+                n = [len(p) // 4 for p in packed]
+                whole_text = memoryview(tool.decode(ids))
+                cuts = np.concatenate([[0], np.cumsum(tool.width[ids])])[np.cumsum([0, *n])]
+                ids_sha = [hashlib.sha256(p).hexdigest() for p in packed]
+                text_sha = [hashlib.sha256(whole_text[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
                     ["id", "n_tokens", "ids_sha256", "decoded_sha256"])

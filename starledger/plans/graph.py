@@ -230,6 +230,16 @@ def build_graph(raw: dict[str, DataFrame], vocabulary: DataFrame, precedence: Da
     return Graph(raw, stars, candidate_rows, links, dz.ambiguous(clustered), vocabulary, precedence)
 
 
+def build_sizes(graph: Graph) -> DataFrame:
+    """One row: table sizes and pass statistics of the build itself, before claims and winners."""
+    return table_counts({
+        "stars": graph.star_rows, "candidates": graph.candidate_rows, "crosswalk_rows": graph.links,
+        "merge_log_rows": graph.audit,
+        "koi_coord_matched": graph.links.filter(F.col("rule") == lk.COORD_MATCH),
+        "koi_new_stars": graph.links.filter(F.col("rule") == lk.KOI_NEW_STAR),
+        "ambiguous_period_candidates": graph.ambiguous})
+
+
 def build_summary(graph: Graph) -> DataFrame:
     """One row: table sizes, pass statistics, resolution coverage, unmapped disposition words."""
     sizes = table_counts({

@@ -267,6 +267,22 @@ def _(spark, sf_dir):
         F.count(F.lit(1)).alias("n"))
 
 
+@query("e09_graph_build_sizes", _BUILD + """
+    , counted AS (SELECT (SELECT count(*) FROM seen) + (SELECT count(*) FROM named
+            WHERE tic_id IS NOT NULL AND id_value <> '') + (SELECT count(*) FROM host_star)
+            + (SELECT count(*) FROM matched) + (SELECT count(*) FROM kic WHERE k LIKE 'v%')
+            + (SELECT count(*) FROM cand_links) AS n_links,
+        (SELECT count(*) FROM clustered WHERE len(hits) > 1) AS n_ambiguous)
+    SELECT (SELECT count(*) FROM tic_star) + (SELECT count(*) FROM host_star)
+            + (SELECT count(*) FROM kic WHERE k LIKE 'v%') AS stars,
+        (SELECT count(*) FROM cands) AS candidates, n_links AS crosswalk_rows,
+        n_links + n_ambiguous AS merge_log_rows, (SELECT count(*) FROM matched) AS koi_coord_matched,
+        (SELECT count(*) FROM kic WHERE k LIKE 'v%') AS koi_new_stars,
+        n_ambiguous AS ambiguous_period_candidates FROM counted""")
+def _(spark, sf_dir):
+    return graph.build_sizes(_graph(spark, sf_dir))
+
+
 @query("e09_graph_build_summary")
 def _(spark, sf_dir):
     return graph.build_summary(_graph(spark, sf_dir))

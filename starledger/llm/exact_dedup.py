@@ -28,7 +28,6 @@ from starledger.session import cut_lineage
 
 LEAD = 64            # leading bytes that splitters and sort compare before the digest
 SLICE = 8 << 20      # text bytes a task handles at a time
-OUT_ROWS = 4096
 
 RUN_FIELDS = [("pid", "int"), ("edge", "int"), ("keep_id", "bigint"), ("group_size", "bigint"),
               ("is_last", "boolean"), ("is_edge_row", "boolean"), ("edge_text", "binary")]
@@ -97,8 +96,8 @@ def _runs(ordered: DataFrame, ident: str, text: str, carried: list[str]) -> Data
                      pa.array([False]), pa.array([True]), pa.array([current], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, [*kept_cols, *[n for n, _ in RUN_FIELDS]])
 
-        def flushed(force):
-            if ready and (force or sum(b.num_rows for b in ready) >= OUT_ROWS):
+        def flushed():
+            if ready:
                 whole = pa.Table.from_batches(ready).combine_chunks()
                 ready.clear()
                 yield from whole.to_batches()
@@ -108,7 +107,10 @@ def _runs(ordered: DataFrame, ident: str, text: str, carried: list[str]) -> Data
             for batch in slices(whole, text, SLICE):
                 norm = [b.lower() for b in text_bytes(batch.column(text))]
                 ids = batch.column(ident).to_pylist()
-                slim = batch.select(kept_cols)
+                # An open run may last for many batches: it holds copies of ids and digests, or the
+                # last row's batch, never the texts it has passed.
+                slim = batch.select(kept_cols) if only_last else pa.RecordBatch.from_arrays(
+                    [pa.array(batch.column(c).to_pylist(), arrow.field(c).type) for c in kept_cols], kept_cols)
                 start = 0
                 for i, here in enumerate(norm):
                     if here == current:
@@ -117,7 +119,7 @@ def _runs(ordered: DataFrame, ident: str, text: str, carried: list[str]) -> Data
                         continue
                     if current is not None:
                         if i > start:
-                            pending.append((slim, start, i - start))
+                            pending = pending[:0 if only_last else None] + [(slim, start, i - start)]
                         edge = 0 if n_runs == 1 else None
                         ready.extend(close(edge))
                         if edge == 0:
@@ -126,13 +128,13 @@ def _runs(ordered: DataFrame, ident: str, text: str, carried: list[str]) -> Data
                     current, size, best = here, 1, ids[i]
                     n_runs += 1
                 if len(norm) > start:
-                    pending.append((slim, start, len(norm) - start))
-                yield from flushed(False)
+                    pending = pending[:0 if only_last else None] + [(slim, start, len(norm) - start)]
+                yield from flushed()
         if current is not None:
             edge = 0 if n_runs == 1 else 1
             ready.extend(close(edge))
             ready.append(edge_row(edge))
-        yield from flushed(True)
+        yield from flushed()
 
     return ordered.mapInArrow(walk, schema)
 

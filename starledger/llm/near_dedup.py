@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starledger.llm import shingles
-from starledger.llm.common import partitions, pick, slices
+from starledger.llm.common import partitions, pick, place, positional, slices
 from starledger.llm.components import components
 from starledger.session import cut_lineage
 
@@ -162,40 +163,57 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
     A region that fits is one block; a denser one is cut along its sorted order, where rows of a
     block share the longest prefixes.  Blocks whose rows one component already holds, and regions of
-    two rows, which were compared as neighbours, are left out.
+    two rows, which were compared as neighbours, are left out.  A region that goes on in the next
+    sorted range gets one more block there, from the last rows of one range and the first of the next.
     """
     def cut(batches):
+        pid = TaskContext.get().partitionId()
         region, block, fresh, weight, out = None, [], 0, 0, []
+        head, n_regions = [], 0          # first rows of the range's first region
 
         def closed():
             wanted = fresh and len(block) > 2 and len({r for _, r, _ in block}) > 1
-            return [([m for m, _, _ in block], [r for _, r, _ in block])] if wanted else []
+            return [(0, None, block)] if wanted else []
 
         def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.list_(pa.int64())) for i in (0, 1)],
-                                              ["nodes", "roots"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([pid] * len(found), pa.int32()), pa.array([x[0] for x in found], pa.int32()),
+                 pa.array([x[1] for x in found], pa.binary()),
+                 *(pa.array([[row[i] for row in x[2]] for x in found], pa.list_(pa.int64())) for i in (0, 1))],
+                ["pid", "edge", "region", "nodes", "roots"])
 
         for batch in batches:
             for label, node, n, root in zip(*(batch.column(c).to_pylist() for c in ("label", "node", "n", "root"))):
                 if label[:REGION] != region:
                     out += closed()
-                    region, block, fresh, weight = label[:REGION], [], 0, 0
+                    region, block, fresh, weight, n_regions = label[:REGION], [], 0, 0, n_regions + 1
                 elif len(block) >= BLOCK or weight + n > BLOCK_SHINGLES:
                     out += closed()
                     block = block[-max(len(block) // 2, 1):]
                     weight, fresh = sum(k for _, _, k in block), 0
-                block.append((node, root, n))
+                block = block + [(node, root, n)]
                 weight += n
                 fresh += 1
+                if n_regions == 1 and len(head) < BLOCK // 2:
+                    head.append((node, root, n))
+                    first = region
             if len(out) >= 512:
                 yield batch_of(out)
                 out = []
         out += closed()
+        if n_regions:
+            out += [(1, first, head), (2, region, block[-(BLOCK // 2):])]
         if out:
             yield batch_of(out)
 
-    return (_ordered(rows).mapInArrow(cut, "nodes array<bigint>, roots array<bigint>")
-            .dropDuplicates(["nodes"]))
+    found = cut_lineage(_ordered(rows).mapInArrow(
+        cut, "pid int, edge int, region binary, nodes array<bigint>, roots array<bigint>"), "block-rows")
+    ends = found.filter("edge = 2").select((F.col("pid") + 1).alias("pid"), "region",
+                                           F.col("nodes").alias("nodes_a"), F.col("roots").alias("roots_a"))
+    across = (found.filter("edge = 1").join(ends, ["pid", "region"])
+              .select(F.concat("nodes_a", "nodes").alias("nodes"), F.concat("roots_a", "roots").alias("roots"))
+              .filter(F.size(F.array_distinct("roots")) > 1))
+    return found.filter("edge = 0").select("nodes", "roots").unionByName(across).dropDuplicates(["nodes"])
 
 
 def _members(docs: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
@@ -271,13 +289,38 @@ def overlaps(grams: list[np.ndarray]) -> np.ndarray:
     return both
 
 
+def _own_id(ident: Column, text: Column) -> Column:
+    """The id, or for a document without one a number above all ids, the same for equal texts."""
+    unnamed = F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(NO_ID)) + F.lit(NO_ID)
+    return F.coalesce(ident.cast("bigint"), unnamed)
+
+
 def classes(docs: DataFrame, text: str = "text", ident: str = "doc_id", n_words: int = 5,
             percent: int = 80) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
-    unnamed = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(NO_ID)) + F.lit(NO_ID)
-    slim = (pick(docs, id=ident, text=text)
-            .select(F.col("id").cast("bigint"), F.col("text").cast("string"))
-            .select(F.coalesce("id", unnamed).alias("id"), "text"))
+    found = _components(docs, text, ident, n_words, percent)
+    return found.select(F.when(F.col("id") < NO_ID, F.col("id")).alias(ident), F.col("n").alias("n_shingles"),
+                        F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"),
+                        (F.col("id") == F.col("component")).alias("kept"))
+
+
+def unique_rows(docs: DataFrame, text: str = "text", ident: str = "doc_id", n_words: int = 5,
+                percent: int = 80) -> DataFrame:
+    """One document of each group, that with the smallest id, with all columns.
+
+    Documents without an id stay only where nobody in their group has one, and then one text stays.
+    """
+    flat = positional(docs)
+    own = _own_id(F.col(place(docs, ident)), F.col(place(docs, text)).cast("string"))
+    goes = (_components(docs, text, ident, n_words, percent).filter("id <> component")
+            .select(F.col("id").alias("k_goes")).distinct())
+    return flat.join(goes.hint("merge"), own == F.col("k_goes"), "left_anti").toDF(*docs.columns)
+
+
+def _components(docs: DataFrame, text: str, ident: str, n_words: int, percent: int) -> DataFrame:
+    """(id, n, component) of every document; ids from :func:`_own_id`."""
+    slim = pick(docs, id=ident, text=text).select(
+        _own_id(F.col("id"), F.col("text").cast("string")).alias("id"), F.col("text").cast("string"))
     signed = cut_lineage(signatures(slim, n_words), "signatures")
     filled = signed.filter("n > 0")
     nodes = cut_lineage(filled.groupBy("key").agg(F.min("id").alias("node")), "nodes")
@@ -298,7 +341,7 @@ def classes(docs: DataFrame, text: str = "text", ident: str = "doc_id", n_words:
     roots = _merged(roots, cut_lineage(_confirmed(pairs, members, percent), "confirmed"))
     blocks = cut_lineage(_blocks(_unsettled(rows, roots)), "blocks")
     roots = _merged(roots, cut_lineage(_linked_blocks(blocks, members, percent), "confirmed"))
-    return _labelled(signed, nodes, roots, ident)
+    return _labelled(signed, nodes, roots)
 
 
 def _unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -327,12 +370,8 @@ def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return cut_lineage(old.unionByName(new), "roots")
 
 
-def _labelled(signed: DataFrame, nodes: DataFrame, roots: DataFrame, ident: str) -> DataFrame:
+def _labelled(signed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     settled = (nodes.join(roots, "node", "left")
                .select("key", F.coalesce("root", "node").alias("component")))
-    named = F.coalesce(F.col("component"), F.col("id"))
     return (signed.select("id", "n", "key").join(settled, "key", "left")
-            .select("id", "n", named.alias("component"))
-            .select(F.when(F.col("id") < NO_ID, F.col("id")).alias(ident), F.col("n").alias("n_shingles"),
-                    F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"),
-                    (F.col("id") == F.col("component")).alias("kept")))
+            .select("id", "n", F.coalesce("component", "id").alias("component")))

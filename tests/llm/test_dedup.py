@@ -140,6 +140,32 @@ def test_near_rows_without_an_id_and_repeated_rows(spark):
         (-1, -1, True), (-1, -1, True), (-1, 4, False), (4, 4, True), (9, 4, False), (9, 4, False)]
 
 
+def test_near_unique_rows_keep_one_of_each_group(spark):
+    words = [f"v{i}" for i in range(80)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words, "x"])), (7, " ".join(f"u{i}" for i in range(60))),
+            (None, " ".join(f"u{i}" for i in range(61))), (9, "alone"), (None, None), (3, "")]
+    got = near_dedup.unique_rows(frame(spark, rows), n_words=4)
+    assert got.columns == ["doc_id", "text", "Kept", "c0"]
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(i for i, _ in left if i is not None) == [3, 7, 9]
+    assert len([t for i, t in left if i is None and t]) == 1 and (None, None) in left
+
+
+def test_a_region_cut_between_ranges_is_compared_across(spark):
+    """Rows of one region in two ranges, linked only to a row behind the cut."""
+    label = bytes([0]) + bytes(16)
+    rows = spark.createDataFrame([(label, i, 100, i) for i in range(40)],
+                                 "label binary, node bigint, n bigint, root bigint")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    try:
+        blocks = [r.nodes for r in near_dedup._blocks(rows).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    met = {frozenset((a, b)) for nodes in blocks for a in nodes for b in nodes if a < b}
+    assert len(met) == 40 * 39 // 2
+
+
 def test_components_of_chains_stars_and_loops(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 540)] + [(7, 7), (9, 8), (8, 9)]

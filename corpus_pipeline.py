@@ -11,10 +11,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from starledger.llm import exact_dedup, near_dedup, packing, quality_rules, toxicity
-from starledger.llm.common import place, positional, table
+from starledger.llm.common import table
 from starledger.session import scratch_path, tune
 
 CAPACITY = 2048
@@ -23,7 +22,7 @@ END_ID = 0
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_fold=None)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))  # the held-out fold teaches nothing here either
     return toxicity.clean_rows(docs, model)
 
 
@@ -41,13 +40,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates, five-word shingles that overlap by 0.8 or more, one document stays.
 
-    That with the smallest id; a group whose documents all lack an id keeps each of them.
+    That with the smallest id.
     """
-    goes = (near_dedup.classes(docs, n_words=5, percent=80)
-            .filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
-    flat = positional(docs)
-    ident = F.col(place(docs, "doc_id"))
-    return flat.join(goes, ident == goes["doc_id"], "left_anti").toDF(*docs.columns)
+    return near_dedup.unique_rows(docs, n_words=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

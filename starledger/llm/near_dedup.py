@@ -3,18 +3,20 @@
 Every distinct shingle set gets ``TREES`` labels of ``DEPTH`` MinHash values.  In each tree the
 labels are sorted; sets that share their first ``MIN_DEPTH`` values form a region, and neighbours
 with the longest common prefix are candidates, confirmed on the full sets.  Depth adapts to the
-region: a region of up to ``BLOCK`` rows is compared whole, a denser one in overlapping blocks along
-its sorted order, whose rows share longer prefixes.
+region: a region of up to ``BLOCK`` rows in one sorted range is compared whole, a denser one in
+overlapping blocks along its sorted order, whose rows share longer prefixes.  Where that leaves a
+denser or cut region in several components, its rows meet in an exact prefix-filter join.
 
 The rounds keep large groups of near copies linear: first direct neighbours in two trees, then
-direct neighbours in all trees, then blocks, and each round only asks about rows that earlier links
-have not connected.  Copies (equal sets) are one node throughout.  Joins with texts and sets are
+direct neighbours in all trees, then blocks, then the exact join, and each round only asks about rows
+that earlier links have not connected.  Copies (equal sets) are one node throughout.  Joins with texts and sets are
 sort-merge joins at every size: the tables grow with the corpus.
 
 Defined results: null or blank text has an empty set and no link; rows that share an id are one
 document; documents without an id take part and a group of such documents only has no component
-id; ids lie below 2^62; further columns are ignored; an empty table gives an empty one.  A pair at the threshold itself shares a region in some tree with probability
-1 - (1 - 0.8^5)^32 > 0.99999; one that a dense region holds apart down to full depth, > 0.997.
+id; ids lie below 2^62; further columns are ignored; an empty table gives an empty one.  A pair at the
+threshold itself shares a region in some tree with probability 1 - (1 - 0.8^5)^32 > 0.99999, and a
+pair that shares a region is compared or already connected, however dense the region is.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ SLAB = 8_192                            # shingles per slice of the comparison
 LABEL = 2 * DEPTH                       # bytes
 REGION = 1 + 2 * MIN_DEPTH              # bytes of tree and shared prefix in a key
 NO_ID = 1 << 62                         # nodes of documents without an id lie above it
+SKETCH = 1 << 20                        # counters of the shingles' frequencies in the exact join
+HOT = 2_048                             # rows of a shingle from which the exact join salts it
 
 FIRST_TREES = 2                         # trees whose direct neighbours are confirmed first
 SLICE = 1 << 20
@@ -166,6 +170,11 @@ def _blocks(rows: DataFrame) -> DataFrame:
     two rows, which were compared as neighbours, are left out.  A region that goes on in the next
     sorted range gets one more block there, from the last rows of one range and the first of the next.
     """
+    return _across(_cut(rows))
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """(pid, edge, region, nodes, roots): the blocks (edge 0) and the first (1) and last (2) rows of each range."""
     def cut(batches):
         pid = TaskContext.get().partitionId()
         region, block, fresh, weight, out = None, [], 0, 0, []
@@ -206,8 +215,12 @@ def _blocks(rows: DataFrame) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    found = cut_lineage(_ordered(rows).mapInArrow(
+    return cut_lineage(_ordered(rows).mapInArrow(
         cut, "pid int, edge int, region binary, nodes array<bigint>, roots array<bigint>"), "block-rows")
+
+
+def _across(found: DataFrame) -> DataFrame:
+    """The blocks of :func:`_cut` and those across neighbouring ranges."""
     ends = found.filter("edge = 2").select((F.col("pid") + 1).alias("pid"), "region",
                                            F.col("nodes").alias("nodes_a"), F.col("roots").alias("roots_a"))
     across = (found.filter("edge = 1").join(ends, ["pid", "region"])
@@ -216,6 +229,78 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return found.filter("edge = 0").select("nodes", "roots").unionByName(across).dropDuplicates(["nodes"])
 
 
+def _open(unsettled: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, root) of the rows in regions of several components that no single block held whole.
+
+    ``unsettled`` with the roots after the blocks; ``found`` from :func:`_cut` tells which regions lie
+    in more than one sorted range.
+    """
+    rows = unsettled.select("node", "n", "root", F.substring("label", 1, REGION).alias("region"))
+    dense = (rows.groupBy("region").agg(F.count("*").alias("k"), F.sum("n").alias("weight"))
+             .filter((F.col("k") > BLOCK) | (F.col("weight") > BLOCK_SHINGLES)).select("region"))
+    halved = (found.filter("edge > 0").groupBy("region").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi"))
+              .filter("lo <> hi").select("region"))
+    return (rows.join(dense.unionByName(halved).distinct(), "region", "left_semi")
+            .select("node", "root").distinct())
+
+
+def _exact_pairs(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different roots that may overlap by ``percent``: none that does is left out.
+
+    Shingles are ordered by rarity.  The first shingle that two such sets have in common stands early
+    enough in both that what follows can still make up the overlap; so the early shingles are joined,
+    those of the smaller set (it may start no later than for an equal partner) with those of the larger,
+    and the places bound the overlap.  ``SKETCH`` counters order the shingles: any order is right, the
+    rare ones first is quick.  Frequent shingles are salted.
+    """
+    sets = cut_lineage(members.join(rows.hint("merge"), "node").select("node", "root", "grams"), "open-sets")
+
+    def count(batches):
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for grams in batch.column("grams"):
+                total += 0 if not len(grams.as_buffer()) else np.bincount(
+                    (np.frombuffer(grams.as_buffer(), np.uint64) % np.uint64(SKETCH)).astype(np.int64),
+                    minlength=SKETCH)
+        kinds = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(total[kinds])], ["counter", "k"])
+
+    # At most ``SKETCH`` rows of two numbers.
+    counted = (sets.select("grams").mapInArrow(count, "counter bigint, k bigint")
+               .groupBy("counter").agg(F.sum("k").alias("k")).toArrow())
+    often = np.zeros(SKETCH, np.int64)
+    often[counted.column("counter").to_numpy()] = counted.column("k").to_numpy()
+    salts = 1 + np.maximum(often - 2 * often.sum() // SKETCH, 0) // HOT
+
+    def early(batches):
+        for batch in batches:
+            for ident, root, held in zip(*(batch.column(c) for c in ("node", "root", "grams"))):
+                grams = np.frombuffer(held.as_buffer(), np.uint64)
+                n = len(grams)
+                counter = (grams % np.uint64(SKETCH)).astype(np.int64)
+                first = np.argsort(often[counter], kind="stable")[:n + 1 + -percent * n // 100]
+                k = len(first)
+                small = np.arange(k) < n + 1 + -2 * percent * n // (100 + percent)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grams[first].view(np.int64)), pa.array(salts[counter[first]]), pa.array(np.arange(k)),
+                     pa.array(small), pa.array(np.full(k, n)),
+                     *(pa.array(np.full(k, x.as_py(), np.int64)) for x in (ident, root))],
+                    ["gram", "salts", "at", "small", "n", "node", "root"])
+
+    found = cut_lineage(sets.mapInArrow(
+        early, "gram bigint, salts bigint, at bigint, small boolean, n bigint, node bigint, root bigint"), "early")
+    less = found.filter("small").select(
+        "gram", F.expr("pmod(xxhash64(node), salts)").alias("salt"),
+        *(F.col(c).alias(f"{c}_a") for c in ("at", "n", "node", "root")))
+    more = found.select("gram", F.expr("explode(sequence(0L, salts - 1))").alias("salt"),
+                        *(F.col(c).alias(f"{c}_b") for c in ("at", "n", "node", "root")))
+    return (less.hint("merge").join(more, ["gram", "salt"])
+            .filter("root_a <> root_b AND (n_a < n_b OR n_a = n_b AND node_a < node_b)")
+            .filter(F.least(F.expr("n_a - at_a"), F.expr("n_b - at_b")) * (100 + percent)
+                    >= (F.col("n_a") + F.col("n_b")) * percent)
+            .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct())
+
+
 def _members(docs: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
     """(node, grams): full sorted sets of the documents that are somebody's neighbour."""
     def full(batches):
@@ -339,8 +424,13 @@ def _components(docs: DataFrame, text: str, ident: str, n_words: int, percent: i
     roots = _merged(None, cut_lineage(_confirmed(pairs, members, percent), "confirmed"))
     pairs = _neighbours(_unsettled(rows, roots), percent / 100)
     roots = _merged(roots, cut_lineage(_confirmed(pairs, members, percent), "confirmed"))
-    blocks = cut_lineage(_blocks(_unsettled(rows, roots)), "blocks")
+    found = _cut(_unsettled(rows, roots))
+    blocks = cut_lineage(_across(found), "blocks")
     roots = _merged(roots, cut_lineage(_linked_blocks(blocks, members, percent), "confirmed"))
+    open_rows = cut_lineage(_open(_unsettled(rows, roots), found), "open")
+    if not open_rows.isEmpty():
+        pairs = _exact_pairs(open_rows, members, percent)
+        roots = _merged(roots, cut_lineage(_confirmed(pairs, members, percent), "confirmed"))
     return _labelled(signed, nodes, roots)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
@@ -173,3 +174,41 @@ def test_components_of_chains_stars_and_loops(spark):
     got = dict(map(tuple, components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
     want = {**{i: 100 for i in range(100, 161)}, **{i: 500 for i in range(500, 540)}, 8: 8, 9: 8}
     assert got == want
+
+
+def test_pairs_inside_a_dense_family_equal_brute_force(spark):
+    """1,200 documents share a passage at 0.73 to 0.79; true pairs lie far apart in the order of ids."""
+    rng, passage = random.Random(21), " ".join(f"p{i}" for i in range(103))
+    rows, tails = [], {}
+    for i in range(1200):
+        tail = [f"t{i}x{k}" for k in range(rng.choice([14, 15, 16, 18]))]
+        if i >= 600 and i % 5 == 0:
+            tail[:4] = tails[i - 600][:4]
+        tails[i] = tail
+        rows.append((i, passage + " " + " ".join(tail)))
+    sets = [shingled(t, 4) for _, t in rows]
+    kinds = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(sets), len(kinds)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [kinds[g] for g in s]] = 1
+    both, size = held @ held.T, held.sum(1)
+    alike = both / (size[:, None] + size[None, :] - both)
+    assert 0.72 < np.median(alike) < 0.79
+    root = list(range(len(sets)))
+    for i, j in np.argwhere(np.triu(both * 100 >= 80 * (size[:, None] + size[None, :] - both), 1)).tolist():
+        root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert 60 < len(sets) - len(set(root)) < 200
+    got = {r.doc_id: r.component_id for r in near_dedup.classes(frame(spark, rows), n_words=4).collect()}
+    assert [got[i] for i in range(len(sets))] == root
+
+
+def test_a_region_of_a_block_cut_between_ranges_is_compared_whole(spark):
+    """The first of 100 rows in one range and the last of 20 in the next reach the exact join."""
+    label = bytearray(17)
+    rows = spark.createDataFrame([(label, i, 10, i) for i in range(120)], "label binary, node bigint, n bigint, root bigint")
+    found = spark.createDataFrame(
+        [(0, 1, label[:near_dedup.REGION], [0], [0]), (0, 2, label[:near_dedup.REGION], [99], [99]),
+         (1, 1, label[:near_dedup.REGION], [100], [100]), (1, 2, label[:near_dedup.REGION], [119], [119])],
+        "pid int, edge int, region binary, nodes array<bigint>, roots array<bigint>")
+    assert {r.node for r in near_dedup._open(rows, found).collect()} == set(range(120))
+    assert near_dedup._open(rows, found.filter("pid = 0")).count() == 0

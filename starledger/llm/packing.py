@@ -17,6 +17,7 @@ rows are packed as often as they occur; further columns are ignored; an empty ta
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from functools import cache
 
@@ -39,14 +40,21 @@ NODES = 6_000
 
 @cache
 def _encoding(path: str):
-    """The byte-level BPE of ``path``: the rank file holds the same ids as the JSON vocabulary."""
+    """The byte-level BPE of ``path``: the rank file holds the merged ids of the JSON vocabulary beside it.
+
+    The JSON's added tokens, which ``tokenizers`` matches in any text, are special tokens here.
+    """
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as vocabulary:
+        added = json.load(vocabulary)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("an added token of the vocabulary does not match its plain text only")
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                             special_tokens={})
+                             special_tokens={t["content"]: t["id"] for t in added})
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -65,7 +73,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
             for batch in slices(whole, "text", SLICE):
                 out = []
                 for ident, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                    ids = np.append(np.asarray(encoding.encode_ordinary(text or ""), "<u4"), np.uint32(end_id)).astype("<u4")
+                    ids = np.append(np.asarray(encoding.encode(text or "", allowed_special="all"), "<u4"), np.uint32(end_id)).astype("<u4")
                     out += [(ident, k, s, n, zlib.crc32(ids[s:s + n].tobytes()))
                             for k, (s, n) in enumerate(cut(len(ids), capacity))]
                 columns = list(zip(*out))

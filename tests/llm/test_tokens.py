@@ -149,3 +149,20 @@ def test_pack_holds_every_token_once(spark):
 def test_repeated_rows_are_packed_each(spark):
     got = packing.pack(frame(spark, [(1, "a b c"), (1, "a b c"), (None, "d")]), PATH, 16).collect()
     assert len(got) == 3 and len({(r.sequence_id, r.offset) for r in got}) == 3
+
+
+def test_pack_takes_added_tokens_as_the_vocabulary_does(spark):
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", f"{end}start", f"at the end{end}", f"twice {end}{end} over", f"{end}", f"x\n{end} \n y  {end}  z",
+             "<|endoftext|", f"<{end}>", "<|EndOfText|>", f"{end} word" * 300]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    capacity, by = 64, defaultdict(list)
+    for r in packing.pack(frame(spark, list(enumerate(texts))), PATH, capacity).collect():
+        by[r.doc_id].append(r)
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for i, t in enumerate(texts):
+        ids = np.array(library.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        parts = sorted(by[i], key=lambda r: r.piece)
+        assert [(r.start, r.length) for r in parts] == packing.cut(len(ids), capacity)
+        assert [r.ids_crc32 for r in parts] == [
+            zlib.crc32(ids[r.start:r.start + r.length].tobytes()) for r in parts]

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starledger.llm.common import part_of, partitions, pick, place, positional, sample_by_hash, slices
+from starledger.session import cut_lineage
 
 SAMPLE = 20_000           # labelled rows the model is fitted on
 FEATURES = 4_096          # features kept
@@ -98,18 +99,67 @@ class Matcher:
         return out
 
 
-def swaps(text: str, terms: tuple[tuple[str, ...], ...]) -> list[tuple[str, str]]:
-    """(sentence, sentence with one identity term swapped), each term for every other of its set."""
+def _mentions(terms: tuple[tuple[str, ...], ...]) -> tuple[dict[str, list[str]], re.Pattern]:
     others = {t: [o for o in group if o != t] for group in terms for t in group}
-    pattern = re.compile(r"\b(" + "|".join(map(re.escape, others)) + r")\b")
+    return others, re.compile(r"\b(" + "|".join(map(re.escape, others)) + r")\b")
+
+
+def _sentences(text: str) -> list[str]:
+    return re.split(r"(?<=[.!?])\s+|\n", text.lower())
+
+
+def swaps(text: str, terms: tuple[tuple[str, ...], ...]) -> list[tuple[str, str]]:
+    """(sentence, sentence with one identity term swapped), each term for every other of its set.
+
+    The plain statement of what :func:`changes_of` counts; every pair holds the sentence twice.
+    """
+    others, pattern = _mentions(terms)
     out = []
-    for sentence in re.split(r"(?<=[.!?])\s+|\n", text.lower()):
+    for sentence in _sentences(text):
         for found in pattern.finditer(sentence):
             out += [(sentence, sentence[:found.start()] + o + sentence[found.end():])
                     for o in others[found.group()]]
     return out
 
 
+def changes_of(text: str, terms: tuple[tuple[str, ...], ...], matcher: Matcher) -> Counter:
+    """How often each (features gained, features lost) occurs among the :func:`swaps` that change any.
+
+    Only the swapped word's features can change, and one is lost only where no other word of the
+    sentence has it; so no sentence is copied, and a word is copied only if that may tell.
+    """
+    others, pattern = _mentions(terms)
+    lengths = {len(f) for f in matcher.kept}
+    out: Counter = Counter()
+    for sentence in _sentences(text):
+        if not pattern.search(sentence):
+            continue
+        often: Counter = Counter()
+        for words in words_of(sentence):
+            for word in words:
+                often.update(matcher.of_word(word))
+        for place_ in re.finditer(r"\S+", sentence):
+            start, stop = place_.span()
+            while start < stop and sentence[start] in STRIP:
+                start += 1
+            while stop > start and sentence[stop - 1] in STRIP:
+                stop -= 1
+            old = None
+            for found in pattern.finditer(sentence, *place_.span()):
+                for other in others[found.group()]:
+                    size = stop - start + len(other) - (found.end() - found.start())
+                    if found.start() - start >= max(BEGINNINGS) and size not in lengths and stop - start not in lengths:
+                        continue                    # same beginnings, and neither word is a feature
+                    if old is None:
+                        old = set(matcher.of_word(sentence[start:stop]))
+                    now = set(matcher.of_word(sentence[start:found.start()] + other + sentence[found.end():stop]))
+                    gain = tuple(sorted(f for f in now if not often[f]))
+                    lose = tuple(sorted(f for f in old - now if often[f] == 1))
+                    if gain or lose:
+                        out[gain, lose] += 1
+    return out
+
+
 @dataclass(frozen=True)
 class Model:
     kept: dict[str, int]
@@ -127,22 +177,25 @@ def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def solve(rows: list[list[int]], toxic: np.ndarray, changes: list[tuple[list[int], list[int]]],
-          n_features: int, swap_weight: float = SWAP_WEIGHT) -> tuple[np.ndarray, float]:
+          n_features: int, swap_weight: float = SWAP_WEIGHT,
+          times: list[int] | None = None) -> tuple[np.ndarray, float]:
     """Weights and bias of the penalised logistic fit, by accelerated gradient steps.
 
     ``changes``: per swap the features gained and lost; their score difference is penalised.
+    ``times``: how many swaps each change stands for, one without it.
     """
     n = max(len(rows), 1)
     row, col = _flat(rows)
     gain_row, gain_col = _flat([g for g, _ in changes])
     lose_row, lose_col = _flat([l for _, l in changes])
-    m = max(len(changes), 1)
+    times = np.ones(len(changes)) if times is None else np.array(times, float)
+    m = max(float(times.sum()), 1.0)
     per_class = np.where(toxic, 0.5 / max(toxic.mean(), 1e-9), 0.5 / max(1 - toxic.mean(), 1e-9))
     per_class = np.sqrt(per_class)         # between plain and balanced rows
     # The trace bounds the largest curvature of each part.
     size = np.array([len(r) + 1 for r in rows])
-    width = np.array([len(g) + len(l) for g, l in changes] or [0])
-    step = 1.0 / (0.25 * float((per_class * size).mean()) + RIDGE + swap_weight * float(width.mean()))
+    width = np.array([len(g) + len(l) for g, l in changes])
+    step = 1.0 / (0.25 * float((per_class * size).mean()) + RIDGE + swap_weight * float((width * times).sum()) / m)
     w, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for k in range(STEPS):
         look = w + k / (k + 3) * (w - v)
@@ -153,7 +206,7 @@ def solve(rows: list[list[int]], toxic: np.ndarray, changes: list[tuple[list[int
                          error.sum())
         if changes:
             delta = (np.bincount(gain_row, look[gain_col], minlength=len(changes))
-                     - np.bincount(lose_row, look[lose_col], minlength=len(changes))) * swap_weight / m
+                     - np.bincount(lose_row, look[lose_col], minlength=len(changes))) * times * swap_weight / m
             grad[:-1] += np.bincount(gain_col, delta[gain_row], minlength=n_features)
             grad[:-1] -= np.bincount(lose_col, delta[lose_row], minlength=n_features)
         w = look - step * grad
@@ -218,23 +271,24 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
         for batch in batches:
             out = []
             for ident_, t, y in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "label"))):
-                changes = []
-                for old, new in swaps(t or "", terms):
-                    was, now = matcher.of_text(old), matcher.of_text(new)
-                    if was != now:
-                        changes.append({"gain": sorted(now - was), "lose": sorted(was - now)})
+                changes = [{"gain": gain, "lose": lose, "k": k}
+                           for (gain, lose), k in changes_of(t or "", terms, matcher).items()]
                 out.append((ident_, y, sorted(matcher.of_text(t or "")), changes))
             ids, ys, numbers, changed = zip(*out) if out else ((), (), (), ())
-            pair = pa.list_(pa.struct([("gain", pa.list_(pa.int32())), ("lose", pa.list_(pa.int32()))]))
+            pair = pa.list_(pa.struct([("gain", pa.list_(pa.int32())), ("lose", pa.list_(pa.int32())), ("k", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(numbers, pa.list_(pa.int32())),
                  pa.array(changed, pair)], ["id", "label", "numbers", "changes"])
 
-    taken = sorted(taught.mapInArrow(
-        rows_of, "id bigint, label int, numbers array<int>, changes array<struct<gain:array<int>,lose:array<int>>>")
-        .collect(), key=lambda r: (r.id, r.numbers))
+    read = cut_lineage(taught.mapInArrow(
+        rows_of, "id bigint, label int, numbers array<int>, "
+                 "changes array<struct<gain:array<int>,lose:array<int>,k:bigint>>"), "taught")
+    taken = sorted(read.select("id", "label", "numbers").collect(), key=lambda r: (r.id, r.numbers))
+    swapped = sorted(map(tuple, read.select(F.explode("changes").alias("c")).groupBy("c.gain", "c.lose")
+                         .agg(F.sum("c.k").alias("k")).collect()))
     weights, bias = solve([r.numbers for r in taken], np.array([r.label for r in taken], float),
-                          [(c.gain, c.lose) for r in taken for c in r.changes], len(kept), swap_weight)
+                          [(gain, lose) for gain, lose, _ in swapped], len(kept), swap_weight,
+                          [k for _, _, k in swapped])
     return Model(kept, np.round(weights, 9), round(bias, 9))
 
 

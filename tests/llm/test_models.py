@@ -222,3 +222,48 @@ def test_empty_texts_have_a_score(spark, text):
     got = toxicity.scores(frame(spark, [(1, text), (1, text), (None, text)]), model).collect()
     assert len(got) == 3 and {round(r.score, 6) for r in got} == {0.119203}
     assert {r.held_out for r in got if r.doc_id is None} == {False}
+
+
+def plain_changes(text, matcher):
+    want = Counter()
+    for old, new in toxicity.swaps(text, toxicity.IDENTITY_TERMS):
+        was, now = matcher.of_text(old), matcher.of_text(new)
+        if was != now:
+            want[tuple(sorted(now - was)), tuple(sorted(was - now))] += 1
+    return want
+
+
+def test_changes_equal_those_of_swapped_sentences():
+    rng = random.Random(31)
+    names = ["women", "men", "wome*", "black", "blac*", "white", "man", "gay", "jewish", "jewi*", "christ*", "muslim*",
+             "women's", "black-white", "black-asian", "scum", "straig*", "foreigne*", "pre-white-post", "pre-black-post",
+             "longbeginning-men-end", "longbeginning-women-end"]
+    matcher = toxicity.Matcher({f: i for i, f in enumerate(names)})
+    words = ["women", "men", "(women)", "Women's", "black-white", "man,girl", "gay", "jewish", "muslims,", "straight", "scum",
+             "filler", "it's", "-white-", "pre-white-post", "longbeginning-men-end", "longbeginning-boys-ending-men", "end.",
+             "no!\n", "\u00a0", "christians;jews"]
+    for _ in range(300):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))
+        assert toxicity.changes_of(text, toxicity.IDENTITY_TERMS, matcher) == plain_changes(text, matcher), text
+
+
+def test_swaps_of_a_very_long_sentence_stay_small():
+    import tracemalloc
+    matcher = toxicity.Matcher({"women": 0, "men": 1, "girls": 2, "boys": 3, "black": 4})
+    text = ("men black " + "filler " * 50) * 3000                    # a sentence of 1 MB, 6,000 mentions
+    for long in (text, text.replace(" ", "-")):
+        tracemalloc.start()
+        got = toxicity.changes_of(long, toxicity.IDENTITY_TERMS, matcher)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100 << 20
+        assert sum(got.values()) == (3000 * 3 if long is text else 0)
+
+
+def test_counted_changes_fit_as_repeated_ones():
+    rows, toxic = [[0, 1], [1], [2], [0, 2]], np.array([1.0, 0, 0, 1])
+    changes, times = [([0], [1]), ([2], []), ([], [0, 1])], [3, 1, 2]
+    each = [c for c, k in zip(changes, times) for _ in range(k)]
+    w, b = toxicity.solve(rows, toxic, each, 3)
+    v, c = toxicity.solve(rows, toxic, changes, 3, times=times)
+    assert np.allclose(w, v, atol=1e-12) and abs(b - c) < 1e-12

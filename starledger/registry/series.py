@@ -19,7 +19,8 @@ from starledger.registry.snapshots import GOOD, MIN_GOOD
 from starledger.registry.views import Tables, with_views
 from starledger.session import cut_lineage
 
-# The driver's series have a few dozen rows in a month, so windows and bins are as coarse.
+# The driver's series have a few dozen rows in a month, so the windows and bins of the SQL-checked
+# queries are as coarse; the searches without an oracle run on the operators' own bins and grid.
 WINDOW = 11
 BIN_MINUTES = 360
 # Trial periods as fine as the shortest of these durations asks for, on every series' own baseline.
@@ -104,8 +105,8 @@ def _(spark, sf_dir):
                        "phase_bin", "n_in")
 
 
-def _binned(t: Tables):
-    return cut_lineage(lc.bin_series(t.series, BIN_MINUTES).select("tic_id", "time", "flux"))
+def _binned(t: Tables, minutes: float = specs.BIN_MINUTES):
+    return cut_lineage(lc.bin_series(t.series, minutes).select("tic_id", "time", "flux"))
 
 
 def _limits(series):
@@ -122,7 +123,7 @@ def _found_columns(df):
 @query("l05_box_search_chunked")
 def _(spark, sf_dir):
     series = _binned(Tables(spark, sf_dir))
-    return _found_columns(ps.search_periods(series, _limits(series), "bls", **GRID))
+    return _found_columns(ps.search_periods(series, _limits(series), "bls"))
 
 
 TEMPLATE_DAYS = [1.0, 2.0]
@@ -167,7 +168,7 @@ def _folded_grid(width: float, days: float) -> str:
     SELECT tic_id, round(max(p), 5) AS snr, round((max(p) - median(p)) / stddev_pop(p), 4) AS sde,
         CAST(count(*) AS INTEGER) AS n_periods FROM power GROUP BY 1""")
 def _(spark, sf_dir):
-    series = _binned(Tables(spark, sf_dir))
+    series = _binned(Tables(spark, sf_dir), BIN_MINUTES)
     found = ps.search_periods(series, _limits(series), "bls", durations=GRID_DAYS, chunk_periods=100,
                               **GRID)
     return found.select("tic_id", F.round("snr", 5).alias("snr"), F.round("sde", 4).alias("sde"),
@@ -178,9 +179,9 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     series = _binned(Tables(spark, sf_dir))
     limits = _limits(series)
-    first = ps.search_periods(series, limits, "bls", **GRID)
+    first = ps.search_periods(series, limits, "bls")
     left = cut_lineage(ps.without_signal(series, first, 10))
-    return _found_columns(ps.search_periods(left, limits, "bls", **GRID))
+    return _found_columns(ps.search_periods(left, limits, "bls"))
 
 
 @query("l06_mask_of_signal", with_views("series", "points") + f"""
@@ -197,7 +198,7 @@ def _(spark, sf_dir):
 
 @query("l07_template_search")
 def _(spark, sf_dir):
-    found, _ = ps.template_check(_binned(Tables(spark, sf_dir)), 20, 2.0, **GRID)
+    found, _ = ps.template_check(_binned(Tables(spark, sf_dir)), 20, 2.0)
     return _found_columns(found)
 
 
@@ -216,7 +217,7 @@ def _(spark, sf_dir):
     SELECT tic_id, round(max(p), 5) AS snr, round((max(p) - median(p)) / stddev_pop(p), 4) AS sde
     FROM power GROUP BY 1""")
 def _(spark, sf_dir):
-    series = _binned(Tables(spark, sf_dir))
+    series = _binned(Tables(spark, sf_dir), BIN_MINUTES)
     found = ps.search_periods(series, _limits(series), "tls", durations=TEMPLATE_DAYS, chunk_periods=100,
                               **TEMPLATE_GRID)
     return found.select("tic_id", F.round("snr", 5).alias("snr"), F.round("sde", 4).alias("sde"))
@@ -266,8 +267,7 @@ def _job(t: Tables):
         F.when(F.col("tic_id") % 7 == 0, F.col("tic_id") + 100000000).otherwise(F.col("tic_id"))
         .alias("tic_id"),
         F.when(F.col("tic_id") % 3 == 0, "discovery").otherwise("gold_planet").alias("cohort"))
-    return processing.process(t.points, targets, min_good=MIN_GOOD, second_points=10, segment_points=20,
-                              **GRID)
+    return processing.process(t.points, targets, min_good=MIN_GOOD, second_points=10, segment_points=20)
 
 
 @query("l09_target_processing_runs", with_views("points") + f", {GOOD}" + """

@@ -255,3 +255,48 @@ def test_job_store_grade_vet_and_report(spark, tmp_path):
     assert (counts.targets, counts.processed_ok, counts.recovered, counts.fp_signal) == (3, 2, 1, 1)
     times = report["runtimes"].first()
     assert times.median_s > 0 and times.vintage == "v2"
+
+
+class Asked(Exception):
+    """Raised by a stub instead of searching."""
+
+
+@pytest.mark.parametrize("name", ["l05_box_search_chunked", "l06_second_pass_after_mask", "l07_template_search",
+                                  "l09_target_processing_detections"])
+def test_registered_searches_run_on_the_operators_own_grid(spark, monkeypatch, name):
+    """The query's search has the default grid and durations, on bins of the default width."""
+    from starledger import specs
+    from starledger.registry import load, series
+    asked, widths = [], []
+
+    def search(*args, **named):
+        asked.append(named)
+        raise Asked
+
+    def binned(points, minutes=specs.BIN_MINUTES):
+        widths.append(minutes)
+        return points
+    monkeypatch.setattr(series.ps, "search_periods", search)
+    monkeypatch.setattr(series.ps, "template_check", search)
+    monkeypatch.setattr(series.processing, "process", search)
+    monkeypatch.setattr(series.lc, "bin_series", binned)
+    monkeypatch.setattr(series, "cut_lineage", lambda df, *_: df)
+    monkeypatch.setattr(series, "_limits", lambda df: df)
+    monkeypatch.setattr(series, "Tables", _AnyTables)
+    with pytest.raises(Asked):
+        load()[0][name](None, "")
+    assert set(widths) <= {specs.BIN_MINUTES}
+    assert not {"durations", "grid_duration", "min_periods"} & set(asked[0])
+
+
+class _AnyTables:
+    """Frames whose every method gives the frame."""
+
+    def __init__(self, *_):
+        pass
+
+    def __getattr__(self, _):
+        return self
+
+    def __call__(self, *_):
+        return self

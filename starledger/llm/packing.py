@@ -8,7 +8,8 @@ The solver takes the largest length left, enumerates the fillings of the rest of
 no other filling dominates, applies the best as often as the counts allow, and backtracks while the
 waste so far could still beat the incumbent.  Incumbents come from best fit over the same counts.
 It stops when the incumbent equals the lower bound or after ``nodes`` fillings.  With few pieces
-left the enumeration is complete and goes one sequence at a time.
+left the enumeration is complete and goes one sequence at a time; with more than ``FEW`` a node tries
+``WIDTH`` fillings of at most three further pieces.
 
 Defined results: a null text counts as empty and packs as its end token; a null id is kept; repeated
 rows are packed as often as they occur; further columns are ignored; an empty table gives an empty one.

@@ -120,27 +120,21 @@ def _found_columns(df):
                      F.round("snr", 6).alias("snr"), F.round("sde", 6).alias("sde"), "n_periods")
 
 
-@query("l05_box_search_chunked")
-def _(spark, sf_dir):
-    series = _binned(Tables(spark, sf_dir))
-    return _found_columns(ps.search_periods(series, _limits(series), "bls"))
-
-
 TEMPLATE_DAYS = [1.0, 2.0]
 TEMPLATE_GRID = {"grid_duration": min(TEMPLATE_DAYS), "min_periods": 100}
 
 
-def _folded_grid(width: float, days: float) -> str:
+def _folded_grid(width: float, days: float, minutes: float = BIN_MINUTES, least: int = 100) -> str:
     """Binned series folded on their log grids: trials and phase-bin sums of (median - flux)."""
     return f""", s0 AS (SELECT tic_id, min(time) AS t0 FROM series GROUP BY 1),
     binned AS (SELECT tic_id, avg(time) AS time, avg(flux) AS flux FROM series JOIN s0 USING (tic_id)
-        GROUP BY tic_id, CAST(floor((time - t0) / ({BIN_MINUTES} / 1440e0)) AS BIGINT)),
+        GROUP BY tic_id, CAST(floor((time - t0) / ({minutes} / 1440e0)) AS BIGINT)),
     base AS (SELECT tic_id, min(time) AS t0, max(time) - min(time) AS span, median(flux) AS med,
         stddev_pop(flux) AS std, count(*) AS n_all, sum(flux) AS s_all FROM binned GROUP BY 1),
     noise AS (SELECT b.tic_id, CASE WHEN median(abs(flux - med)) > 0 THEN
         median(abs(flux - med)) * 1.4826e0 ELSE any_value(std) END AS sigma
         FROM binned b JOIN base USING (tic_id) GROUP BY 1),
-    sized AS (SELECT *, greatest(span / 2, 1e0) AS top, greatest(100, CAST(ceil(ln(greatest(span / 2, 1e0)
+    sized AS (SELECT *, greatest(span / 2, 1e0) AS top, greatest({least}, CAST(ceil(ln(greatest(span / 2, 1e0)
         / 0.6e0) / ({days}e0 / greatest(span, 1e0) / 2e0)) AS INTEGER)) AS np FROM base),
     trial AS (SELECT *, 0.6e0 * exp(i * ln(top / 0.6e0) / (np - 1)) AS p
         FROM (SELECT *, unnest(range(0, np)) AS i FROM sized)),
@@ -150,6 +144,44 @@ def _folded_grid(width: float, days: float) -> str:
     sums AS (SELECT tic_id, i, place, count(*) AS n, sum(dip) AS w FROM folded GROUP BY 1, 2, 3),"""
 
 
+def _box_power(width: float, lengths: list[int]) -> str:
+    """Best box of every trial, evaluated where its content changes: as a point enters or has left."""
+    longest = max(lengths)
+    boxes = {f"a{n}": f"RANGE BETWEEN 1 FOLLOWING AND {n} FOLLOWING" for n in lengths} | {
+        f"b{n}": f"RANGE BETWEEN {n - 1} PRECEDING AND CURRENT ROW" for n in lengths}
+    picked = ", ".join(f"""CASE WHEN n_{w} > 0 AND n_{w} < n_all THEN (w_{w} / n_{w} - (total - w_{w}) / (n_all - n_{w}))
+        / (sigma * sqrt(1e0 / n_{w} + 1e0 / (n_all - n_{w}))) ELSE 0 END""" for w in boxes)
+    summed = ", ".join(f"sum(n) OVER {w} AS n_{w}, sum(w) OVER {w} AS w_{w}" for w in boxes)
+    frames = ", ".join(f"{w} AS (PARTITION BY tic_id, i ORDER BY place {frame})" for w, frame in boxes.items())
+    return f"""
+    sized_sums AS (SELECT s.*, CAST(ceil(p / {width}e0) AS BIGINT) AS nb FROM sums s
+        JOIN trial USING (tic_id, i)),
+    wrapped AS (SELECT *, true AS own FROM sized_sums
+        UNION ALL SELECT tic_id, i, place + nb, n, w, nb, false FROM sized_sums WHERE place < {longest}
+        UNION ALL SELECT tic_id, i, place - nb, n, w, nb, false FROM sized_sums WHERE place >= nb - {longest}),
+    boxes AS (SELECT tic_id, i, own, {summed} FROM wrapped WINDOW {frames}),
+    power AS (SELECT tic_id, i, greatest(0, max(greatest({picked}))) AS p
+        FROM (SELECT b.*, n_all, n_all * med - s_all AS total, sigma FROM boxes b JOIN base USING (tic_id)
+            JOIN noise USING (tic_id) WHERE own) GROUP BY 1, 2)"""
+
+
+_SEARCH_WIDTH = min(specs.TRIAL_DURATIONS_DAYS) / ps.BOX_OVERSAMPLE
+
+
+@query("l05_box_search_chunked", with_views("series") + f"""
+    {_folded_grid(_SEARCH_WIDTH, 0.05, specs.BIN_MINUTES, 3000)}
+    {_box_power(_SEARCH_WIDTH, [round(d / _SEARCH_WIDTH) for d in specs.TRIAL_DURATIONS_DAYS])},
+    best AS (SELECT DISTINCT ON (tic_id) tic_id, i, p FROM power ORDER BY tic_id, round(p, 9) DESC, i),
+    spread AS (SELECT tic_id, median(p) AS m, stddev_pop(p) AS s, CAST(count(*) AS INTEGER) AS n_periods
+        FROM power GROUP BY 1)
+    SELECT tic_id, 'bls' AS method, round(t.p, 6) AS period_days, round(b.p, 6) AS snr,
+        round((b.p - m) / s, 6) AS sde, n_periods
+    FROM best b JOIN spread USING (tic_id) JOIN trial t USING (tic_id, i)""")
+def _(spark, sf_dir):
+    series = _binned(Tables(spark, sf_dir))
+    return _found_columns(ps.search_periods(series, _limits(series), "bls"))
+
+
 @query("l05_box_search_grid", with_views("series") + f"""
     {_folded_grid(0.05, 0.5)}
     dense AS (SELECT tic_id, i, nb, n_all, n_all * med - s_all AS total, unnest(range(0, nb + 19)) AS b

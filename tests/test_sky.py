@@ -111,3 +111,37 @@ def test_cells_never_lose_a_close_pair(spark):
         got = {(r.i, r.j) for r in pairs.filter(f"{dot} > cos(radians({radius}))").collect()}
         want = {(i, j) for i, j in zip(*np.where(v @ v.T > np.cos(np.radians(radius))))}
         assert got == want and pairs.count() == pairs.distinct().count()
+
+
+def test_cones_lose_no_satellite_and_meet_few(spark):
+    """Close passes equal those of comparing every sightline with every satellite."""
+    rng = np.random.default_rng(6)
+    n = 1500
+    way = rng.normal(size=(n, 3))
+    way /= np.linalg.norm(way, axis=1)[:, None]
+    radius = rng.choice([6650.0, 6900.0, 7400.0, 8300.0, 42164.0], n)
+    sats = [(i, AT, *map(float, way[i] * radius[i]), int(i % 50 == 0)) for i in range(n)]
+    positions = spark.createDataFrame(sats, "satellite_id int, instant timestamp, x double, y double, z double, error int")
+    lines = spark.createDataFrame(
+        [(k, float(ra), float(dec), AT, float(gmst), float(lat), float(lon), 1.0) for k, (ra, dec, gmst, lat, lon) in enumerate(
+            zip(rng.uniform(0, 360, 300), rng.uniform(-90, 90, 300), rng.uniform(0, 6.28, 300),
+                rng.choice([-90, -33, 0, 5, 60, 90], 300), rng.uniform(-180, 180, 300)))],
+        "request_id int, ra double, dec double, instant timestamp, gmst double, lat double, lon double, elev double")
+    from starledger.functions.frames import observer_vectors
+    vectors = observer_vectors(F.col("lat"), F.col("lon"), F.col("elev"))
+    lines = lines.select("request_id", "ra", "dec", "instant", "gmst", *[v.alias(k) for k, v in vectors.items()])
+    p = np.array([s[2:5] for s in sats])
+    for sep in (2.0, 12.0, 40.0):
+        want = set()
+        for o in lines.collect():
+            c, s = np.cos(o.gmst), np.sin(o.gmst)
+            site, up = (np.array([c * x - s * y, s * x + c * y, z]) for x, y, z in (
+                (o.obs_x, o.obs_y, o.obs_z), (o.up_x, o.up_y, o.up_z)))
+            ra, dec = np.radians(o.ra), np.radians(o.dec)
+            to = p - site
+            to /= np.linalg.norm(to, axis=1)[:, None]
+            near = to @ [np.cos(dec) * np.cos(ra), np.cos(dec) * np.sin(ra), np.sin(dec)] > np.cos(np.radians(sep))
+            want |= {(o.request_id, int(i)) for i in np.flatnonzero(near & (to @ up > 0)) if i % 50}
+        got = sl.cone_approaches(lines, positions, sep).collect()
+        assert {(r.request_id, r.satellite_id) for r in got} == want and len(got) == len(want) > 10
+        assert all(r.sep_deg < sep and r.sat_alt_deg > 0 for r in got)

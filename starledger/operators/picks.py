@@ -14,23 +14,33 @@ def _rest(df: DataFrame, keys: list[str]) -> list[str]:
     return [c for c in df.columns if c not in keys]
 
 
+def _picked(df: DataFrame, keys: list[str], order: list[Column], largest: bool) -> DataFrame:
+    """One row per key as the largest or smallest struct of ``order`` and all other columns.
+
+    A single struct is carried: what decides and what is kept.  A column that has no order is kept beside it.
+    """
+    rest = _rest(df, keys)
+    sortable = [c for c in rest if not _is_map(df, c)]
+    decides = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)],
+                       *[F.col(c).alias(f"_c{rest.index(c)}") for c in sortable])
+    if len(sortable) == len(rest):
+        row = (F.max if largest else F.min)(decides).alias("_row")
+        return df.groupBy(*keys).agg(row).select(*keys, *[F.col(f"_row._c{i}").alias(c) for i, c in enumerate(rest)])
+    row = (F.max_by if largest else F.min_by)(F.struct(*rest), decides).alias("_row")
+    return df.groupBy(*keys).agg(row).select(*keys, "_row.*")
+
+
 def first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the smallest by ``order``, ties settled by all remaining columns.
 
     Order expressions compare NULL first; wrap them (``c.isNull()``, ``desc_key``) for other rules.
     """
-    rest = _rest(df, keys)
-    sortable = [F.col(c) for c in rest if not _is_map(df, c)]
-    picked = F.min_by(F.struct(*rest), F.struct(*order, *sortable)).alias("_row")
-    return df.groupBy(*keys).agg(picked).select(*keys, "_row.*")
+    return _picked(df, keys, order, largest=False)
 
 
 def last_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the largest by ``order``, ties settled by all remaining columns."""
-    rest = _rest(df, keys)
-    sortable = [F.col(c) for c in rest if not _is_map(df, c)]
-    picked = F.max_by(F.struct(*rest), F.struct(*order, *sortable)).alias("_row")
-    return df.groupBy(*keys).agg(picked).select(*keys, "_row.*")
+    return _picked(df, keys, order, largest=True)
 
 
 def _is_map(df: DataFrame, column: str) -> bool:

@@ -10,6 +10,8 @@ from starledger.operators import lightcurve, orbits, picks, selection, sightline
 from starledger.plans import graph
 from starledger.registry import query
 from starledger.registry.views import Tables, with_views
+from starledger.session import scratch_path
+from starledger.sources.current import CurrentRows
 
 _COORDINATES = "round(ra, 6) AS ra, round(dec, 6) AS dec"
 
@@ -151,6 +153,17 @@ def _(spark, sf_dir):
         t.elements.join(payloads, "norad_id", "left_semi")))
 
 
+@query("q09_maintained_elements", with_views("elements") + f"""
+    SELECT {_ELEMENT_COLUMNS} FROM ({LATEST_ELEMENTS})""")
+def _(spark, sf_dir):
+    """The history arrives in three deliveries, newer and older rows mixed; the table is read, not the history."""
+    elements = Tables(spark, sf_dir).elements
+    table = CurrentRows(spark, scratch_path(spark, "current-elements"), ["norad_id"], picks.latest_elements)
+    for part in range(3):
+        table.fold(elements.filter(F.pmod(F.xxhash64("epoch", "mean_anomaly"), F.lit(3)) == part))
+    return _element_columns(table.read())
+
+
 @query("q10_latest_elements_of_source", with_views("elements") + f"""
     SELECT {_ELEMENT_COLUMNS} FROM ({CURRENT_ELEMENTS})""")
 def _(spark, sf_dir):

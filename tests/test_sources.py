@@ -160,3 +160,28 @@ def test_latest_snapshot_prunes_partitions(spark, tmp_path):
     plan = newest._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(ingest_run_id" in plan and "Subquery" in plan
     assert latest_snapshot(spark.read.parquet(path), book.filter("false")).isEmpty()
+
+
+def test_current_rows_equal_the_full_scan_after_late_deliveries(spark, tmp_path):
+    from starledger.operators.picks import latest_elements
+    from starledger.sources.current import CurrentRows
+
+    import random
+    rng = random.Random(5)
+    kind = "norad_id bigint, epoch int, source string, perigee_km double"
+    history = [(rng.randrange(200) if i % 3 else 7, rng.randrange(500), rng.choice(["a", "b"]), rng.random())
+               for i in range(1500)]       # a third of the rows belong to one satellite
+    table = CurrentRows(spark, str(tmp_path / "elements"), ["norad_id"], latest_elements, buckets=8)
+    with pytest.raises(ValueError):
+        table.read()
+    assert table.fold(spark.createDataFrame([], kind)) == 0 and table.read().count() == 0
+    for at in (0, 500, 1000):
+        table.fold(spark.createDataFrame(history[at:at + 500], kind))
+        want = {tuple(r) for r in latest_elements(spark.createDataFrame(history[:at + 500], kind)).collect()}
+        assert {tuple(r) for r in table.read().collect()} == want and table.read().count() == len(want)
+    before = {tuple(r) for r in table.read().collect()}
+    late = [(7, -1, "late", 0.0), (3, 10 ** 6, "new", 1.0)]
+    assert 1 <= table.fold(spark.createDataFrame(late, kind)) <= 2       # only the buckets of these two
+    after = {tuple(r) for r in table.read().collect()}
+    assert after - before == {(3, 10 ** 6, "new", 1.0)} and len(after) == len(before)
+    assert table.fold(spark.createDataFrame(history, kind)) == 8 and {tuple(r) for r in table.read().collect()} == after

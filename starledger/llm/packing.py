@@ -4,12 +4,13 @@ Only the number of pieces of each length matters, and lengths end at the capacit
 tokenises, cuts and counts; the counts, one row per length whatever the corpus, are solved once;
 and Spark deals every piece to a place of the solution by its rank among the pieces of its length.
 
-The solver takes the largest length left, enumerates the fillings of the rest of its sequence that
-no other filling dominates, applies the best as often as the counts allow, and backtracks while the
-waste so far could still beat the incumbent.  Incumbents come from best fit over the same counts.
-It stops when the incumbent equals the lower bound or after ``nodes`` fillings.  With few pieces
-left the enumeration is complete and goes one sequence at a time; with more than ``FEW`` a node tries
-``WIDTH`` fillings of at most three further pieces.
+The solver takes the largest length left and enumerates the fillings of the rest of its sequence, of
+any number of pieces, that no exchange of a piece for a longer one improves: least waste first, longest
+pieces first.  Sets of reachable sums, one number's bits per length, lead the enumeration, so it
+never enters a branch without a filling inside the waste that could still beat the incumbent, and it
+goes on only as far as it is asked.  A filling is applied as often as the counts allow, then less often.
+Incumbents come from best fit over the same counts.  The search stops when the incumbent equals the
+lower bound, when every branch is done, or when ``work`` steps are spent.
 
 Defined results: a null text counts as empty and packs as its end token; a null id is kept; repeated
 rows are packed as often as they occur; further columns are ignored; an empty table gives an empty one.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from functools import cache
 
@@ -32,30 +34,66 @@ from starledger.llm.common import partitions, pick, slices
 from starledger.session import cut_lineage
 
 SLICE = 2 << 20
-WIDTH = 4            # fillings tried per node while many pieces are left
-FEW = 24             # pieces left from which the enumeration is complete
-NODES = 6_000
+WORK = 300_000       # lengths looked at and fillings tried by the solver, all in all
+BETWEEN = 32         # nodes from one best-fit completion to the next
 
 
 # ---------------------------------------------------------------- tokens and pieces
 
-@cache
-def _encoding(path: str):
-    """The byte-level BPE of ``path``: the rank file holds the merged ids of the JSON vocabulary beside it.
+#: White space of the pattern's ``\\s``: the code points with the White_Space property.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+class Tokens:
+    """The byte-level BPE of a rank file, which holds the merged ids of the JSON vocabulary beside it.
 
-    The JSON's added tokens, which ``tokenizers`` matches in any text, are special tokens here.
+    The JSON's added tokens are matched in any text, as ``tokenizers`` does.  White space of two and more
+    characters is cut out before the pattern sees the text, because its look-ahead goes through such a run
+    step by step and gives up on very long ones: all of it but the last character, which may belong
+    to what follows, is one pre-token.
     """
-    import public_tokenizers
-    import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as vocabulary:
-        added = json.load(vocabulary)["added_tokens"]
-    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
-        raise ValueError("an added token of the vocabulary does not match its plain text only")
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                             special_tokens={t["content"]: t["id"] for t in added})
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as vocabulary:
+            added = json.load(vocabulary)["added_tokens"]
+        if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("an added token of the vocabulary does not match its plain text only")
+        self.added = {t["content"]: t["id"] for t in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.apart = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
+        self.run = re.compile(f"[{WHITE}]{{2,}}")
+        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                     special_tokens={})
+        self.plain, self.piece = encoding.encode_ordinary, encoding._core_bpe.encode_single_piece
+
+    def encode(self, text: str) -> list[int]:
+        ids: list[int] = []
+        for part in self.apart.split(text) if self.apart else [text]:
+            if part in self.added:
+                ids.append(self.added[part])
+                continue
+            at = 0
+            for run in self.run.finditer(part):
+                start, stop = run.span()
+                if stop < len(part):
+                    stop -= 1
+                if start > at:
+                    ids += self.plain(part[at:start])
+                ids += self.piece(part[start:stop].encode())
+                at = stop
+            if at < len(part):
+                ids += self.plain(part[at:])
+        return ids
+
+
+@cache
+def _encoding(path: str) -> Tokens:
+    return Tokens(path)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -74,7 +112,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
             for batch in slices(whole, "text", SLICE):
                 out = []
                 for ident, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                    ids = np.append(np.asarray(encoding.encode(text or "", allowed_special="all"), "<u4"), np.uint32(end_id)).astype("<u4")
+                    ids = np.array([*encoding.encode(text or ""), end_id], "<u4")
                     out += [(ident, k, s, n, zlib.crc32(ids[s:s + n].tobytes()))
                             for k, (s, n) in enumerate(cut(len(ids), capacity))]
                 columns = list(zip(*out))
@@ -88,7 +126,11 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
 # ---------------------------------------------------------------- the solver
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
-    """Sequences needed at least: by volume, and with pieces that cannot share one (L2 bound)."""
+    """Sequences needed at least: by volume, by pieces that cannot share one, by pieces a sequence holds.
+
+    The second is the L2 bound; the third rounds lengths to parts of the capacity (a dual feasible
+    function): of pieces longer than a (k + 1)-th of it, a sequence holds k.
+    """
     lengths = np.arange(capacity + 1)
     volume = np.concatenate([[0], np.cumsum(counts * lengths)])          # below a length
     number = np.concatenate([[0], np.cumsum(counts)])
@@ -99,6 +141,10 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
         half_volume = int(volume[capacity - k + 1] - volume[capacity // 2 + 1])
         small = int(volume[capacity // 2 + 1] - volume[k])
         best = max(best, alone + half + max(0, -(-(small - (half * capacity - half_volume)) // capacity)))
+    for k in range(1, min(capacity, 64)):
+        parts, exact = np.divmod((k + 1) * lengths, capacity)
+        shares = np.where(exact == 0, k * lengths, parts * capacity)     # in units of 1 / (k * capacity)
+        best = max(best, -(-int((counts * shares).sum()) // (k * capacity)))
     return best
 
 
@@ -129,65 +175,62 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
     return [entry for group in open_.values() for entry in group]
 
 
-def _every_filling(counts: np.ndarray, room: int) -> list[tuple[int, ...]]:
-    """All maximal fillings that no exchange of one piece for a longer one improves."""
+def _reachable(lengths: list[int], numbers: list[int], room: int) -> list[int]:
+    """For every place of the list the sums, as bits, that the lengths from there on make."""
+    full = (1 << (room + 1)) - 1
+    sums = [1]
+    for length, number in zip(reversed(lengths), reversed(numbers)):
+        here, left, step = sums[-1], number, 1
+        while left:                                  # 1, 2, 4, ... pieces, and what is over
+            step = min(step, left)
+            here |= (here << length * step) & full
+            left -= step
+            step *= 2
+        sums.append(here)
+    return sums[::-1]
+
+
+def fillings(counts: np.ndarray, room: int, most_waste: int):
+    """Fillings of ``room`` that no exchange improves, least waste first, longest pieces first.
+
+    They are made one by one, as asked for; ``counts`` may change in between.
+    """
     lengths = [int(x) for x in np.flatnonzero(counts[:room + 1])[::-1] if x]
-    found = []
-
-    def extend(at, chosen, left):
-        fits = False
-        for i in range(at, len(lengths)):
-            x = lengths[i]
-            if x <= left and chosen.count(x) < counts[x]:
-                fits = True
-                extend(i, chosen + (x,), left - x)
-        if not fits and not any(x <= left and chosen.count(x) < counts[x] for x in lengths):
-            for y in set(chosen):
-                if any(y < x <= y + left and chosen.count(x) < counts[x] for x in lengths):
-                    return
-            found.append((left, chosen))
-
-    extend(0, (), room)
-    return [chosen for _, chosen in sorted(set(found), key=lambda f: (f[0], len(f[1]), [-x for x in f[1]]))]
-
-
-def fillings(counts: np.ndarray, room: int, few: bool) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room``, least waste and fewest pieces first."""
-    if room <= 0 or not counts[1:room + 1].any():
-        return [()]
-    if counts[room]:
-        return [(room,)]                    # one piece that fits exactly dominates the rest
-    if few:
-        return _every_filling(counts, room)
-    here = np.flatnonzero(counts[:room + 1])
-    floor = np.zeros(room + 1, np.int64)    # the longest piece that fits
-    floor[here] = here
-    floor = np.maximum.accumulate(floor)
-
-    def two(space):
-        """Per first piece, longest first, the second that leaves least."""
-        first = here[here <= space][::-1]
-        second = np.minimum(floor[space - first], first)
-        short = (second == first) & (counts[first] < 2)
-        second = np.where(short, floor[np.minimum(space - first, np.maximum(first - 1, 0))], second)
-        return first, second, space - first - second
-
-    first, second, waste = two(room)
-    order = np.lexsort((-first, waste))[:WIDTH]
-    options = {(int(waste[i]), *(int(x) for x in (first[i], second[i]) if x)) for i in order}
-    if waste[order[0]] > 0:                 # no pair is exact: three pieces
-        for a in here[::-1][:48]:
-            if counts[a] > 2:
-                x, y, w = two(room - int(a))
-                if len(w):
-                    i = int(np.argmin(w))
-                    if x[i] <= a and y[i]:
-                        options.add((int(w[i]), int(a), int(x[i]), int(y[i])))
-    ranked = sorted(options, key=lambda o: (o[0], len(o), [-x for x in o[1:]]))[:WIDTH]
-    return [tuple(o[1:]) for o in ranked]
-
-
-def solve(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
+    numbers = [int(counts[x]) for x in lengths]
+    if not lengths:
+        if room <= most_waste:
+            yield ()
+        return
+    if lengths[0] == room:
+        yield (room,)                   # one piece that fits exactly dominates the rest
+        return
+    sums = _reachable(lengths, numbers, room)
+
+    def exactly(at: int, left: int):
+        if not left:
+            yield ()
+            return
+        while at < len(lengths):
+            x = lengths[at]
+            for k in range(min(numbers[at], left // x), 0, -1):
+                if sums[at + 1] >> (left - k * x) & 1:
+                    for rest in exactly(at + 1, left - k * x):
+                        yield (x,) * k + rest
+            at += 1
+            if not sums[at] >> left & 1:
+                return
+
+    for waste in range(min(most_waste, room) + 1):
+        if not sums[0] >> (room - waste) & 1:
+            continue
+        for chosen in exactly(0, room - waste):
+            free = [x for x, n in zip(lengths, numbers) if chosen.count(x) < n] if waste else []
+            if any(x <= waste or any(y < x <= y + waste for y in set(chosen)) for x in free):
+                continue                # a piece could be added, or exchanged for a longer one
+            yield chosen
+
+
+def solve(counts: np.ndarray, capacity: int, work: int = WORK) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths and how often each is used, as few sequences as found."""
     def used(plan):
         return sum(n for _, n in plan)
@@ -197,51 +240,56 @@ def solve(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[t
     best = best_fit(counts, capacity)
     counts = counts.copy()
     plan: list[tuple[tuple[int, ...], int]] = []
-    waste = 0
-    stack: list[list] = []
-    spent = 0
+    waste = spent = nodes = 0
 
     def apply(pattern, times, sign):
         for x in pattern:
             counts[x] -= sign * times
 
-    def node():
-        """The next level: the fillings around the largest piece, still to be tried."""
+    def spare():
+        """Waste that a better plan may still add."""
+        return (used(best) - 1) * capacity - total - waste
+
+    def options():
+        """The fillings around the largest piece left, each as often as it goes, then less often."""
         largest = int(np.flatnonzero(counts)[-1])
         counts[largest] -= 1
-        few = int(counts.sum()) <= FEW
-        options = [(largest, *f) for f in fillings(counts, capacity - largest, few)]
+        around = fillings(counts, capacity - largest, spare())
+        first = next(around, None)       # made while this piece is taken out
         counts[largest] += 1
-        return [options, 0, few]
-
-    if used(best) > bound and counts.any():
-        stack.append(node())
-    while stack and spent < nodes:
-        options, at, few = stack[-1]
+        own = {int(x): int(counts[x]) for x in np.flatnonzero(counts)}
+        while first is not None:
+            pattern = (largest, *first)
+            for times in range(min(own[x] // pattern.count(x) for x in set(pattern)), 0, -1):
+                yield pattern, times
+            first = next(around, None)
+
+    stack = [options()] if used(best) > bound and counts.any() else []
+    while stack and spent < work:
         if len(plan) == len(stack):         # back from below: take the last choice of this level off
             pattern, times = plan.pop()
             apply(pattern, times, -1)
             waste -= times * (capacity - sum(pattern))
-        if at == len(options):
+        choice = next(stack[-1], None)
+        spent += 1
+        if choice is None:
             stack.pop()
             continue
-        stack[-1][1] += 1
-        pattern = options[at]
-        need = {x: pattern.count(x) for x in pattern}
-        times = 1 if few else min(int(counts[x]) // k for x, k in need.items())
-        if not times:                       # a filling seen with one piece more
-            continue
-        spent += 1
-        if waste + times * (capacity - sum(pattern)) > (used(best) - 1) * capacity - total:
+        pattern, times = choice
+        lost = times * (capacity - sum(pattern))
+        if lost > spare():
             continue                        # this branch cannot save a sequence any more
-        plan.append((pattern, times))
+        plan.append(choice)
         apply(pattern, times, 1)
-        waste += times * (capacity - sum(pattern))
+        waste += lost
         if counts.any():
-            rest = best_fit(counts, capacity) if few or spent % 64 == 0 else None
-            if rest is not None and used(plan) + used(rest) < used(best):
-                best = plan + rest
-            stack.append(node())
+            nodes += 1
+            spent += int(np.count_nonzero(counts))
+            if nodes % BETWEEN == 0:
+                rest = best_fit(counts, capacity)
+                if used(plan) + used(rest) < used(best):
+                    best = plan + rest
+            stack.append(options())
         elif used(plan) < used(best):
             best = list(plan)
         if used(best) <= bound:
@@ -267,7 +315,7 @@ def _places(plan, counts: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- the operator
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, text: str = "text",
-         ident: str = "doc_id", nodes: int = NODES) -> DataFrame:
+         ident: str = "doc_id", work: int = WORK) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     slim = pick(docs, id=ident, text=text).select(F.col("id").cast("bigint"), F.col("text").cast("string"))
     n = partitions(docs.sparkSession)
@@ -297,7 +345,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
     for pid in sorted(sizes):
         before[pid] = run
         run += sizes[pid]
-    places = _places(solve(counts, capacity, nodes), counts)
+    places = _places(solve(counts, capacity, work), counts)
 
     def dealt(batches):
         for batch in batches:

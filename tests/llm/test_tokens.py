@@ -1,7 +1,9 @@
 """Byte-level BPE against tiktoken, packing against tokenizers and against an exhaustive search."""
 
 import hashlib
+import itertools
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -166,3 +168,66 @@ def test_pack_takes_added_tokens_as_the_vocabulary_does(spark):
         assert [(r.start, r.length) for r in parts] == packing.cut(len(ids), capacity)
         assert [r.ids_crc32 for r in parts] == [
             zlib.crc32(ids[r.start:r.start + r.length].tobytes()) for r in parts]
+
+
+def test_pack_survives_very_long_white_space(spark):
+    """Runs of which the pattern's look-ahead would give up: ids as the contract's library gives them."""
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a" + " " * 1_000_000 + "b", "\n" * 1_000_000 + "x", "x" + " \n\t" * 400_000, "\u3000" * 100_000 + " y",
+             " " * 1_000_000 + "<|endoftext|>" + "\t" * 1_000_000]
+    by = defaultdict(list)
+    for r in packing.pack(frame(spark, [*enumerate(texts), (9, " " * 10_000_000 + "z")]), PATH, 2048).collect():
+        by[r.doc_id].append(r)
+    for i, t in enumerate(texts):
+        ids = np.array(library.encode(t, add_special_tokens=False).ids + [0], "<u4")
+        parts = sorted(by[i], key=lambda r: r.piece)
+        assert [(r.start, r.length) for r in parts] == packing.cut(len(ids), 2048)
+        assert [r.ids_crc32 for r in parts] == [zlib.crc32(ids[r.start:r.start + r.length].tobytes()) for r in parts]
+    assert sum(r.length for r in by[9]) == 10_000_001   # the last one goes with the z
+
+
+def test_tokens_equal_the_contracts_library_around_white_space():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens, rng = packing._encoding(PATH), random.Random(2)
+    white = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2003\u2028\u2029\u202f\u205f\u3000\x1c\x1f\u200b\ufeff\u180e"
+    parts = list(white) * 3 + list("ab's'tlre1\u0663.!?\xe9\u6f22\U0001f642") + ["<|endoftext|>", "'ll", "  ", "\n\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        assert tokens.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def packed_at(lengths, capacity=2048):
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    started = time.perf_counter()
+    plan = packing.solve(counts, capacity)
+    seconds = time.perf_counter() - started
+    again = np.zeros_like(counts)
+    for pattern, times in plan:
+        assert sum(pattern) <= capacity
+        for x in pattern:
+            again[x] += times
+    assert (again == counts).all()
+    return sum(n for _, n in plan), packing.lower_bound(counts, capacity), seconds
+
+
+def test_solver_is_quick_on_short_tails_and_many_short_pieces():
+    rng = random.Random(3)
+    found, bound, seconds = packed_at([rng.randint(690, 999) for _ in range(40)] + [rng.randint(5, 26) for _ in range(22)])
+    assert found == bound == 20 and seconds < 2
+    for low, high in ((159, 182), (5, 300), (5, 900), (300, 1100)):
+        found, bound, seconds = packed_at([rng.randint(low, high) for _ in range(24)])
+        assert found <= bound + 1 and seconds < 6
+    gaps = [packed_at([rng.randint(205, 511) for _ in range(200)]) for _ in range(8)]
+    assert sum(found - bound for found, bound, _ in gaps) <= 1 and max(s for *_, s in gaps) < 10
+
+
+def test_fillings_are_undominated_and_complete():
+    counts = np.bincount([9, 7, 7, 5, 4, 3, 2], minlength=21)
+    got = list(packing.fillings(counts, 20, 20))
+    assert got[0] and all(sum(f) <= 20 for f in got) and len(got) == len(set(got))
+    wastes = [20 - sum(f) for f in got]
+    assert wastes == sorted(wastes)
+    exact = {tuple(sorted(c, reverse=True)) for n in range(1, 8) for c in itertools.combinations([9, 7, 7, 5, 4, 3, 2], n)
+             if sum(c) == 20}
+    assert {f for f in got if sum(f) == 20} == exact
+    assert list(packing.fillings(counts, 1, 20)) == [()] and list(packing.fillings(counts, 1, 0)) == []

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -74,10 +71,3 @@ def slices(batch: pa.RecordBatch, column: str, most: int):
 def sample_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
     """The ``rows`` rows whose hashed key is smallest: the same bounded sample on every run."""
     return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)
-
-
-def digits(text: bytes) -> int:
-    return zlib.crc32(text)
-
-
-IDENTIFIER = re.compile(r"^[A-Za-z_]\w*$")

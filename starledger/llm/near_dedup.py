@@ -162,19 +162,14 @@ def _neighbours(rows: DataFrame, threshold: float) -> DataFrame:
             .unionByName(across.filter("a is not null").select("a", "b")).distinct())
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """(nodes, roots): runs of at most ``BLOCK`` rows of a region, each overlapping the next by half.
+def _cut(rows: DataFrame) -> DataFrame:
+    """(pid, edge, region, nodes, roots): the blocks (edge 0) and the first (1) and last (2) rows of each range.
 
-    A region that fits is one block; a denser one is cut along its sorted order, where rows of a
-    block share the longest prefixes.  Blocks whose rows one component already holds, and regions of
-    two rows, which were compared as neighbours, are left out.  A region that goes on in the next
-    sorted range gets one more block there, from the last rows of one range and the first of the next.
+    Blocks are runs of at most ``BLOCK`` rows of a region, each overlapping the next by half.  A region that
+    fits is one block; a denser one is cut along its sorted order, where rows of a block share the longest
+    prefixes.  Blocks whose rows one component already holds, and regions of two rows, which were
+    compared as neighbours, are left out.
     """
-    return _across(_cut(rows))
-
-
-def _cut(rows: DataFrame) -> DataFrame:
-    """(pid, edge, region, nodes, roots): the blocks (edge 0) and the first (1) and last (2) rows of each range."""
     def cut(batches):
         pid = TaskContext.get().partitionId()
         region, block, fresh, weight, out = None, [], 0, 0, []
@@ -220,7 +215,11 @@ def _cut(rows: DataFrame) -> DataFrame:
 
 
 def _across(found: DataFrame) -> DataFrame:
-    """The blocks of :func:`_cut` and those across neighbouring ranges."""
+    """The blocks of :func:`_cut` and those across neighbouring ranges.
+
+    A region that goes on in the next sorted range gets one more block there, from the last rows of one
+    range and the first of the next.
+    """
     ends = found.filter("edge = 2").select((F.col("pid") + 1).alias("pid"), "region",
                                            F.col("nodes").alias("nodes_a"), F.col("roots").alias("roots_a"))
     across = (found.filter("edge = 1").join(ends, ["pid", "region"])
@@ -238,9 +237,12 @@ def _open(unsettled: DataFrame, found: DataFrame) -> DataFrame:
     rows = unsettled.select("node", "n", "root", F.substring("label", 1, REGION).alias("region"))
     dense = (rows.groupBy("region").agg(F.count("*").alias("k"), F.sum("n").alias("weight"))
              .filter((F.col("k") > BLOCK) | (F.col("weight") > BLOCK_SHINGLES)).select("region"))
+    # Written first, here and in ``_unsettled``: a join with an aggregate's own output keeps its partitioning,
+    # and a region with many rows could not be split.
     halved = (found.filter("edge > 0").groupBy("region").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi"))
               .filter("lo <> hi").select("region"))
-    return (rows.join(dense.unionByName(halved).distinct(), "region", "left_semi")
+    wanted = cut_lineage(dense.unionByName(halved).distinct(), "dense-regions")
+    return (rows.join(wanted, "region", "left_semi")
             .select("node", "root").distinct())
 
 
@@ -258,10 +260,9 @@ def _exact_pairs(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame
     def count(batches):
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            for grams in batch.column("grams"):
-                total += 0 if not len(grams.as_buffer()) else np.bincount(
-                    (np.frombuffer(grams.as_buffer(), np.uint64) % np.uint64(SKETCH)).astype(np.int64),
-                    minlength=SKETCH)
+            held = [np.frombuffer(grams.as_buffer(), np.uint64) for grams in batch.column("grams")]
+            counters = np.concatenate([np.empty(0, np.uint64), *held]) % np.uint64(SKETCH)
+            total += np.bincount(counters.astype(np.int64), minlength=SKETCH)
         kinds = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(total[kinds])], ["counter", "k"])
 
@@ -274,18 +275,24 @@ def _exact_pairs(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame
 
     def early(batches):
         for batch in batches:
-            for ident, root, held in zip(*(batch.column(c) for c in ("node", "root", "grams"))):
+            found, sizes, lengths = [], [], []
+            for held in batch.column("grams"):
                 grams = np.frombuffer(held.as_buffer(), np.uint64)
                 n = len(grams)
                 counter = (grams % np.uint64(SKETCH)).astype(np.int64)
                 first = np.argsort(often[counter], kind="stable")[:n + 1 + -percent * n // 100]
-                k = len(first)
-                small = np.arange(k) < n + 1 + -2 * percent * n // (100 + percent)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[first].view(np.int64)), pa.array(salts[counter[first]]), pa.array(np.arange(k)),
-                     pa.array(small), pa.array(np.full(k, n)),
-                     *(pa.array(np.full(k, x.as_py(), np.int64)) for x in (ident, root))],
-                    ["gram", "salts", "at", "small", "n", "node", "root"])
+                at = np.arange(len(first))
+                found.append((grams[first].view(np.int64), salts[counter[first]], at,
+                              at < n + 1 + -2 * percent * n // (100 + percent)))
+                sizes.append(len(first))
+                lengths.append(n)
+            whole = [np.concatenate(part) for part in zip(*found)] if found else [[]] * 4
+            beside = (np.repeat(x, sizes) for x in (lengths, batch.column("node").to_numpy(),
+                                                    batch.column("root").to_numpy()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, kind) for x, kind in zip((*whole, *beside), kinds)],
+                ["gram", "salts", "at", "small", "n", "node", "root"])
 
     found = cut_lineage(sets.mapInArrow(
         early, "gram bigint, salts bigint, at bigint, small boolean, n bigint, node bigint, root bigint"), "early")
@@ -441,7 +448,7 @@ def _unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
                       F.substring("label", 1, REGION).alias("region")))
     mixed = (rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
              .filter("lo <> hi").select("region"))
-    return rooted.join(mixed, "region", "left_semi").select("label", "node", "n", "root")
+    return rooted.join(cut_lineage(mixed, "mixed-regions"), "region", "left_semi").select("label", "node", "n", "root")
 
 
 def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:

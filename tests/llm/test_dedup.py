@@ -160,7 +160,7 @@ def test_a_region_cut_between_ranges_is_compared_across(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", 2)
     try:
-        blocks = [r.nodes for r in near_dedup._blocks(rows).collect()]
+        blocks = [r.nodes for r in near_dedup._across(near_dedup._cut(rows)).collect()]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     met = {frozenset((a, b)) for nodes in blocks for a in nodes for b in nodes if a < b}

@@ -114,22 +114,50 @@ def with_halo(df: DataFrame, t: str, width: float, halo: float) -> DataFrame:
             .withColumn("_block", F.explode(reach)))
 
 
+def sliding_sums(df: DataFrame, within: list[str], at: str, values: dict[str, Column],
+                 reaches: list[float]) -> DataFrame:
+    """Sums over the rows at most ``reach`` away, both ends included, as ``<name>_<i>`` per value and reach.
+
+    A box's sum is what lies up to its far end, plus what lies from its near end on, less everything.
+    Both are running sums, which grow row by row whatever the reach, one along ``at`` and one against
+    it: two sorts and O(n) for all values and reaches, where a sliding frame costs rows times box.
+    ``within`` must name groups of bounded size (blocks with their halos).
+    """
+    by = ", ".join(f"`{k}`" for k in within)
+    held = df.withColumns({f"_v_{n}": v for n, v in values.items()}).withColumn("_against", -F.col(at))
+    bounds = [repr(float(reach)) + "D" for reach in reaches]
+
+    def running(order: str, side: str) -> list[Column]:
+        return [F.expr(f"sum(`_v_{n}`) OVER (PARTITION BY {by} ORDER BY `{order}` RANGE BETWEEN UNBOUNDED PRECEDING "
+                       f"AND {bound} FOLLOWING)").alias(f"_{side}_{n}_{i}")
+                for i, bound in enumerate(bounds) for n in values]
+
+    there = held.select("*", *running(at, "upto"),
+                        *[F.expr(f"sum(`_v_{n}`) OVER (PARTITION BY {by})").alias(f"_all_{n}") for n in values])
+    both = there.select("*", *running("_against", "from"))
+    boxes = [(F.col(f"_upto_{n}_{i}") + F.col(f"_from_{n}_{i}") - F.col(f"_all_{n}")).alias(f"{n}_{i}")
+             for i in range(len(reaches)) for n in values]
+    return both.select(*df.columns, *boxes)
+
+
 def sliding_boxes(df: DataFrame, keys: list[str], t: str, value: str,
                   durations: list[float], block_width: float | None = None) -> DataFrame:
     """Mean and count of ``value`` in a time box around each row, one pair per duration.
 
-    Boxes include both ends.  Columns are ``mean_i`` and ``count_i``; all frames share one sort.
+    Boxes include both ends.  Columns are ``mean_i`` and ``count_i``.  Sums are taken of the distance from
+    the block's first value, so that differences of running sums lose no digits.
     """
     halo = max(durations) / 2.0
     width = block_width or 8.0 * max(durations)
     halos = with_halo(df, t, width, halo)
-    by = ", ".join(f"`{k}`" for k in [*keys, "_block"])
-    boxes = []
-    for i, duration in enumerate(durations):
-        half = repr(float(duration) / 2.0) + "D"
-        frame = (f"(PARTITION BY {by} ORDER BY `{t}` "
-                 f"RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING)")
-        boxes.append(F.expr(f"avg(`{value}`) OVER {frame}").alias(f"mean_{i}"))
-        boxes.append(F.expr(f"count(`{value}`) OVER {frame}").alias(f"count_{i}"))
-    return (halos.select("*", *boxes).filter(F.col("_home") == F.col("_block"))
-            .drop("_home", "_block"))
+    by = [*keys, "_block"]
+    level = F.first(value, ignorenulls=True).over(
+        Window.partitionBy(*by).orderBy(t).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = halos.withColumn("_level", level)
+    known = F.col(value).isNotNull()
+    boxes = sliding_sums(rows, by, t, {"_sum": F.when(known, F.col(value) - F.col("_level")).otherwise(0.0),
+                                       "count": known.cast("bigint")}, [d / 2.0 for d in durations])
+    means = [F.when(F.col(f"count_{i}") > 0, F.col("_level") + F.col(f"_sum_{i}") / F.col(f"count_{i}"))
+             .alias(f"mean_{i}") for i in range(len(durations))]
+    own = boxes.filter(F.col("_home") == F.col("_block"))
+    return own.select(*df.columns, *[c for i, m in enumerate(means) for c in (m, F.col(f"count_{i}"))])

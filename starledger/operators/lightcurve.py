@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starledger import specs
-from starledger.operators.blocks import with_places, with_previous_time
+from starledger.operators.blocks import sliding_sums, with_places, with_previous_time
 from starledger.operators.quantiles import grouped_median
 from starledger.session import cut_lineage
 
@@ -70,54 +68,60 @@ def detrend_window(sectors: DataFrame, window_days: float = specs.DETREND_WINDOW
         F.greatest(F.lit(101), length.bitwiseOR(F.lit(1))).alias("window"))
 
 
-def smoothing_weights(window: int) -> np.ndarray:
-    """Quadratic least-squares smoothing weights of an odd window (Savitzky & Golay 1964)."""
-    m = window // 2
-    i = np.arange(-m, m + 1, dtype="float64")
-    return 3.0 * (3.0 * m * m + 3.0 * m - 1.0 - 5.0 * i * i) / (
-        (2.0 * m - 1.0) * (2.0 * m + 1.0) * (2.0 * m + 3.0))
+def _quadratic(window: Column, f0: Column, f1: Column, f2: Column, u: Column) -> Column:
+    """Value at ``u`` of the quadratic that fits an odd window best (Savitzky & Golay 1964).
 
-
-def _edge_fit(flux: np.ndarray, at: np.ndarray) -> np.ndarray:
-    x = np.arange(flux.size, dtype="float64")
-    return np.polyval(np.polyfit(x, flux, 2), at)
-
-
-def _smooth_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Smooth one index chunk of a segment; halo rows on both sides are input only."""
-    pdf = pdf.sort_values("idx")
-    flux, idx = pdf["flux"].to_numpy(), pdf["idx"].to_numpy()
-    window, n = int(pdf["window"].iloc[0]), int(pdf["n"].iloc[0])
-    half = window // 2
-    trend = np.convolve(flux, smoothing_weights(window)[::-1], mode="same")
-    if idx[0] == 0:
-        trend[:half] = _edge_fit(flux[:window], np.arange(half))
-    if idx[-1] == n - 1:
-        trend[-half:] = _edge_fit(flux[-window:], np.arange(window - half, window))
-    own = (idx // int(pdf["chunk_rows"].iloc[0])) == pdf["chunk"].to_numpy()
-    return pd.DataFrame({"tic_id": pdf["tic_id"].to_numpy()[own],
-                         "time": pdf["time"].to_numpy()[own],
-                         "flux": flux[own], "trend": trend[own]})
+    ``f0``, ``f1`` and ``f2`` are the window's sums of flux, u flux and u^2 flux, u counted from its middle.
+    """
+    m = (window - 1) / 2
+    s2 = m * (m + 1) * (2 * m + 1) / 3
+    s4 = s2 * (3 * m * m + 3 * m - 1) / 5
+    bend = (window * f2 - s2 * f0) / (window * s4 - s2 * s2)
+    return (f0 - bend * s2) / window + f1 / s2 * u + bend * u * u
 
 
 def _trend_of_segments(segmented: DataFrame) -> DataFrame:
     """(tic_id, time, flux, trend) for rows with segment, idx, n, window.
 
-    Long segments are smoothed in chunks of eight windows plus a halo of one window on each side,
-    which covers both the filter's reach and the fits at the segment ends: no task ever holds
-    more than ten windows of a series.  Segments shorter than a window get their median.
+    The sliding quadratic fit needs three sums over the window, of flux, x flux and x^2 flux, which
+    are differences of running sums.  Long segments are worked on in chunks of eight windows plus a
+    halo of half a window, x counted from the chunk, so no task holds more than nine windows of a
+    series.  The first and last half window lie on the fit of the first and last whole one.
+    Segments shorter than a window get their median.
     """
     is_long = (F.col("n") >= F.col("window")) & (F.col("n") >= BREAK_TOLERANCE)
-    rows = segmented.withColumn("chunk_rows", F.col("window") * 8)
-    reach = F.sequence(
-        F.greatest(F.floor((F.col("idx") - F.col("window")) / F.col("chunk_rows")), F.lit(0)),
-        F.least(F.floor((F.col("idx") + F.col("window")) / F.col("chunk_rows")),
-                F.floor((F.col("n") - 1) / F.col("chunk_rows"))))
-    chunked = rows.filter(is_long).select(
-        "tic_id", "segment", "time", "flux", "idx", "n", "window", "chunk_rows",
-        F.explode(reach).alias("chunk"))
-    smoothed = chunked.groupBy("tic_id", "segment", "chunk").applyInPandas(
-        _smooth_chunk, "tic_id bigint, time double, flux double, trend double")
+    half = F.floor(F.col("window") / 2)
+    rows = segmented.withColumns({"chunk_rows": F.col("window") * 8, "half": half})
+    long = rows.filter(is_long)
+    last = F.floor((F.col("n") - 1) / F.col("chunk_rows"))
+    reach = F.sequence(F.greatest(F.floor((F.col("idx") - F.col("half")) / F.col("chunk_rows")), F.lit(0)),
+                       F.least(F.floor((F.col("idx") + F.col("half")) / F.col("chunk_rows")), last))
+    x = F.col("idx") - F.col("chunk") * F.col("chunk_rows")
+    chunked = long.select("tic_id", "segment", "time", "flux", "idx", "n", "window", "chunk_rows", "half",
+                          F.explode(reach).alias("chunk")).withColumns(
+        {"x": x.cast("double"), "place": x / (F.col("half") + 0.5)})       # half a step of room: whole steps compare safely
+    # The middle of the chunk's flux is taken off and put back: running sums of small numbers lose no digits.
+    level = F.avg("flux").over(Window.partitionBy("tic_id", "segment", "chunk"))
+    levelled = chunked.withColumn("level", level).withColumn("off", F.col("flux") - F.col("level"))
+    summed = sliding_sums(levelled, ["tic_id", "segment", "chunk"], "place", {
+        "m0": F.col("off"), "m1": F.col("off") * F.col("x"), "m2": F.col("off") * F.col("x") * F.col("x")}, [1.0])
+    own = summed.filter(F.floor(F.col("idx") / F.col("chunk_rows")) == F.col("chunk"))
+    x = F.col("x")
+    around = _quadratic(F.col("window"), F.col("m0_0"), F.col("m1_0") - x * F.col("m0_0"),
+                        F.col("m2_0") - 2 * x * F.col("m1_0") + x * x * F.col("m0_0"), F.lit(0.0)) + F.col("level")
+    ends = []
+    for name, inside, middle in (("head", F.col("idx") < F.col("window"), F.col("half")),
+                                 ("tail", F.col("idx") >= F.col("n") - F.col("window"), F.col("n") - 1 - F.col("half"))):
+        u = (F.col("idx") - middle).cast("double")
+        ends += [F.sum(F.when(inside, F.col("flux") * power)).alias(f"{name}{k}")
+                 for k, power in enumerate((F.lit(1.0), u, u * u))]
+    edges = long.groupBy("tic_id", "segment").agg(*ends)
+    fitted = {name: _quadratic(F.col("window"), *[F.col(f"{name}{k}") for k in range(3)],
+                               (F.col("idx") - middle).cast("double"))
+              for name, middle in (("head", F.col("half")), ("tail", F.col("n") - 1 - F.col("half")))}
+    trend = (F.when(F.col("idx") < F.col("half"), fitted["head"])
+             .when(F.col("idx") >= F.col("n") - F.col("half"), fitted["tail"]).otherwise(around))
+    smoothed = own.join(edges, ["tic_id", "segment"]).select("tic_id", "time", "flux", trend.alias("trend"))
     short = rows.filter(~is_long)
     medians = grouped_median(short, ["tic_id", "segment"], "flux", "trend")
     flat = short.join(medians, ["tic_id", "segment"]).select("tic_id", "time", "flux", "trend")

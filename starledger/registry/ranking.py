@@ -94,6 +94,22 @@ BOX_WINDOWS = ", ".join(
     f"AND {d / 2}e0 FOLLOWING)" for i, d in enumerate(BOX_DAYS))
 
 
+OWN_DAYS = specs.TRIAL_DURATIONS_DAYS
+
+
+@query("w04_sliding_box_widths", with_views("monitor") + ", wide AS (" + " UNION ALL ".join(f"""
+    SELECT tic_id, event_id, {i} AS width, avg(flux) OVER w AS mean, count(*) OVER w AS n FROM monitor
+    WINDOW w AS (PARTITION BY tic_id ORDER BY time RANGE BETWEEN {d / 2}e0 PRECEDING AND {d / 2}e0 FOLLOWING)"""
+    for i, d in enumerate(OWN_DAYS)) + """)
+    SELECT tic_id, event_id, width, round(mean, 8) AS mean, n FROM wide""")
+def _(spark, sf_dir):
+    """All eight widths of the operator over dense series, one row per cadence and width."""
+    boxed = blocks.sliding_boxes(Tables(spark, sf_dir).monitor, ["tic_id"], "time", "flux", OWN_DAYS)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("width"), F.round(f"mean_{i}", 8).alias("mean"),
+                                        F.col(f"count_{i}").alias("n")) for i in range(len(OWN_DAYS))]))
+    return boxed.select("tic_id", "event_id", each.alias("box")).select("tic_id", "event_id", "box.*")
+
+
 @query("w04_sliding_time_box", with_views("series") + f"""
     , boxed AS (SELECT tic_id, event_id, {BOXES} FROM series WINDOW {BOX_WINDOWS})
     SELECT tic_id, event_id, round(mean_0 * count_0, 6) AS sum_0, count_0,

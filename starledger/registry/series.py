@@ -21,7 +21,6 @@ from starledger.session import cut_lineage
 
 # The driver's series have a few dozen rows in a month, so the windows and bins of the SQL-checked
 # queries are as coarse; the searches without an oracle run on the operators' own bins and grid.
-WINDOW = 11
 BIN_MINUTES = 360
 # Trial periods as fine as the shortest of these durations asks for, on every series' own baseline.
 GRID_DAYS = [0.5, 1.0]
@@ -56,11 +55,59 @@ def _(spark, sf_dir):
     return lc.detrend_window(sectors).withColumnRenamed("window", "window_len")
 
 
-@query("l03_transit_safe_detrend")
+def _detrend_sql(window: int, rounds: int = 3) -> str:
+    """Three rounds of sliding quadratic fits with clipping, as running frames over rows."""
+    m = window // 2
+    s2 = m * (m + 1) * (2 * m + 1) / 3
+    s4 = s2 * (3 * m * m + 3 * m - 1) / 5
+
+    def fit(f0, f1, f2, u):
+        bend = f"(({window} * ({f2}) - {s2}e0 * ({f0})) / {window * s4 - s2 * s2!r})"
+        return f"((({f0}) - {bend} * {s2}e0) / {window}e0 + ({f1}) / {s2}e0 * ({u}) + {bend} * ({u}) * ({u}))"
+
+    around = fit("m0", "m1 - idx * m0", "m2 - 2 * idx * m1 + idx * idx * m0", "0e0")
+    head, tail = fit("h0", "h1", "h2", f"idx - {m}"), fit("t0", "t1", "t2", f"idx - (n - 1 - {m})")
+    steps = ["""good AS (SELECT * FROM monitor WHERE quality = 0
+            QUALIFY count(*) OVER (PARTITION BY tic_id, sector) >= 50),
+        level AS (SELECT tic_id, sector, median(flux) AS m FROM good GROUP BY 1, 2),
+        pts AS (SELECT tic_id, time, flux / m AS flux FROM good JOIN level USING (tic_id, sector)),
+        first_clip AS (SELECT tic_id, median(flux) AS c, stddev_pop(flux) AS s FROM pts GROUP BY 1),
+        kept0 AS (SELECT p.* FROM pts p JOIN first_clip USING (tic_id) WHERE abs(flux - c) <= 3 * s)"""]
+    for r in range(rounds):
+        steps.append(f"""step{r} AS (SELECT *, time - lag(time) OVER (PARTITION BY tic_id ORDER BY time) AS step FROM kept{r}),
+        usual{r} AS (SELECT tic_id, median(step) AS usual FROM step{r} GROUP BY 1),
+        seg{r} AS (SELECT s.*, sum(CASE WHEN step > 5 * usual THEN 1 ELSE 0 END)
+            OVER (PARTITION BY tic_id ORDER BY time) AS segment FROM step{r} s JOIN usual{r} USING (tic_id)),
+        idx{r} AS (SELECT tic_id, segment, time, flux, count(*) OVER (PARTITION BY tic_id, segment) AS n,
+            CAST(row_number() OVER (PARTITION BY tic_id, segment ORDER BY time) - 1 AS DOUBLE) AS idx FROM seg{r}),
+        sums{r} AS (SELECT *, sum(flux) OVER w AS m0, sum(idx * flux) OVER w AS m1, sum(idx * idx * flux) OVER w AS m2
+            FROM idx{r} WINDOW w AS (PARTITION BY tic_id, segment ORDER BY idx ROWS BETWEEN {m} PRECEDING AND {m} FOLLOWING)),
+        ends{r} AS (SELECT tic_id, segment, median(flux) AS middle, sum(flux) FILTER (idx < {window}) AS h0,
+            sum(flux * (idx - {m})) FILTER (idx < {window}) AS h1, sum(flux * (idx - {m}) * (idx - {m})) FILTER (idx < {window}) AS h2,
+            sum(flux) FILTER (idx >= n - {window}) AS t0, sum(flux * (idx - (n - 1 - {m}))) FILTER (idx >= n - {window}) AS t1,
+            sum(flux * (idx - (n - 1 - {m})) * (idx - (n - 1 - {m}))) FILTER (idx >= n - {window}) AS t2
+            FROM idx{r} GROUP BY 1, 2),
+        trend{r} AS (SELECT tic_id, time, flux, CASE WHEN n < {window} THEN middle WHEN idx < {m} THEN {head}
+            WHEN idx >= n - {m} THEN {tail} ELSE {around} END AS trend FROM sums{r} JOIN ends{r} USING (tic_id, segment)),
+        noise{r} AS (SELECT tic_id, stddev_pop(flux - trend) AS s FROM trend{r} GROUP BY 1),
+        kept{r + 1} AS (SELECT t.* FROM trend{r} t JOIN noise{r} USING (tic_id) WHERE abs(flux - trend) < 3 * s + 1e-14)""")
+    return ", ".join(steps) + f""", marked AS (SELECT p.tic_id, p.time, p.flux, k.trend,
+            CASE WHEN k.trend IS NOT NULL THEN p.time END AS known FROM pts p
+            LEFT JOIN kept{rounds} k ON k.tic_id = p.tic_id AND k.time = p.time),
+        sided AS (SELECT *, last_value(known IGNORE NULLS) OVER b AS lt, last_value(trend IGNORE NULLS) OVER b AS lf,
+            first_value(known IGNORE NULLS) OVER a AS rt, first_value(trend IGNORE NULLS) OVER a AS rf FROM marked
+            WINDOW b AS (PARTITION BY tic_id ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                   a AS (PARTITION BY tic_id ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+        SELECT tic_id, round(time, 6) AS time, round(flux / coalesce(trend, lf + (time - lt) / (rt - lt) * (rf - lf), lf, rf), 6)
+            AS flux FROM sided"""
+
+
+@query("l03_transit_safe_detrend", with_views("monitor") + ", " + _detrend_sql(101))
 def _(spark, sf_dir):
-    points = cut_lineage(lc.normalise(lc.good_cadences(Tables(spark, sf_dir).points, MIN_GOOD)))
-    windows = points.select("tic_id").distinct().withColumn("window", F.lit(WINDOW))
-    flat = lc.detrend(points.select("tic_id", "time", "flux"), windows)
+    """The operator's own window over dense series: 0.75 days, 101 cadences at least."""
+    good = cut_lineage(lc.normalise(lc.good_cadences(Tables(spark, sf_dir).monitor)))
+    sectors = good.groupBy("tic_id", "sector").agg(F.min("cadence_s").alias("cadence_s"))
+    flat = lc.detrend(good.select("tic_id", "time", "flux"), lc.detrend_window(sectors))
     return flat.select("tic_id", F.round("time", 6).alias("time"), F.round("flux", 6).alias("flux"))
 
 
@@ -274,19 +321,34 @@ def _(spark, sf_dir):
                                                  "segment_points", "reason")
 
 
-@query("l08_single_event_scan", with_views("series") + f", {SIGMA}, boxed AS (" + " UNION ALL ".join(
-    f"""SELECT tic_id, time, {i} AS i, {d}e0 AS duration, avg(flux) OVER w AS mean, count(*) OVER w AS n
-        FROM series WINDOW w AS (PARTITION BY tic_id ORDER BY time RANGE BETWEEN {d / 2}e0 PRECEDING
-        AND {d / 2}e0 FOLLOWING)""" for i, d in enumerate(BOX_DAYS)) + """),
+def _event_sql(view: str, days: list[float], least: int) -> str:
+    """The best dip over all cadences and widths of a series."""
+    sigma = SIGMA.replace("FROM series", f"FROM {view}")
+    return with_views(view) + f", {sigma}, boxed AS (" + " UNION ALL ".join(
+        f"""SELECT tic_id, time, {i} AS i, {d}e0 AS duration, avg(flux) OVER w AS mean, count(*) OVER w AS n
+        FROM {view} WINDOW w AS (PARTITION BY tic_id ORDER BY time RANGE BETWEEN {d / 2}e0 PRECEDING
+        AND {d / 2}e0 FOLLOWING)""" for i, d in enumerate(days)) + f"""),
     dip AS (SELECT *, (centre - mean) / (sigma / sqrt(n)) AS snr FROM boxed JOIN noise USING (tic_id)
-        WHERE n >= 3 AND mean < centre),
+        WHERE n >= {least} AND mean < centre),
     top AS (SELECT DISTINCT ON (tic_id) * FROM dip ORDER BY tic_id, snr DESC, i, time)
     SELECT n.tic_id, CASE WHEN t.snr IS NULL THEN 'no_event' ELSE 'ok' END AS status,
         round(t.time, 6) AS epoch, round(t.duration * 24, 6) AS duration_hr,
         round(coalesce(t.snr, 0), 6) AS snr, t.n AS n_in_transit
-    FROM noise n LEFT JOIN top t USING (tic_id)""")
+    FROM noise n LEFT JOIN top t USING (tic_id)"""
+
+
+@query("l08_single_event_scan", _event_sql("monitor", specs.TRIAL_DURATIONS_DAYS, dips.MIN_IN_BOX))
 def _(spark, sf_dir):
-    rows = dips.single_events(Tables(spark, sf_dir).series, BOX_DAYS, min_in_box=3)
+    """The operator's own widths and least number of points, over dense series."""
+    return _events_of(dips.single_events(Tables(spark, sf_dir).monitor))
+
+
+@query("l08_single_event_scan_sparse", _event_sql("series", BOX_DAYS, 3))
+def _(spark, sf_dir):
+    return _events_of(dips.single_events(Tables(spark, sf_dir).series, BOX_DAYS, min_in_box=3))
+
+
+def _events_of(rows):
     return rows.select("tic_id", "status", F.round("epoch", 6).alias("epoch"),
                        F.round("duration_hr", 6).alias("duration_hr"), F.round("snr", 6).alias("snr"),
                        "n_in_transit")

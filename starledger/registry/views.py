@@ -298,6 +298,20 @@ def series(d: Dialect) -> str:
     return "SELECT tic_id, sector, time, flux, event_id FROM {points} WHERE quality = 0"
 
 
+@view
+def monitor(d: Dialect) -> str:
+    """Series as dense as the operators' own widths ask for: the events of five groups of users in order
+    of arrival, a cadence of 1,296 seconds, a pause of a day after every 700, a slow wave."""
+    k = "CAST(place AS DOUBLE)"
+    t = f"({k} * 0.015e0 + floor({k} / 700e0))"
+    return f"""
+    SELECT tic_id, CAST(floor({t} / 7e0) AS BIGINT) AS sector, CAST(1296 AS INT) AS cadence_s, {t} AS time,
+           1e0 + value / 10000e0 + 0.02e0 * sin({k} * 0.02e0) AS flux, event_id,
+           CAST(CASE WHEN event_id % 23 = 0 THEN 1 ELSE 0 END AS BIGINT) AS quality
+    FROM (SELECT user_id % 5 AS tic_id, value, event_id,
+                 row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) - 1 AS place FROM {{events}})"""
+
+
 @view
 def photometry(d: Dialect) -> str:
     nan = "CAST('NaN' AS DOUBLE)"

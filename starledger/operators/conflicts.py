@@ -47,14 +47,20 @@ def _disagreeing(by_source: DataFrame, threshold: str) -> DataFrame:
     """
     rolled = by_source.groupBy("eid").agg(
         F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("n_sources"))
+    beyond, spread = _beyond(threshold)
+    return rolled.filter(beyond).select("eid", F.col("low.v").alias("mn"), F.col("high.v").alias("mx"), "n_sources",
+                                        spread.alias("spread"))
+
+
+def _beyond(threshold: str) -> tuple[Column, Column]:
+    """(test, spread) of an entity's ends ``low`` and ``high`` and its ``n_sources``."""
     mn, mx = F.col("low.v"), F.col("high.v")
     low, high = F.col("low.exact"), F.col("high.exact")
     over = F.coalesce((high - low) > F.lit(threshold).cast("decimal(3,2)") * high,
                       (mx - mn) > F.lit(float(threshold)) * mx)
-    spread = F.coalesce((high - low).cast("double"), mx - mn) / mx
     differ = F.coalesce(low != high, mn != mx)
-    return (rolled.filter((F.col("n_sources") >= 2) & differ & (mx > 0) & over)
-            .select("eid", mn.alias("mn"), mx.alias("mx"), "n_sources", spread.alias("spread")))
+    return ((F.col("n_sources") >= 2) & differ & (mx > 0) & over,
+            F.coalesce((high - low).cast("double"), mx - mn) / mx)
 
 
 def mapped_dispositions(claims: DataFrame, vocabulary: DataFrame,
@@ -101,17 +107,18 @@ def report_conflicts(claims: DataFrame, eid: str, attribute: str, tolerance: flo
     return _reported(numeric_by_source(claims, eid, attribute, specs.REPORT_NUMBER_PATTERN), tolerance)
 
 
-def _reported(per_source: DataFrame, tolerance: float) -> DataFrame:
+def _reported(per_source: DataFrame, tolerance: float | Column, *more: str) -> DataFrame:
     low, high = short_number(F.col("mn")), short_number(F.col("mx"))
     said = F.concat(F.col("source"), F.lit(": "), F.when(F.col("mn") == F.col("mx"), low).otherwise(
         F.concat(low, F.lit("–"), high, F.lit(" ("), F.col("n").cast("string"), F.lit(")"))))
-    rolled = per_source.groupBy("eid").agg(
+    rolled = per_source.groupBy(*more, "eid").agg(
         F.count(F.lit(1)).alias("n_src"), F.min("mn").alias("min"), F.max("mx").alias("max"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", said.alias("s")))),
                                  lambda x: x["s"]), "; ").alias("detail"))
     spread = (F.col("max") - F.col("min")) / F.col("max")
     return (rolled.filter((F.col("n_src") >= 2) & (F.col("max") > 0))
-            .withColumn("spread", spread).filter(F.col("spread") > F.lit(tolerance)))
+            .withColumn("spread", spread)
+            .filter(F.col("spread") > (tolerance if isinstance(tolerance, Column) else F.lit(tolerance))))
 
 
 def short_number(value: Column) -> Column:
@@ -137,6 +144,14 @@ def label_candidates(conflicts: DataFrame, candidates: DataFrame, stars: DataFra
     return conflicts.join(_labels(candidates, stars).withColumnRenamed("candidate_id", "eid"), "eid")
 
 
+def label_few(conflicts: DataFrame, candidates: DataFrame, stars: DataFrame) -> DataFrame:
+    """:func:`label_candidates` of a list with a fixed limit: the tables are filtered by it, not joined whole."""
+    named = candidates.select(F.col("candidate_id").alias("eid"), "star_id", F.col("canonical_name").alias("target"),
+                              "disposition").join(F.broadcast(conflicts), "eid")
+    hosts = stars.select("star_id", F.col("canonical_name").alias("host"), "tic_id")
+    return hosts.join(F.broadcast(named), "star_id")        # a candidate's id names one candidate
+
+
 def _labels(candidates: DataFrame, stars: DataFrame) -> DataFrame:
     hosts = stars.select("star_id", F.col("canonical_name").alias("host"), "tic_id")
     return (candidates.select("candidate_id", "star_id", F.col("canonical_name").alias("target"),
@@ -208,29 +223,66 @@ def numeric_ranges(claims: DataFrame, eid: str, attributes: list[str],
                     "low", "high", "n"))
 
 
-def report_tables(claims: DataFrame, tolerances: dict[str, tuple[str, float]]) -> dict[str, DataFrame]:
-    """:func:`report_conflicts` of every attribute; ``tolerances`` gives its (eid column, tolerance).
+def _level_of(levels: dict[str, str]) -> Column:
+    """The entity id that a claim's attribute is about: ``levels`` names its column."""
+    stars = [a for a, level in levels.items() if level == "star_id"]
+    return F.when(F.col("attribute").isin(*stars), F.col("star_id")).otherwise(F.col("candidate_id"))
+
+
+def claim_digest(claims: DataFrame, vocabulary: DataFrame, levels: dict[str, str]) -> DataFrame:
+    """(attribute, eid, source, mn, mx, n, canons): one scan and one exchange for all attributes.
 
-    One aggregate per level, written once, however many attributes there are.
+    ``levels`` gives the id column of every numeric attribute; dispositions are about candidates.  Numbers
+    follow the report's stricter pattern; ``canons`` are the canonical words of the disposition rows.
     """
-    out = {}
-    for eid in sorted({level for level, _ in tolerances.values()}):
-        names = [a for a, (level, _) in tolerances.items() if level == eid]
-        ranges = cut_lineage(numeric_ranges(claims, eid, names, specs.REPORT_NUMBER_PATTERN), "ranges")
-        out.update({a: _reported(ranges.filter(F.col("attribute") == a), tolerances[a][1]) for a in names})
-    return out
+    words = vocabulary.select(F.lit("disposition").alias("attribute"), "source",
+                              F.col("source_value").alias("value"), F.col("canonical").alias("canon"))
+    eid = _level_of(levels)
+    wanted = claims.filter(F.col("attribute").isin("disposition", *levels) & eid.isNotNull())
+    number = F.when(F.col("attribute") != "disposition", matched_number(F.col("value"), specs.REPORT_NUMBER_PATTERN))
+    return (wanted.join(words, ["attribute", "source", "value"], "left")
+            .select("attribute", eid.alias("eid"), "source", number.alias("v"), "canon")
+            .filter(F.col("v").isNotNull() | F.col("canon").isNotNull())
+            .groupBy("attribute", "eid", "source")
+            .agg(F.min("v").alias("mn"), F.max("v").alias("mx"), F.count("v").alias("n"),
+                 F.collect_set("canon").alias("canons")))
+
+
+def report_tables(digest: DataFrame, tolerances: dict[str, float]) -> DataFrame:
+    """:func:`report_conflicts` of every attribute of a :func:`claim_digest`, with the attribute."""
+    limit = F.element_at(F.create_map(*[F.lit(x) for item in tolerances.items() for x in item]), F.col("attribute"))
+    return _reported(digest.filter(F.col("attribute") != "disposition"), limit, "attribute")
 
 
 def conflict_counts(claims: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """One row: disposition conflicts, the dramatic ones, radius and Teff conflicts."""
-    fights = disposition_conflicts(mapped_dispositions(claims, vocabulary))
-    counted = [fights.select(F.lit("disposition").alias("kind"))]
-    counted.append(fights.filter("dramatic").select(F.lit("disposition_dramatic").alias("kind")))
-    for kind, spec in specs.CONFLICT_LISTS.items():
-        found = numeric_conflicts(claims, f"{spec['level']}_id", spec["attribute"],
-                                  spec["threshold"])
-        counted.append(found.select(F.lit(kind).alias("kind")))
-    return _counts(counted, ["disposition", "disposition_dramatic", *specs.CONFLICT_LISTS])
+    """One row: disposition conflicts, the dramatic ones, radius and Teff conflicts.
+
+    One scan and one exchange: a claim is about one entity of one list, whose ends, sources and
+    canonical words are collected together (sources and words are few), then the lists are told apart.
+    """
+    lists = {spec["attribute"]: (kind, spec) for kind, spec in specs.CONFLICT_LISTS.items()}
+    eid = _level_of({a: f"{spec['level']}_id" for a, (_, spec) in lists.items()})
+    words = vocabulary.select(F.lit("disposition").alias("attribute"), "source",
+                              F.col("source_value").alias("value"), F.col("canonical").alias("canon"))
+    numeric = F.col("attribute") != "disposition"
+    number = F.when(numeric, F.struct(matched_number(F.col("value"), specs.NUMBER_PATTERN).alias("v"),
+                                      matched_exact(F.col("value"), specs.NUMBER_PATTERN).alias("exact")))
+    rows = (claims.filter(F.col("attribute").isin("disposition", *lists) & eid.isNotNull())
+            .join(words, ["attribute", "source", "value"], "left")
+            .select("attribute", eid.alias("eid"), "source", number.alias("number"), "canon"))
+    known = F.col("number.v").isNotNull()
+    entities = rows.groupBy("attribute", "eid").agg(
+        F.min(F.when(known, F.col("number"))).alias("low"), F.max(F.when(known, F.col("number"))).alias("high"),
+        F.size(F.collect_set(F.when(known, F.col("source")))).alias("n_sources"),
+        F.collect_set("canon").alias("held"))
+    fights = (F.col("attribute") == "disposition") & (F.size("held") >= 2)
+    counts = [F.count(F.when(fights, 1)).alias("disposition"),
+              F.count(F.when(fights & F.array_contains("held", "FALSE_POSITIVE")
+                             & F.exists("held", _is_confirmed), 1)).alias("disposition_dramatic")]
+    for attribute, (kind, spec) in lists.items():
+        beyond, _ = _beyond(spec["threshold"])
+        counts.append(F.count(F.when((F.col("attribute") == attribute) & beyond, 1)).alias(kind))
+    return entities.agg(*counts)
 
 
 def _counts(frames: list[DataFrame], names: list[str]) -> DataFrame:

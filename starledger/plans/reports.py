@@ -39,30 +39,31 @@ def conflict_report(tables: dict[str, DataFrame], vocabulary: DataFrame,
     candidates, stars = tables["candidate"], tables["star"]
     out = {"totals": cf.table_counts(tables),
            "ledger": last_per_endpoint(ledger, "finished_at")}
-    fights = cut_lineage(cf.disposition_fights(cf.mapped_dispositions(claims, vocabulary)), "fights")
+    star_level = ("teff_k", "rstar_rsun")
+    levels = {a: "star_id" if a in star_level else "candidate_id" for a in specs.REPORT_TOLERANCE}
+    # The claims are read once; what follows reads a row per entity, attribute and source, then conflicts only.
+    digest = cut_lineage(cf.claim_digest(claims, vocabulary, levels), "digest")
+    fights = cut_lineage(cf.disposition_fights(digest.filter("attribute = 'disposition'").select(
+        "eid", "source", F.explode("canons").alias("canon"))), "fights")
     dramatic = fights.filter("has_fp AND has_confirmed")
     most_words = [F.col("n_dispo").desc(), F.col("eid")]
     out["disposition_counts"] = fights.agg(
         F.count(F.lit(1)).alias("fights"),
         F.count(F.when(F.col("has_fp") & F.col("has_confirmed"), 1)).alias("dramatic"))
-    out["dramatic_examples"] = cf.label_candidates(
-        _examples(dramatic, most_words), candidates, stars)
-    out["fight_examples"] = cf.label_candidates(
-        _examples(fights, most_words), candidates, stars)
+    out["dramatic_examples"] = cf.label_few(_examples(dramatic, most_words), candidates, stars)
+    out["fight_examples"] = cf.label_few(_examples(fights, most_words), candidates, stars)
     largest = [F.col("spread").desc(), F.col("eid")]
-    star_level = ("teff_k", "rstar_rsun")
-    levels = {a: ("star_id" if a in star_level else "candidate_id", t)
-              for a, t in specs.REPORT_TOLERANCE.items()}
-    for attribute, found in cf.report_tables(claims, levels).items():
-        on_stars = attribute in star_level
+    reported = cut_lineage(cf.report_tables(digest, specs.REPORT_TOLERANCE), "reported")
+    for attribute in specs.REPORT_TOLERANCE:
+        found = reported.filter(F.col("attribute") == attribute).drop("attribute")
         out[f"{attribute}_count"] = found.agg(F.count(F.lit(1)).alias("n"))
         top = _examples(found, largest)
-        if on_stars:
+        if attribute in star_level:
             hosts = stars.select(F.col("star_id").alias("eid"),
                                  F.col("canonical_name").alias("host"), "tic_id")
-            out[f"{attribute}_examples"] = top.join(hosts, "eid")
+            out[f"{attribute}_examples"] = hosts.join(F.broadcast(top), "eid")     # twelve rows
         else:
-            out[f"{attribute}_examples"] = cf.label_candidates(top, candidates, stars)
+            out[f"{attribute}_examples"] = cf.label_few(top, candidates, stars)
     out["identifiers_by_type"] = cf.count_by(crosswalk, "id_type")
     out["identifier_breadth"] = cf.identifier_breadth(crosswalk)
     out["audit_by_rule"] = cf.count_by(tables["merge_log"], "rule_fired")

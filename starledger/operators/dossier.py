@@ -58,12 +58,15 @@ def claims_with_words(claims: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def target_claims(targets: DataFrame, claims: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Every claim about a target or its star, canonical words and clean citations included."""
-    said = claims_with_words(claims, vocabulary).withColumn(
-        "source_ref", clean_reference(F.col("source_ref")))
-    return _owned(targets, said.select(
-        "candidate_id", "star_id", "attribute", "source", "value", "unit", "source_ref", "observed_at",
-        "canonical_disposition"), "claim_level")
+    """Every claim about a target or its star, canonical words and clean citations included.
+
+    Words and citations are worked out for the targets' claims only.
+    """
+    owned = _owned(targets, claims.select(
+        "candidate_id", "star_id", "attribute", "source", "value", "unit", "source_ref", "observed_at"), "claim_level")
+    return (claims_with_words(owned, vocabulary).withColumn("source_ref", clean_reference(F.col("source_ref")))
+            .select("target_id", "claim_level", "attribute", "source", "value", "unit", "source_ref", "observed_at",
+                    "canonical_disposition"))
 
 
 def attribute_flags(said: DataFrame, axes: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Exact medians of groups of any size.
 
-``median`` keeps every distinct value of a group in one task.  Here a mergeable quantile sketch
-first brackets the middle of each group; the exact middle is then counted out of the few values
-inside the bracket, bin by bin.  The result is exact: the sketch only decides which values need
-counting.  One task orders about two millionths of a group's values.
+``median`` keeps every distinct value of a group in one task, which is the quick way for groups of up to
+``DIRECT`` values and no way for others.  For those a mergeable quantile sketch first brackets the middle of
+each group; the exact middle is then counted out of the few values inside the bracket, bin by
+bin.  The result is exact either way: the sketch only decides which values need counting.  One task
+orders about two millionths of a large group's values.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ SKETCH_ACCURACY = 10000
 # Ten times the sketch's rank error on each side of the middle.
 BRACKET = 10.0 / SKETCH_ACCURACY
 BINS = 1024
+DIRECT = 100_000     # values of a group that one task may hold
 
 
 def grouped_median(df: DataFrame, keys: list[str], value: Column | str, out: str = "median",
@@ -26,6 +28,17 @@ def grouped_median(df: DataFrame, keys: list[str], value: Column | str, out: str
     """
     value = F.col(value) if isinstance(value, str) else value
     rows = df.select(*keys, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    if not keys:
+        return _bracketed(rows, keys, out, upper)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    whole = rows.join(sizes.filter(F.col("_n") <= DIRECT).select(*keys), keys, "left_semi")
+    middle = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _v DESC)") if upper else F.median("_v")
+    large = rows.join(sizes.filter(F.col("_n") > DIRECT).select(*keys), keys, "left_semi")
+    return whole.groupBy(*keys).agg(middle.alias(out)).unionByName(_bracketed(large, keys, out, upper))
+
+
+def _bracketed(rows: DataFrame, keys: list[str], out: str, upper: bool) -> DataFrame:
+    """Medians of ``_v`` by sketch, bracket and bins."""
     bounds = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", [0.5 - BRACKET, 0.5 + BRACKET], SKETCH_ACCURACY).alias("_b"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starledger.operators.links import union_all
+from starledger.operators.picks import top_k
+from starledger.session import cut_lineage
 
 
 def match_rank(text: Column, query: str) -> Column:
@@ -79,3 +81,67 @@ def resolve_idents(idents: DataFrame, candidates: DataFrame, stars: DataFrame,
     return (by_id.unionByName(by_name)
             .groupBy("ident").agg(F.min(F.struct("tier", "candidate_id")).alias("_hit"))
             .select("ident", "_hit.candidate_id"))
+
+
+# --- many searches at once -------------------------------------------------------------------------------
+
+_GRAM = 3
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """All runs of ``size`` characters."""
+    last = F.length(text) - F.lit(size - 1)
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(size)))
+                  ).otherwise(F.array().cast("array<string>"))
+
+
+def postings(texts: DataFrame) -> DataFrame:
+    """(gram, text): the texts that hold a run of up to three characters, case aside; every text holds ''."""
+    low = F.lower("text")
+    grams = F.array_union(F.array(F.lit("")), F.concat(*[_pieces(low, size) for size in range(1, _GRAM + 1)]))
+    return texts.select("text", F.explode(F.array_distinct(grams)).alias("gram"))
+
+
+def needed_grams(queries: DataFrame) -> DataFrame:
+    """(query, gram): what every hit must hold: the literal runs between a query's wildcards, in threes."""
+    runs = F.split(F.lower("query"), "[%_]")
+    grams = F.flatten(F.transform(runs, lambda run: F.when(F.length(run) > _GRAM, _pieces(run, _GRAM))
+                                  .otherwise(F.array(run))))
+    return queries.select("query", F.explode(F.array_distinct(grams)).alias("gram"))
+
+
+def search_many(queries: DataFrame, candidates: DataFrame, stars: DataFrame, crosswalk: DataFrame,
+                limit: int = 50) -> DataFrame:
+    """:func:`search` for a whole table of strings (column ``query``): its rows with the query and their place.
+
+    A query meets only the texts in the posting list of its rarest gram, and ``ilike`` with its live
+    wildcards confirms them.  A query without a literal character meets every text, as it must.
+    """
+    asked = queries.select(F.trim("query").alias("query")).filter(F.col("query") != "").distinct()
+    named = union_all([
+        candidates.select(F.col("canonical_name").alias("text"), "candidate_id", F.lit(0).alias("least")),
+        crosswalk.select(F.col("id_value").alias("text"), "candidate_id", "star_id", F.lit(0).alias("least")),
+        stars.select(F.col("canonical_name").alias("text"), "star_id", F.lit(2).alias("least")),
+    ]).filter(F.col("text").isNotNull())
+    index = cut_lineage(postings(named.select("text").distinct()), "postings")
+    lengths = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # A gram that no text holds has the shortest list of all, and leads to none.
+    rarest = (needed_grams(asked).join(lengths, "gram", "left").groupBy("query")
+              .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), -F.length("gram"), "gram")).alias("gram")))
+    literal = F.replace(F.col("query"), F.lit("\\"), F.lit("\\\\"))
+    met = rarest.join(index, "gram").withColumn("_like", literal)
+    confirmed = met.filter(F.expr("text ILIKE concat('%', _like, '%')"))
+    rank = (F.when(F.lower("text") == F.lower("query"), 0)
+            .when(F.expr("text ILIKE concat(_like, '%')"), 1).otherwise(2))
+    hits = (confirmed.select("query", "text", rank.alias("rank")).join(named, "text")
+            .select("query", "candidate_id", "star_id", F.greatest("rank", "least").alias("rank")))
+    by_host = (hits.filter(F.col("candidate_id").isNull()).groupBy("query", "star_id").agg(F.min("rank").alias("rank"))
+               .join(candidates.select("candidate_id", "star_id"), "star_id"))
+    best = union_all([hits.filter(F.col("candidate_id").isNotNull()).select("query", "candidate_id", "rank"),
+                      by_host.select("query", "candidate_id", "rank")]).groupBy("query", "candidate_id").agg(
+        F.min("rank").cast("bigint").alias("rank"))
+    hosts = stars.select("star_id", F.col("canonical_name").alias("host"), "tic_id")
+    found = best.join(candidates.select("candidate_id", "star_id", F.col("canonical_name").alias("target"),
+                                        "disposition"), "candidate_id").join(hosts, "star_id")
+    listed = top_k(found, ["query"], [F.col("rank"), F.col("target"), F.col("candidate_id")], limit, rank="place")
+    return listed.select("query", "place", "candidate_id", "target", "disposition", "host", "tic_id", "rank")

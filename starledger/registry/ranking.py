@@ -199,6 +199,37 @@ def _(spark, sf_dir):
     return search.search(t.candidates, t.stars, t.identifiers, " Host 1 ")
 
 
+# Strings of all kinds: whole names, beginnings, insides, wildcards, a single letter, what no text holds.
+_STRINGS = """CASE p_partkey % 6 WHEN 0 THEN upper(p_name) || ' ' || CAST(p_partkey % 97 AS STRING)
+    WHEN 1 THEN '  Host ' || CAST(p_partkey % 300 AS STRING) || ' ' WHEN 2 THEN CAST(p_partkey * 7 AS STRING)
+    WHEN 3 THEN '%g_t ' || CAST(p_partkey % 40 AS STRING) WHEN 4 THEN CAST(p_partkey AS STRING) || '.0'
+    ELSE CASE p_partkey % 50 WHEN 5 THEN '%' WHEN 11 THEN 'b' WHEN 17 THEN ' ' WHEN 23 THEN '_9'
+    ELSE 'nothing ' || CAST(p_partkey AS STRING) END END"""
+
+
+@query("t02_search_table_of_strings", with_views("candidates", "stars", "identifiers") + f"""
+    , asked AS (SELECT DISTINCT trim({_STRINGS}) AS query FROM part),
+    named AS (SELECT canonical_name AS text, candidate_id, NULL AS star_id, 0 AS least FROM candidates
+        UNION ALL SELECT id_value, candidate_id, star_id, 0 FROM identifiers
+        UNION ALL SELECT canonical_name, NULL, star_id, 2 FROM stars),
+    hits AS (SELECT query, candidate_id, star_id, greatest(least, CASE WHEN lower(text) = lower(query) THEN 0
+        WHEN text ILIKE query || '%' THEN 1 ELSE 2 END) AS rank
+        FROM asked JOIN named ON text ILIKE '%' || query || '%' WHERE query <> ''),
+    best AS (SELECT query, candidate_id, min(rank) AS rank FROM (
+        SELECT query, candidate_id, rank FROM hits WHERE candidate_id IS NOT NULL UNION ALL
+        SELECT query, c.candidate_id, rank FROM hits h JOIN candidates c ON c.star_id = h.star_id
+        WHERE h.candidate_id IS NULL) GROUP BY 1, 2)
+    SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY rank, c.canonical_name, candidate_id) AS INTEGER)
+        AS place, candidate_id, c.canonical_name AS target, s.canonical_name AS host, CAST(rank AS BIGINT) AS rank
+    FROM best JOIN candidates c USING (candidate_id) JOIN stars s USING (star_id)
+    QUALIFY place <= 50""")
+def _(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    strings = t.part.select(F.expr(_STRINGS).alias("query"))
+    return search.search_many(strings, t.candidates, t.stars, t.identifiers, 50).select(
+        "query", "place", "candidate_id", "target", "host", "rank")
+
+
 @query("t03_attribute_display_order", with_views("candidates", "claims", "vocab", "axes")
        + f", {FLAGS}" + """
     SELECT target_id, attribute, row_number() OVER (PARTITION BY target_id

@@ -185,14 +185,21 @@ def _(spark, sf_dir):
         F.unix_micros("finished_at").alias("finished_us"), "rows_ingested")
 
 
+GATE_AT = "2024-01-20 12:00:00"      # in the middle of the ledger, so that some endpoints are fresh and some are not
+
+
 @query("s09_freshness_gate", with_views("ledger") + f"""
-    SELECT DISTINCT source, endpoint FROM ledger l
-    WHERE NOT EXISTS (SELECT 1 FROM ledger k WHERE k.source = l.source AND k.endpoint = l.endpoint
-                      AND k.status = 'ok' AND k.finished_at >= TIMESTAMP '{NOW}' - INTERVAL 2 HOUR)""")
+    , known AS (SELECT * FROM ledger WHERE started_at <= TIMESTAMP '{GATE_AT}')
+    SELECT DISTINCT source, endpoint, CASE WHEN EXISTS (SELECT 1 FROM known k WHERE k.source = l.source
+        AND k.endpoint = l.endpoint AND k.status = 'ok' AND k.finished_at >= TIMESTAMP '{GATE_AT}' - INTERVAL 2 HOUR)
+        THEN 'skipped_fresh' ELSE 'load' END AS verdict FROM ledger l""")
 def _(spark, sf_dir):
-    book = Tables(spark, sf_dir).ledger
+    book, now, span = Tables(spark, sf_dir).ledger, F.lit(GATE_AT).cast("timestamp"), timedelta(hours=2)
     asked = book.select("source", "endpoint").distinct()
-    return ledger.stale_requests(asked, book, F.lit(NOW).cast("timestamp"), timedelta(hours=2))
+    known = book.filter(F.col("started_at") <= now)
+    fresh = ledger.fresh_endpoints(known, now, span).join(asked, ["source", "endpoint"])
+    return (ledger.stale_requests(asked, known, now, span).withColumn("verdict", F.lit("load"))
+            .unionByName(fresh.withColumn("verdict", F.lit("skipped_fresh"))))
 
 
 @query("s10_resume_gate", with_views("points") + """

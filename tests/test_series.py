@@ -32,7 +32,9 @@ def search(spark, t, f, low, high, **options):
     return ps.search_periods(frame(spark, t, f), limits, **options).first()
 
 
-def test_median_is_exact_for_hot_tied_and_tiny_groups(spark):
+@pytest.mark.parametrize("direct", [100_000, 1_000, 0])
+def test_median_is_exact_for_hot_tied_and_tiny_groups(spark, monkeypatch, direct):
+    monkeypatch.setattr("starledger.operators.quantiles.DIRECT", direct)
     rng = np.random.default_rng(0)
     data = pd.DataFrame({"k": np.repeat([1, 2, 3, 4], [60000, 2, 1, 5000]),
                          "v": np.concatenate([rng.normal(size=60000), [1.0, 2.0], [7.0],

@@ -179,14 +179,14 @@ def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> D
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
-def conflict_page(claims: DataFrame, candidates: DataFrame, stars: DataFrame,
-                  vocabulary: DataFrame, kind: str, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of the disposition, radius or teff conflict list, largest disagreements first."""
+def conflict_list(claims: DataFrame, candidates: DataFrame, stars: DataFrame, vocabulary: DataFrame,
+                  kind: str) -> tuple[DataFrame, list[Column]]:
+    """The disposition, radius or teff conflict list and its total order, largest disagreements first."""
     if kind == "disposition":
         found = disposition_conflicts(mapped_dispositions(claims, vocabulary))
         rows = label_candidates(found, candidates, stars)
         order = [F.col("dramatic").desc(), F.col("target"), F.col("eid")]
-        return page(rows.withColumn("attribute", F.lit("disposition")), order, limit, offset)
+        return rows.withColumn("attribute", F.lit("disposition")), order
     if kind not in specs.CONFLICT_LISTS:
         raise ValueError(f"unknown conflict type: {kind!r}")
     spec = specs.CONFLICT_LISTS[kind]
@@ -199,7 +199,14 @@ def conflict_page(claims: DataFrame, candidates: DataFrame, stars: DataFrame,
         rows, name = label_stars(found, candidates, stars), "host"
     rows = rows.withColumns({"attribute": F.lit(spec["attribute"]), "unit": F.lit(spec["unit"]),
                              "spread_pct": F.round(F.col("spread") * 100, 1)})
-    return page(rows, [F.col("spread").desc(), F.col(name), F.col("eid")], limit, offset)
+    return rows, [F.col("spread").desc(), F.col(name), F.col("eid")]
+
+
+def conflict_page(claims: DataFrame, candidates: DataFrame, stars: DataFrame,
+                  vocabulary: DataFrame, kind: str, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One of the first pages; for deep ones store the list (:mod:`starledger.sources.paged`)."""
+    rows, order = conflict_list(claims, candidates, stars, vocabulary, kind)
+    return page(rows, order, limit, offset)
 
 
 def conflict_total(claims: DataFrame, vocabulary: DataFrame, kind: str) -> DataFrame:

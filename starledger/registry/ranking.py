@@ -14,6 +14,8 @@ from starledger.registry.aggregates import (FIGHTS, FLAGS, HIT_VIEWS, HITS, HOST
                                             report_sql, said_of)
 from starledger.registry.joins import SEARCH, numeric_conflict_sql
 from starledger.registry.views import Tables, with_views
+from starledger.session import scratch_path
+from starledger.sources import paged
 
 STRATA = """eligible AS (SELECT *, CASE
         WHEN depth_ppm >= 3000 AND period_days < 10 THEN 'deep_short'
@@ -153,6 +155,20 @@ def _(spark, sf_dir):
                        F.col("mx").cast("double").alias("max"), "n_sources", "spread_pct")
 
 
+@query("t01_deep_page_of_a_stored_list", with_views("claims", "candidates", "stars") + ", "
+       + numeric_conflict_sql("candidate_id", "planet_radius_re", "0.10") + """
+    SELECT row_number() OVER (ORDER BY spread DESC, c.canonical_name, eid) - 1 AS place, eid AS candidate_id,
+           c.canonical_name AS target, round(spread * 100, 1) AS spread_pct
+    FROM conflicted JOIN candidates c ON c.candidate_id = eid QUALIFY place BETWEEN 990 AND 1039""")
+def _(spark, sf_dir):
+    """Fifty rows across two ranges of the stored list; the others are not read."""
+    t = Tables(spark, sf_dir)
+    rows, order = cf.conflict_list(t.claims, t.candidates, t.stars, specs.vocabulary(spark), "radius")
+    path = scratch_path(spark, "radius-list")
+    paged.store_list(rows, order, path, places=1000)
+    return paged.read_page(spark, path, 50, 990, places=1000).select("place", "candidate_id", "target", "spread_pct")
+
+
 @query("t01_page_of_teff_conflicts", with_views("claims", "candidates", "stars") + ", "
        + numeric_conflict_sql("star_id", "teff_k", "0.05") + """
     , rep AS (SELECT DISTINCT ON (star_id) star_id, candidate_id, canonical_name AS target

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from starledger import specs
@@ -115,3 +116,53 @@ def test_numbers_of_any_size_take_part(spark):
     edge = spark.createDataFrame([(1, "period_days", "a", "0.99"), (1, "period_days", "b", "1.00")],
                                  "candidate_id bigint, attribute string, source string, value string")
     assert cf.numeric_conflicts(edge, "candidate_id", "period_days", "0.01").isEmpty()  # not beyond it
+
+
+def test_pages_of_a_stored_list_are_disjoint_complete_and_read_two_ranges(spark, tmp_path):
+    from starledger.sources import paged
+
+    path = str(tmp_path / "list")
+    rows = spark.range(25_000).select("id", ((F.col("id") * 7919) % 25_000 % 500).alias("spread"))
+    paged.store_list(rows, [F.col("spread").desc(), F.col("id")], path, places=1000)
+    want = sorted(((r.spread, r.id) for r in rows.collect()), key=lambda x: (-x[0], x[1]))
+    assert paged.list_length(spark, path).first().n == 25_000
+    for offset, limit in ((0, 5), (5, 5), (990, 30), (24_990, 50), (12_345, 1000), (30_000, 10)):
+        page = paged.read_page(spark, path, limit, offset, places=1000)
+        got = page.collect()
+        assert [(r.spread, r.id) for r in got] == want[offset:offset + limit]
+        assert [r.place for r in got] == list(range(offset, min(offset + limit, 25_000)))
+        assert "PartitionFilters: [isnotnull(_range" in page._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        paged.read_page(spark, path, 0)
+    for k in range(25):             # a page needs the files of its own ranges only
+        if k not in (11, 12):
+            for file in (tmp_path / "list" / f"_range={k}").glob("*.parquet"):
+                file.write_bytes(b"broken")
+    again = spark.read.schema("id bigint, spread bigint, place bigint, _range bigint").parquet(path)
+    assert again.filter("_range BETWEEN 11 AND 12").count() == 2000
+    assert [r.id for r in again.filter("_range BETWEEN 11 AND 12 AND place BETWEEN 11990 AND 12009").orderBy("place").collect()] == [
+        i for _, i in want[11_990:12_010]]
+
+
+def test_a_table_of_strings_finds_what_single_searches_find(spark):
+    from starledger.operators.search import search, search_many
+
+    candidates = spark.createDataFrame(
+        [(1, 1, "Kepler-7 b", "PC"), (2, 1, "Kepler-7 c", None), (3, 2, "TOI 100.01", "FP"), (4, 3, "x", None)],
+        "candidate_id bigint, star_id bigint, canonical_name string, disposition string")
+    stars = spark.createDataFrame([(1, "Kepler-7", 10), (2, "HD 7", None), (3, "a\\b", 30)],
+                                  "star_id bigint, canonical_name string, tic_id bigint")
+    crosswalk = spark.createDataFrame(
+        [(1, None, "K00097.01"), (None, 2, "TIC 700"), (None, 1, "kepler-7"), (3, None, "100.01"), (4, None, None)],
+        "candidate_id bigint, star_id bigint, id_value string")
+    strings = ["kepler-7", " Kepler", "7", "%", "_", "k%7", "TOI 100.01", "a\\b", "zzz", "", "  ", "00_", "X", "tic 700"]
+    got = search_many(spark.createDataFrame([(s,) for s in strings] + [(None,)], "query string"),
+                      candidates, stars, crosswalk, 2).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: r.place):
+        by.setdefault(r.query, []).append((r.candidate_id, r.rank))
+    for s in strings:
+        if "\\" not in s:
+            alone = [(r.candidate_id, r.rank) for r in search(candidates, stars, crosswalk, s, 2).collect()]
+            assert by.get(s.strip(), []) == alone, s
+    assert by["a\\b"] == [(4, 2)] and "" not in by

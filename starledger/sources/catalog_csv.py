@@ -79,10 +79,10 @@ def _csv(spark: SparkSession, path: str | list[str], multiline: bool = False) ->
 def read_files(spark: SparkSession, files: list[str], table: CatalogTable) -> DataFrame:
     """Several catalog files, each with headers of its own, as typed rows plus ``extra``."""
     refuse_error_payload(spark, files)
-    by_header: dict[str, list[str]] = {}
-    for row in file_heads(spark, files).select("file", "head").orderBy("file").collect():
-        by_header.setdefault(row.head, []).append(row.file)
-    frames = [typed_projection(_csv(spark, same), table) for same in by_header.values()]
+    # A row per distinct header; of the files only their names, which the reader lists on the driver anyway.
+    headed = file_heads(spark, files).groupBy("head").agg(F.array_sort(F.collect_list("file")).alias("same"))
+    frames = [typed_projection(_csv(spark, row.same), table)
+              for row in headed.orderBy(F.col("same")[0]).collect()]
     rows = frames[0]
     for frame in frames[1:]:
         rows = rows.unionByName(frame)

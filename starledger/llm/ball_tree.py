@@ -18,7 +18,8 @@ and a batch of queries.  The driver holds the sample, the cuts and a row per reg
 Defined results: rows whose vector is null or holds a null or non-finite component take no part; a
 shorter vector counts as filled up with zeros; of equal scores the smaller id wins, a null id counts as the
 largest long and comes back as null; repeated rows are candidates each, and a query passes over one row only,
-its own; components and scores beyond a long's range saturate; further columns are ignored; an empty table gives an empty one.
+its own; components and scores beyond a long's range saturate; further columns are ignored; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations

@@ -237,11 +237,11 @@ def _open(unsettled: DataFrame, found: DataFrame) -> DataFrame:
     rows = unsettled.select("node", "n", "root", F.substring("label", 1, REGION).alias("region"))
     dense = (rows.groupBy("region").agg(F.count("*").alias("k"), F.sum("n").alias("weight"))
              .filter((F.col("k") > BLOCK) | (F.col("weight") > BLOCK_SHINGLES)).select("region"))
-    # Written first, here and in ``_unsettled``: a join with an aggregate's own output keeps its partitioning,
-    # and a region with many rows could not be split.
+    # Dealt anew, here and in ``_unsettled``: a join with an aggregate's own output keeps its partitioning, and
+    # a region with many rows could not be split.
     halved = (found.filter("edge > 0").groupBy("region").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi"))
               .filter("lo <> hi").select("region"))
-    wanted = cut_lineage(dense.unionByName(halved).distinct(), "dense-regions")
+    wanted = dense.unionByName(halved).distinct().hint("rebalance")
     return (rows.join(wanted, "region", "left_semi")
             .select("node", "root").distinct())
 
@@ -448,7 +448,7 @@ def _unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
                       F.substring("label", 1, REGION).alias("region")))
     mixed = (rooted.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
              .filter("lo <> hi").select("region"))
-    return rooted.join(cut_lineage(mixed, "mixed-regions"), "region", "left_semi").select("label", "node", "n", "root")
+    return rooted.join(mixed.hint("rebalance"), "region", "left_semi").select("label", "node", "n", "root")
 
 
 def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:

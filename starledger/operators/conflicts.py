@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from starledger import specs
 from starledger.functions.text import matched_exact, matched_number
-from starledger.session import cut_lineage
 
 
 def numeric_by_source(claims: DataFrame, eid: str, attribute: str,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -16,7 +15,6 @@ from starledger.registry.views import Tables, with_views
 from starledger.session import scratch_path
 from starledger.sources import catalog_csv, landing, ledger, lightcurves, sinks
 
-NOW = "2024-01-20 00:00:00"
 
 
 def _toi_csv(t: Tables):

@@ -302,3 +302,41 @@ class _AnyTables:
 
     def __call__(self, *_):
         return self
+
+
+def _plain_search(t, flux, sigma, periods, durations, template):
+    """Every length at every bin of every fold, one by one: power of each period."""
+    dip, n = np.median(flux) - flux, t.size
+    width = durations.min() / (4.0 if template else ps.BOX_OVERSAMPLE)
+    power = []
+    for period in periods:
+        n_bins = int(np.ceil(period / width))
+        place = np.minimum((np.mod(t - t.min(), period) / width).astype(int), n_bins - 1)
+        best = 0.0
+        for length in np.rint(durations / width).astype(int):
+            for start in range(n_bins if length <= n_bins else 0):
+                at = (place - start) % n_bins
+                if template:
+                    shape = np.append(ps.transit_shape(length), 0.0)[np.minimum(at, length)]
+                    best = max(best, (shape * dip).sum() / sigma / np.sqrt((shape ** 2).sum()) if shape.any() else 0.0)
+                elif 0 < (at < length).sum() < n:
+                    inside = at < length
+                    best = max(best, (dip[inside].mean() - dip[~inside].mean())
+                               / (sigma * np.sqrt(1 / inside.sum() + 1 / (~inside).sum())))
+        power.append(best)
+    return np.array(power)
+
+
+@pytest.mark.parametrize("sparse", [0.01, 8, 1e9])
+def test_searches_fit_every_place_of_a_fold(monkeypatch, sparse):
+    """Folds evaluated at their points only, or at every bin, have the powers of the plain search."""
+    monkeypatch.setattr(ps, "SPARSE", sparse)
+    rng = np.random.default_rng(5)
+    durations = np.array([0.04, 0.1, 0.5])
+    for n in (3, 40):
+        t, flux = np.sort(rng.uniform(0, 9, n)), 1 + rng.gamma(1.0, 0.01, n)
+        periods = 0.3 * np.exp(np.linspace(0, np.log(15), 25))       # the longest box does not fit the first ones
+        for kernel, template in ((ps.box_search, False), (ps.template_search, True)):
+            power, best = kernel(t, flux, 0.01, periods, durations)
+            assert np.allclose(power, _plain_search(t, flux, 0.01, periods, durations, template), atol=1e-9)
+            assert best[5] == pytest.approx(power.max()) and best[0] in periods

@@ -145,3 +145,27 @@ def test_cones_lose_no_satellite_and_meet_few(spark):
         got = sl.cone_approaches(lines, positions, sep).collect()
         assert {(r.request_id, r.satellite_id) for r in got} == want and len(got) == len(want) > 10
         assert all(r.sep_deg < sep and r.sat_alt_deg > 0 for r in got)
+
+
+def test_small_tables_of_observers_are_sent_and_large_ones_merged(spark, monkeypatch):
+    """Positions are shuffled only where the caps are too many to be sent; the satellites seen are the same."""
+    from starledger.functions.frames import observer_vectors
+
+    vectors = observer_vectors(F.lit(40.0), F.lit(10.0), F.lit(1.0))
+    moves = ephemeris(spark, 60)
+    observers = moves.select("instant").distinct().select("instant", F.lit(0.3).alias("gmst"),
+                                                          *[v.alias(k) for k, v in vectors.items()])
+    seen = []
+    for few, join in ((1 << 19, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(sl, "FEW_ROWS", few)
+        rows = sl.in_sight(moves, observers)
+        assert join in rows._jdf.queryExecution().sparkPlan().toString()
+        seen.append(sorted((r.satellite_id, r.instant, r.range_km) for r in rows.collect()))
+    assert seen[0] == seen[1] and seen[0]
+
+
+def test_multiplied_tables_are_dealt_over_tasks(spark):
+    """One small file of parts must not make one task of all positions."""
+    from starledger.registry.views import DEALT, Tables
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert min(t.positions.rdd.getNumPartitions(), t.circular.rdd.getNumPartitions()) >= DEALT

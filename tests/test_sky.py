@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from starledger import specs
@@ -169,3 +170,25 @@ def test_multiplied_tables_are_dealt_over_tasks(spark):
     from starledger.registry.views import DEALT, Tables
     t = Tables(spark, "/root/testdata/sf0.001")
     assert min(t.positions.rdd.getNumPartitions(), t.circular.rdd.getNumPartitions()) >= DEALT
+
+
+@pytest.mark.parametrize("n", [4, 900])
+def test_the_closest_few_are_those_of_all_pairs(spark, n):
+    """Whatever the density, a request's closest satellites and their closest steps are found; far ones stay out."""
+    rng = np.random.default_rng(n)
+    way = rng.normal(size=(2 * n, 3))
+    way /= np.linalg.norm(way, axis=1)[:, None]
+    seen = spark.createDataFrame(
+        [(k % n, k % n, "s", 500.0, k // n, *map(float, v), 10.0, int(k % 50 == 0)) for k, v in enumerate(way)],
+        "satellite_id int, norad_id int, name string, alt_km double, step int, u_x double, u_y double, u_z double, "
+        "sat_alt_deg double, error int")
+    aim = way[:40] if n > 40 else np.vstack([way, -way])
+    track = spark.createDataFrame([(i % 30, *map(float, v), 45.0, AT) for i, v in enumerate(aim)],
+                                  "request_id int, g_x double, g_y double, g_z double, target_alt_deg double, instant timestamp")
+    whole = sl.closest_per_satellite(sl.close_approaches(track, seen, [], 25.0, 20.0))
+    some = sl.closest_few(track, seen, [], 25.0, 20.0, 3)
+    names = ["request_id", "satellite_id", "sep_deg", "place"]
+    first, second = (sorted(map(tuple, sl.capped_hits(x, 3).select(*names).collect())) for x in (whole, some))
+    assert first == second and first
+    if n > 40:
+        assert some.count() < whole.count() / 3

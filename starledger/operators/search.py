@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from starledger.operators.links import union_all
 from starledger.operators.picks import top_k
-from starledger.session import cut_lineage
+from starledger.session import cut_lineage, many_tasks
 
 
 def match_rank(text: Column, query: str) -> Column:
@@ -86,6 +86,7 @@ def resolve_idents(idents: DataFrame, candidates: DataFrame, stars: DataFrame,
 # --- many searches at once -------------------------------------------------------------------------------
 
 _GRAM = 3
+_LONGER = (5, 7)             # lengths of the grams beside: lists of three characters grow with the texts
 
 
 def _pieces(text: Column, size: int) -> Column:
@@ -96,17 +97,30 @@ def _pieces(text: Column, size: int) -> Column:
 
 
 def postings(texts: DataFrame) -> DataFrame:
-    """(gram, text): the texts that hold a run of up to three characters, case aside; every text holds ''."""
+    """(gram, text): the texts that hold a run of one to three, five or seven characters, case aside.
+
+    Every text holds ''.
+    """
     low = F.lower("text")
-    grams = F.array_union(F.array(F.lit("")), F.concat(*[_pieces(low, size) for size in range(1, _GRAM + 1)]))
+    sizes = [*range(1, _GRAM + 1), *_LONGER]
+    grams = F.array_union(F.array(F.lit("")), F.concat(*[_pieces(low, size) for size in sizes]))
     return texts.select("text", F.explode(F.array_distinct(grams)).alias("gram"))
 
 
 def needed_grams(queries: DataFrame) -> DataFrame:
-    """(query, gram): what every hit must hold: the literal runs between a query's wildcards, in threes."""
+    """(query, gram): what every hit must hold: the literal runs between a query's wildcards.
+
+    A run gives its pieces of the greatest indexed length that it has.
+    """
     runs = F.split(F.lower("query"), "[%_]")
-    grams = F.flatten(F.transform(runs, lambda run: F.when(F.length(run) > _GRAM, _pieces(run, _GRAM))
-                                  .otherwise(F.array(run))))
+
+    def cut(run: Column) -> Column:
+        pieces = F.when(F.length(run) <= _GRAM, F.array(run))
+        for size, next_size in zip((_GRAM, *_LONGER), _LONGER):
+            pieces = pieces.when(F.length(run) < next_size, _pieces(run, size))
+        return pieces.otherwise(_pieces(run, _LONGER[-1]))
+
+    grams = F.flatten(F.transform(runs, cut))
     return queries.select("query", F.explode(F.array_distinct(grams)).alias("gram"))
 
 
@@ -123,7 +137,9 @@ def search_many(queries: DataFrame, candidates: DataFrame, stars: DataFrame, cro
         crosswalk.select(F.col("id_value").alias("text"), "candidate_id", "star_id", F.lit(0).alias("least")),
         stars.select(F.col("canonical_name").alias("text"), "star_id", F.lit(2).alias("least")),
     ]).filter(F.col("text").isNotNull())
-    index = cut_lineage(postings(named.select("text").distinct()), "postings")
+    # A count of tasks of its own: a text makes a hundred rows, so tasks must not follow from the texts' bytes.
+    index = cut_lineage(postings(named.select("text").repartition(many_tasks(queries.sparkSession), "text").distinct()),
+                        "postings")
     lengths = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # A gram that no text holds has the shortest list of all, and leads to none.
     rarest = (needed_grams(asked).join(lengths, "gram", "left").groupBy("query")

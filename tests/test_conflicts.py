@@ -166,3 +166,17 @@ def test_a_table_of_strings_finds_what_single_searches_find(spark):
             alone = [(r.candidate_id, r.rank) for r in search(candidates, stars, crosswalk, s, 2).collect()]
             assert by.get(s.strip(), []) == alone, s
     assert by["a\\b"] == [(4, 2)] and "" not in by
+
+
+def test_long_strings_meet_short_posting_lists(spark):
+    """A string gives grams of the greatest indexed length, whose lists stay short as the texts grow."""
+    from starledger.operators.search import needed_grams, postings
+
+    strings = ["ab", "abc", "abcd", "abcdef", "ABCDEFGH", "ab%cdefg_x", "0001234"]
+    asked = spark.createDataFrame([(s,) for s in strings], "query string")
+    grams = {r.query: set(r.g) for r in needed_grams(asked).groupBy("query").agg(F.collect_set("gram").alias("g")).collect()}
+    assert grams == {"ab": {"ab"}, "abc": {"abc"}, "abcd": {"abc", "bcd"}, "abcdef": {"abcde", "bcdef"},
+                     "ABCDEFGH": {"abcdefg", "bcdefgh"}, "ab%cdefg_x": {"ab", "cdefg", "x"}, "0001234": {"0001234"}}
+    index = postings(spark.createDataFrame([(f"{k:07d}",) for k in range(4000)], "text string"))
+    lists = {r.gram: r["count"] for r in index.filter(F.col("gram").isin("0001234", "01234", "123")).groupBy("gram").count().collect()}
+    assert lists["0001234"] == 1 and lists["01234"] == 1 and lists["123"] > 10

@@ -455,6 +455,8 @@ def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """Roots after the new links: only the roots that links join are walked again."""
     if roots is None:
         return cut_lineage(components(links), "roots")
+    if links.isEmpty():
+        return roots
     def rooted(column):
         return roots.select(F.col("node").alias(column), F.col("root").alias(f"root_{column}"))
     lifted = (links.join(rooted("a"), "a", "left").join(rooted("b"), "b", "left")

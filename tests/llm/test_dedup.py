@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from starledger.llm import exact_dedup, near_dedup
+from starledger.llm import components as component_rounds, exact_dedup, near_dedup
 from starledger.llm.components import components
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -212,3 +212,22 @@ def test_a_region_of_a_block_cut_between_ranges_is_compared_whole(spark):
         "pid int, edge int, region binary, nodes array<bigint>, roots array<bigint>")
     assert {r.node for r in near_dedup._open(rows, found).collect()} == set(range(120))
     assert near_dedup._open(rows, found.filter("pid = 0")).count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 16, 100])
+def test_links_of_one_task_settle_without_rounds(spark, monkeypatch, most):
+    rounds = []
+    joined = component_rounds._joined
+    monkeypatch.setattr(component_rounds, "_joined", lambda edges: rounds.append(1) or joined(edges))
+    monkeypatch.setattr(component_rounds, "TASK_LINKS", most)
+    links = [((i * 37) % 301, ((i + 1) * 37) % 301) for i in range(150)] + [(1000, 1000 + i) for i in range(90)]
+    links += [(2000, 2000), (2001, None), (1000, 1001), (1 << 61, 7000)]
+    want = {}
+    for a, b in links:
+        if b is not None and a != b:
+            group = want.get(a, {a}) | want.get(b, {b})
+            want.update(dict.fromkeys(group, group))
+    got = components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    assert len(got) == len(want)
+    assert dict(map(tuple, got)) == {node: min(group) for node, group in want.items()}
+    assert bool(rounds) == (most == 100)

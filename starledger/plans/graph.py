@@ -38,9 +38,13 @@ class Graph:
     def audit(self) -> DataFrame:
         return lk.audit_of_links(self.links).unionByName(lk.audit_of_ambiguous(self.ambiguous))
 
+    def claim_rows(self) -> DataFrame:
+        """The claims as a plan: who reads them once need not write them, many rows per raw row, first."""
+        return all_claims(self.raw, self.crosswalk())
+
     @cached_property
     def claims(self) -> DataFrame:
-        return cut_lineage(all_claims(self.raw, self.crosswalk()), "claims")
+        return cut_lineage(self.claim_rows(), "claims")
 
     @cached_property
     def _last_of_candidates(self) -> DataFrame:

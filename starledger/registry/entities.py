@@ -263,7 +263,7 @@ def _claim_counts() -> str:
 @query("e09_graph_build_claims", _BUILD + _claim_counts())
 def _(spark, sf_dir):
     level = F.when(F.col("star_id").isNotNull(), "star").otherwise("candidate").alias("level")
-    return _graph(spark, sf_dir).claims.groupBy("source", level, "attribute").agg(
+    return _graph(spark, sf_dir).claim_rows().groupBy("source", level, "attribute").agg(
         F.count(F.lit(1)).alias("n"))
 
 

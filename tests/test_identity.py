@@ -143,3 +143,32 @@ def test_precedence_resolution(spark):
     assert [tuple(r) for r in rs.unmapped_words(votes).collect()] == [("pscomppars", "who knows")]
     teff = rs.pick_numeric(rs.last_per_source(said, "star_id"), ranks).first().value
     assert teff == 3200.0
+
+
+def test_claims_that_are_read_once_are_not_written(spark, monkeypatch):
+    import datetime as dt
+
+    from starledger.plans import graph
+
+    written = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, label="cut": written.append(label) or df)
+    at = dt.datetime(2026, 1, 1)
+    numbers = ["period_days", "duration_hr", "depth_pct", "planet_radius_re", "epoch_bjd", "teff_k", "logg",
+               "rstar_rsun", "vmag", "tmag"]
+    raw = spark.createDataFrame(
+        [(5, "A b", "ref", None, 0, "Published Confirmed", *[1.5] * 10, at, 1, 1),
+         (5, "A c", None, None, 0, None, *[None] * 9, 9.0, at, 1, 2),
+         (None, "B b", None, None, 0, "Published Confirmed", *[2.5] * 10, at, 1, 3)],
+        "tic_id bigint, pl_name string, pl_refname string, st_refname string, pl_controv_flag int, soltype string, "
+        + ", ".join(f"{n} double" for n in numbers) + ", loaded_at timestamp, ingest_run_id bigint, raw_id bigint")
+    links = spark.createDataFrame(
+        [(1, None, "tic", "5", "nea"), (None, 7, "name", "A b", "nea"), (None, 8, "name", "A c", "nea")],
+        "star_id bigint, candidate_id bigint, id_type string, id_value string, source string").withColumn(
+        "confidence", F.lit(1.0))
+    built = graph.Graph({"raw_ps": raw}, None, None, links, None, None, None)
+    rows = built.claim_rows()
+    counted = {r.attribute: r["count"] for r in rows.groupBy("attribute").count().collect()}
+    assert not written
+    assert counted["period_days"] == 1 and counted["tmag"] == 2 and counted["teff_k"] == 1
+    assert sorted(map(tuple, built.claims.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert written == ["claims"]

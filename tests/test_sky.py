@@ -192,3 +192,95 @@ def test_the_closest_few_are_those_of_all_pairs(spark, n):
     assert first == second and first
     if n > 40:
         assert some.count() < whole.count() / 3
+
+
+def _looks(spark, n_lines, n_satellites, steps=3):
+    """(track, seen): some ids look two ways, some rows come twice, some satellites have no id or no direction."""
+    rng = np.random.default_rng(n_satellites)
+    way = rng.normal(size=(n_satellites * steps, 3))
+    way /= np.linalg.norm(way, axis=1)[:, None]
+    rows = [(k % n_satellites if k % n_satellites != 3 else None, 7, "s", 500.0 + k % n_satellites, k // n_satellites,
+             *map(float, v), 10.0, int(k % 50 == 1)) for k, v in enumerate(way)]
+    rows += rows[:5] + [(1, 7, "s", 501.0, None, None, 0.0, 1.0, 10.0, 0)]
+    seen = spark.createDataFrame(rows, "satellite_id int, norad_id int, name string, alt_km double, step int, u_x double, "
+                                 "u_y double, u_z double, sat_alt_deg double, error int")
+    aim = rng.normal(size=(n_lines, 3))
+    aim /= np.linalg.norm(aim, axis=1)[:, None]
+    looks = [(i % (n_lines - 4) if i % 10 else None, *map(float, v), 45.0 - 30 * (i == 2), AT) for i, v in enumerate(aim)]
+    looks += looks[:4] + [(5, None, 0.0, 1.0, 45.0, AT)]
+    track = spark.createDataFrame(looks, "request_id int, g_x double, g_y double, g_z double, target_alt_deg double, "
+                                  "instant timestamp")
+    return track, seen
+
+
+def _sorted(rows):
+    return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows.collect()), key=str)
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_approaches_by_tile_are_those_of_the_join(spark, monkeypatch, cut):
+    """Every pair and every closest step, also where tiles are cut into shares of satellites and of sightlines."""
+    from starledger.operators import approaches
+    if cut:
+        monkeypatch.setattr(approaches, "STEPS_PER_SHARE", 100)
+        monkeypatch.setattr(approaches, "LINES_PER_TILE", 20)
+    track, seen = _looks(spark, 60, 200)
+    whole = sl.close_approaches(track.dropna(subset=["g_x"]), seen.dropna(subset=["u_x"]), [], 20.0, 20.0)
+    names = ["request_id", "satellite_id", "step", "sep_deg", "alt_km"]
+    got = _sorted(sl.fixed_approaches(track, seen, 20.0, 20.0, ["alt_km"]).select(*names))
+    assert got == _sorted(whole.select(*names)) and len(got) > 100
+    names.remove("step")
+    got = _sorted(sl.closest_fixed_approaches(track, seen, 20.0, 20.0, ["alt_km"]).select(*names))
+    assert got == _sorted(sl.closest_per_satellite(whole).select(*names)) and len(got) > 50
+
+
+@pytest.mark.parametrize("closest", [False, True])
+def test_a_tile_is_worked_off_in_slabs(monkeypatch, closest):
+    """Neither the batches that a tile's satellites come in nor the slabs change its pairs; no batch grows with them."""
+    import pyarrow as pa
+
+    from starledger.operators import approaches
+    rng = np.random.default_rng(5)
+    g, u = (v / np.linalg.norm(v, axis=1)[:, None] for v in (rng.normal(size=(7, 3)), rng.normal(size=(90, 3))))
+    rows = [(0, *v, i, None, None) for i, v in enumerate(g)] + [(1, *v, None, i // 9, i % 9) for i, v in enumerate(u)]
+    columns = ["_tag", "_x", "_y", "_z", "_request", "satellite_id", "step"]
+    types = [pa.int32(), *[pa.float64()] * 3, *[pa.int64()] * 3]
+    batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], columns)
+    zero = pa.array([0] * len(rows), pa.int64())
+    batch = pa.RecordBatch.from_arrays([zero, zero, zero, *batch.columns], ["_cell", "_share", "_part", *columns])
+
+    def pairs(height):
+        parts = [batch.slice(i, height) for i in range(0, len(rows), height)]
+        return [b.to_pylist() for b in approaches._Pairs(60.0, [], closest, "request_id")(iter(parts))]
+
+    def flat(found):
+        return sorted(tuple(r.values()) for part in found for r in part)
+
+    expected = flat(pairs(1000))
+    dots = np.degrees(np.arccos(g @ u.T))
+    best = {(i, s) for i, s in np.argwhere(dots.reshape(7, 10, 9).min(axis=2) < 60)}
+    assert {r[:2] for r in expected} == best and len(expected) == (len(best) if closest else (dots < 60).sum())
+    monkeypatch.setattr(approaches, "SLAB", 20)
+    monkeypatch.setattr(approaches, "PAIRS_PER_BATCH", 30)
+    for height in (1, 4, 13, 1000):
+        found = pairs(height)
+        assert flat(found) == expected and max(map(len, found)) < 30 + 9 * 20
+
+
+def test_pairs_of_sightlines_and_satellites_are_not_shuffled(spark):
+    """The pairs grow with requests times satellites: what comes after them combines in the task that finds them."""
+    track, seen = _looks(spark, 20, 50)
+    track = track.filter("request_id is not null").dropDuplicates(["request_id"])
+    for rows in (sl.fixed_approaches(track, seen, 20.0, 20.0, []),
+                 sl.closest_fixed_approaches(track, seen, 20.0, 20.0, [])):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[:plan.index("MapInArrow")] and "Exchange" in plan
+
+
+def test_rounded_is_round(spark):
+    from starledger.functions.numeric import rounded
+    values = [0.0, -0.0, 0.5e-6, 1.5e-6, 2.5e-6, 1.0000005, 9.9999995, -1.0000005, -0.3, 7.1234564999999, 1e-9, -1e-9,
+              123456.7890125, 1e12 + 0.1234567, float("inf"), float("nan"), None,
+              *map(float, np.random.default_rng(1).uniform(-10, 10, 2000))]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert df.filter(~rounded(F.col("v"), 6).eqNullSafe(F.round("v", 6))).count() == 0

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from starledger import specs
+from starledger.functions.numeric import rounded
 from starledger.operators import conflicts as cf
 from starledger.operators import designations as dz
 from starledger.operators import dossier as ds
 from starledger.operators import grading, orbits, resolution, selection, sightline
 from starledger.registry import query
 from starledger.registry.joins import (CURRENT, MAPPED, OWNER, OWNERS, SIGHT, numeric_conflict_sql,
-                                       representative_targets, sight_pairs)
+                                       representative_targets, sight_tables)
 from starledger.registry.snapshots import CURRENT_ELEMENTS
 from starledger.registry.views import Tables, with_views
 from starledger.sources import lightcurves
@@ -301,8 +302,8 @@ _CLOSEST = f"""{SIGHT}, closest AS (SELECT DISTINCT ON (request_id, satellite_id
     SELECT request_id, satellite_id, c.alt_km, round(sep, 6) AS sep_deg
     FROM closest JOIN circular c USING (satellite_id, step)""")
 def _(spark, sf_dir):
-    hits = sightline.closest_per_satellite(sight_pairs(Tables(spark, sf_dir)))
-    return hits.select("request_id", "satellite_id", "alt_km", F.round("sep_deg", 6).alias("sep_deg"))
+    hits = sightline.closest_fixed_approaches(*sight_tables(Tables(spark, sf_dir)), 10.0, 20.0, ["alt_km"])
+    return hits.select("request_id", "satellite_id", "alt_km", rounded(F.col("sep_deg"), 6).alias("sep_deg"))
 
 
 HITS = f"""{_CLOSEST}, {OWNER}, hits AS (SELECT c.*, operator FROM closest c
@@ -311,8 +312,10 @@ HIT_VIEWS = ("circular", "requests", "ownership", "operators")
 
 
 def owned_hits(t: Tables):
-    hits = sightline.closest_per_satellite(sight_pairs(t))
-    return sightline.with_owner(hits, orbits.current_owners(t.ownership, t.operators))
+    """Every satellite's closest step per request; owners are looked up per satellite, before the pairs multiply them."""
+    track, seen = sight_tables(t)
+    owned = sightline.with_owner(seen, orbits.current_owners(t.ownership, t.operators))
+    return sightline.closest_fixed_approaches(track, owned, 10.0, 20.0, ["operator"])
 
 
 @query("a19_owner_tally", with_views(*HIT_VIEWS) + f", {HITS}" + """

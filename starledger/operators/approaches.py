@@ -30,12 +30,13 @@ _VECTOR = ["_x", "_y", "_z"]
 
 
 def approaches_by_tile(track: DataFrame, seen: DataFrame, sep_deg: float, keep: list[str],
-                       closest: bool, request: str = "request_id") -> DataFrame:
+                       closest: bool, request: str = "request_id", tally: bool = False) -> DataFrame:
     """(request, satellite_id, step, sep_deg, kept columns): steps of ``seen`` nearer than ``sep_deg`` to a sightline.
 
     ``track`` (request, g_x, g_y, g_z) has a row per sightline, ``seen`` (satellite_id, step, u_x, u_y, u_z, kept
     columns) a row per satellite and step.  With ``closest`` each pair of a sightline and a satellite has its closest
-    step only, the earlier one on a tie.  Missing ids are ids like others.
+    step only, the earlier one on a tie.  Missing ids are ids like others.  With ``tally`` the pairs are counted where
+    they are found: (request, kept columns, hits), several rows per group, to be summed up.
     """
     spark = track.sparkSession
     lines = cut_lineage(track.select(F.col(request).alias("_request"), *[
@@ -62,17 +63,18 @@ def approaches_by_tile(track: DataFrame, seen: DataFrame, sep_deg: float, keep:
     rows = homes.select(*row(of_lines, 0)).unionByName(moving.select(*row(of_steps, 1)))
     # A number of its own: the work of a task does not follow from the bytes it reads.
     dealt = rows.repartition(many_tasks(spark), *_TILE).sortWithinPartitions(*_TILE, "_tag", "satellite_id", "step")
-    schema = T.StructType([T.StructField(request, types["_request"]), *[
-        T.StructField(c, types[c]) for c in ("satellite_id", "step")], T.StructField("sep_deg", T.DoubleType()),
-        *[T.StructField(c, types[c]) for c in keep]])
-    return dealt.mapInArrow(_Pairs(sep_deg, keep, closest, request), schema)
+    kept = [T.StructField(c, types[c]) for c in keep]
+    found = [*kept, T.StructField("hits", T.LongType())] if tally else [
+        *[T.StructField(c, types[c]) for c in ("satellite_id", "step")], T.StructField("sep_deg", T.DoubleType()), *kept]
+    schema = T.StructType([T.StructField(request, types["_request"]), *found])
+    return dealt.mapInArrow(_Pairs(sep_deg, keep, closest, request, tally), schema)
 
 
 class _Pairs:
     """The pairs of the tiles in one partition: a tile's sightlines come first, then its satellites in order."""
 
-    def __init__(self, sep_deg: float, keep: list[str], closest: bool, request: str):
-        self.sep_deg, self.keep, self.closest, self.request = sep_deg, keep, closest, request
+    def __init__(self, sep_deg: float, keep: list[str], closest: bool, request: str, tally: bool = False):
+        self.sep_deg, self.keep, self.closest, self.request, self.tally = sep_deg, keep, closest, request, tally
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile, lines, held = None, [], None
@@ -108,6 +110,7 @@ class _Pairs:
         satellite = np.repeat(np.arange(len(starts)), np.diff([*starts, steps.num_rows]))
         near = math.cos(math.radians(self.sep_deg)) - 1e-9 if self.sep_deg < 180 else -2.0
         tall = max(SLAB // steps.num_rows, 1)
+        code, shown = _groups(steps, self.keep) if self.tally else (None, None)
         waiting, size = [], 0
         for top in range(0, g.shape[1], tall):
             for left in self._slabs(satellite):
@@ -115,13 +118,18 @@ class _Pairs:
                 dot = u[0, left] * x
                 dot += u[1, left] * y
                 dot += u[2, left] * z
-                line, step = np.nonzero(dot >= near)          # the cosine decides almost all pairs
-                sep = np.degrees(np.arccos(np.clip(dot[line, step], -1.0, 1.0)))
+                place = np.flatnonzero(dot >= near)           # the cosine decides almost all pairs
+                line, step = np.divmod(place, dot.shape[1])
+                sep = np.degrees(np.arccos(np.clip(dot.ravel()[place], -1.0, 1.0)))
                 inside = sep < self.sep_deg
                 line, step, sep = line[inside] + top, step[inside] + left.start, sep[inside]
                 if self.closest and len(sep):
                     first = _closest(line, satellite[step], sep)
                     line, step, sep = line[first], step[first], sep[first]
+                if self.tally:
+                    n = np.bincount((line - top) * len(shown) + code[step])
+                    group = np.flatnonzero(n)
+                    line, step, sep = group // len(shown) + top, shown[group % len(shown)], n[group]
                 waiting.append((line, step, sep))
                 size += len(sep)
                 if size >= PAIRS_PER_BATCH:
@@ -144,17 +152,33 @@ class _Pairs:
 
     def _batch(self, lines: pa.Table, steps: pa.Table, found: list[tuple]) -> pa.RecordBatch:
         line, step, sep = (np.concatenate(part) for part in zip(*found))
+        names = self.keep if self.tally else ["satellite_id", "step", *self.keep]
         columns = {self.request: lines.column("_request").combine_chunks().take(pa.array(line)),
-                   **{c: steps.column(c).combine_chunks().take(pa.array(step)) for c in ("satellite_id", "step")},
-                   "sep_deg": pa.array(sep),
-                   **{c: steps.column(c).combine_chunks().take(pa.array(step)) for c in self.keep}}
-        return pa.RecordBatch.from_pydict(columns)
+                   "hits" if self.tally else "sep_deg": pa.array(sep),
+                   **{c: steps.column(c).combine_chunks().take(pa.array(step)) for c in names}}
+        order = [self.request, *names, "hits"] if self.tally else [self.request, *names[:2], "sep_deg", *self.keep]
+        return pa.RecordBatch.from_pydict({c: columns[c] for c in order})
+
+
+def _codes(steps: pa.Table, column: str) -> np.ndarray:
+    """Equal values, missing ones too, as equal whole numbers."""
+    codes = steps.column(column).combine_chunks().dictionary_encode(null_encoding="encode")
+    return codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _groups(steps: pa.Table, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each step, one step of each group) by equal values of the columns."""
+    group = np.zeros(steps.num_rows, np.int64)
+    for column in columns:
+        codes = _codes(steps, column)
+        group = np.unique(group * (codes.max() + 1) + codes, return_inverse=True)[1]
+    shown, group = np.unique(group, return_index=True, return_inverse=True)[1:]
+    return group, shown
 
 
 def _ids(steps: pa.Table) -> np.ndarray:
     """Where each satellite's steps begin, in rows that are sorted by satellite."""
-    codes = steps.column("satellite_id").combine_chunks().dictionary_encode(null_encoding="encode")
-    codes = codes.indices.to_numpy(zero_copy_only=False)
+    codes = _codes(steps, "satellite_id")
     return np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1])
 
 

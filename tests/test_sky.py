@@ -232,6 +232,12 @@ def test_approaches_by_tile_are_those_of_the_join(spark, monkeypatch, cut):
     names.remove("step")
     got = _sorted(sl.closest_fixed_approaches(track, seen, 20.0, 20.0, ["alt_km"]).select(*names))
     assert got == _sorted(sl.closest_per_satellite(whole).select(*names)) and len(got) > 50
+    # A third of the satellites has no owner; counts of the tiles add up to those of the pairs.
+    owners = spark.createDataFrame([(i, f"o{i % 4}") for i in range(200) if i % 3], "satellite_id int, operator string")
+    plain = sl.owner_tally(sl.with_owner(sl.closest_per_satellite(whole), owners))
+    counted = sl.owner_tally(sl.closest_fixed_approaches(
+        track, sl.with_owner(seen, owners), 20.0, 20.0, ["operator"], tally=True), counted=True)
+    assert counted.dtypes == plain.dtypes and _sorted(counted) == _sorted(plain)
 
 
 @pytest.mark.parametrize("closest", [False, True])
